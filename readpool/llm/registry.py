@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from readpool.llm import chat, media, mixing, topk
+from readpool.llm import chat, langid, media, mixing, topk, toxicity
 
-QUERIES = {f.__name__: f for f in (media.op1_media_columns, chat.op2_chat_formatting, mixing.op8_mixing, topk.op10_topk_search)}
+QUERIES = {f.__name__: f for f in (media.op1_media_columns, chat.op2_chat_formatting, langid.op3_language_id, toxicity.op6_toxicity, mixing.op8_mixing, topk.op10_topk_search)}
 
 
 def queries() -> dict:
