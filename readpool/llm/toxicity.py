@@ -20,6 +20,7 @@ from __future__ import annotations
 import heapq
 import math
 import re
+import sys
 from collections import Counter, defaultdict
 
 import pyarrow as pa
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 from readpool.llm import common
 
 THRESHOLD = 0.3
-MAX_TOXIC = 3000
-MAX_CLEAN = 9000
+MAX_TOXIC = 1500
+MAX_CLEAN = 4000
 SCOPE = 3
 BIAS = -2.0
 SEED_WEIGHT = 4.0
@@ -112,7 +113,7 @@ def fit(sample: list[tuple[str | None, int]], min_docs: int = 4) -> tuple[dict,
         if any((label, h) in seen for h in sketch):
             continue
         seen.update((label, h) for h in sketch)
-        texts.append((label, set(words)))
+        texts.append((label, set(map(sys.intern, words))))
     n = Counter(label for label, _ in texts)
     if not n[1] or not n[0]:
         return seeds()
@@ -122,18 +123,15 @@ def fit(sample: list[tuple[str | None, int]], min_docs: int = 4) -> tuple[dict,
     def stems_of(w: str) -> list[str]:
         return [w[:k] for k in range(MIN_STEM, min(MAX_STEM, len(w) - 1) + 1)]
 
-    holders: dict[tuple[str, bool], set[int]] = defaultdict(set)  # toxic texts with a word, or with a word that begins so
-    endings: dict[str, set[str]] = defaultdict(set)
-    for i, words in enumerate(toxic):
-        for w in words:
-            holders[w, False].add(i)
-            for s in stems_of(w):
-                holders[s, True].add(i)
-                endings[s].add(w)
+    # Keys: a word (False), or all words that begin so (True). Counts first; texts are listed for the few good keys only.
+    counts = Counter((w, False) for words in toxic for w in words)
+    for words in toxic:
+        counts.update({(s, True) for w in words for s in stems_of(w)})
+    counts = {k: t for k, t in counts.items() if t >= 2}
     clean_stems: Counter = Counter()
     for w, c in clean.items():
         for s in [*stems_of(w), w]:
-            if s in endings:
+            if (s, True) in counts:
                 clean_stems[s] += c
 
     def odds(t: int, c: int) -> float:
@@ -144,19 +142,28 @@ def fit(sample: list[tuple[str | None, int]], min_docs: int = 4) -> tuple[dict,
 
     whole, stems = seeds()
     for w, (kind, _) in list(whole.items()):
-        t, c = len(holders.get((w, False), ())), clean[w]
+        t, c = counts.get((w, False), 0), clean[w]
         if kind in (INSULT, THREAT) and t + c >= min_docs:
             if odds(t, c) <= 0:
                 del whole[w]  # the labels say that this word does no harm here
             else:
                 whole[w] = (kind, odds(t, c))
-    pool = {}
-    for key, found in holders.items():
-        t, c = len(found), against(key)
-        if t >= 2 and len(key[0]) >= MIN_STEM and c <= t / 20 and odds(t, c) >= MIN_LOG_ODDS and (not key[1] or len(endings[key[0]]) > 1):
-            pool[key] = found
+    pool: dict[tuple[str, bool], set[int]] = {}
+    for key, t in counts.items():
+        c = against(key)
+        if len(key[0]) >= MIN_STEM and c <= t / 20 and odds(t, c) >= MIN_LOG_ODDS:
+            pool[key] = set()
+    endings: dict[str, set[str]] = defaultdict(set)
+    for i, words in enumerate(toxic):
+        for w in words:
+            for key in ((w, False), *((s, True) for s in stems_of(w))):
+                if key in pool:
+                    pool[key].add(i)
+                    if key[1]:
+                        endings[key[0]].add(w)
+    pool = {key: found for key, found in pool.items() if not key[1] or len(endings[key[0]]) > 1}
     known = [w for w, (kind, _) in whole.items() if kind in (INSULT, THREAT)]
-    left = set(range(len(toxic))) - set().union(*(holders.get((w, False), set()) for w in known))
+    left = {i for i, words in enumerate(toxic) if words.isdisjoint(known)}
 
     def add(key: tuple[str, bool]) -> None:
         entry = (INSULT, odds(len(pool[key]), against(key)))
