@@ -302,7 +302,7 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long, inter int, total int")
 
 
-LINKED = F.expr("100L * inter >= 90L * total")
+LINKED = "100L * inter >= 90L * total"
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
