@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from readpool.llm import chat, jaccard, langid, linededup, media, mixing, suffixdedup, topk, toxicity
+from readpool.llm import chat, jaccard, langid, linededup, media, mixing, pieces, suffixdedup, topk, toxicity
 
-QUERIES = {f.__name__: f for f in (media.op1_media_columns, chat.op2_chat_formatting, langid.op3_language_id, suffixdedup.op4_suffix_dedup, linededup.op5_line_dedup, toxicity.op6_toxicity, mixing.op8_mixing, jaccard.op9_jaccard_join, topk.op10_topk_search)}
+QUERIES = {f.__name__: f for f in (media.op1_media_columns, chat.op2_chat_formatting, langid.op3_language_id, suffixdedup.op4_suffix_dedup, linededup.op5_line_dedup, toxicity.op6_toxicity, pieces.op7_sentencepiece, mixing.op8_mixing, jaccard.op9_jaccard_join, topk.op10_topk_search)}
 
 
 def queries() -> dict:
