@@ -16,10 +16,13 @@ by their number, so which of such equals is taken is arbitrary but the taken siz
 
 from __future__ import annotations
 
+import itertools
 import math
+import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -79,10 +82,10 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFra
     return per.withColumn("target", F.when(F.col("full"), F.col("most").cast("double")).otherwise(F.col("weight") * level)).select("source", "source_size", "n_docs", "target")
 
 
-def mixed(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", *, weights=WEIGHTS, cap=CAP, block=BLOCK, shard_docs=SHARD_DOCS, seed=SEED) -> DataFrame:
-    """(id, size, source_size, target, taken, copies): how many words of each document the mix takes."""
+def mixed(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", *, weights=WEIGHTS, cap=CAP, block=BLOCK, shard_docs=SHARD_DOCS, seed=SEED, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, size, source_size, target, taken) and the columns `carry`: how many words of each document the mix takes."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(common.WORD)), F.lit(0)).cast("long")
-    sized = common.stored(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size")))
+    sized = common.stored(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), *(F.col(c).alias(f"carry_{c}") for c in carry)))
 
     def apportion(pdf: pd.DataFrame) -> pd.DataFrame:
         """Blocks for sources: all rows are sources."""
@@ -112,7 +115,7 @@ def mixed(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source"
     per_shard = per_shard.select(F.col("source").alias("s"), F.col("shard").alias("h"), "words", F.least(F.col("quota") * block, cap * F.col("words")).alias("quota"))
 
     rows = in_shards.join(per_shard, F.col("source").eqNullSafe(F.col("s")) & (F.col("shard") == F.col("h")))
-    laid = Window.partitionBy("source", "shard").orderBy(key, "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    laid = Window.partitionBy("source", "shard").orderBy(key, "id", "size", *(f"carry_{c}" for c in carry)).rowsBetween(Window.unboundedPreceding, -1)
     n = F.greatest(F.col("words"), F.lit(1))
     a = F.coalesce(F.sum("size").over(laid), F.lit(0))
     # The run starts at a block of the shard and covers `over` words, going round the end.
@@ -121,7 +124,33 @@ def mixed(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source"
     lap = lambda x, y: F.greatest(F.lit(0), F.least(F.col("a") + F.col("size"), y) - F.greatest(F.col("a"), x))
     rows = rows.withColumn("a", a).withColumn("start", start).withColumn("over", over)
     taken = F.floor(F.col("quota") / n) * F.col("size") + lap(F.col("start"), F.col("start") + F.col("over")) + lap(F.lit(0), F.col("start") + F.col("over") - n)
-    return rows.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return rows.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"), *(F.col(f"carry_{c}").alias(c) for c in carry))
+
+
+def take(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The mix itself: a document of which it takes q whole copies and r words more gives q equal rows and one row with its
+    first r words; one of which it takes nothing gives none. Columns stay those of `docs`."""
+    numbered = common.stored(docs.withColumn("row__", F.monotonically_increasing_id()))
+    amounts = mixed(numbered, text_col=text_col, carry=("row__",), **options).select(F.col("row__").alias("of__"), F.col("size").alias("size__"), F.col("taken").alias("taken__"))
+    rows = numbered.join(amounts.filter("taken__ > 0"), F.col("row__") == F.col("of__")).select(*docs.columns, "size__", "taken__")
+    columns = docs.columns
+    at = columns.index(text_col)
+    word = re.compile(common.WORD)
+
+    def run(batches):
+        for b in batches:
+            texts = b.column(at).to_pylist()
+            which, out = [], []
+            for i, (x, size, taken) in enumerate(zip(texts, b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True)):
+                whole, rest = divmod(taken, size)
+                out += [x] * whole
+                if rest:
+                    out.append(x[: next(itertools.islice(word.finditer(x), rest - 1, None)).end()])
+                which += [i] * (whole + bool(rest))
+            index = pa.array(which, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if j == at else b.column(j).take(index) for j in range(len(columns))], columns)
+
+    return rows.mapInArrow(run, docs.select("*").schema)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
