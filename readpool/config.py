@@ -21,6 +21,7 @@ class ClusterConfig:
     reps_per_chunk: int = 3
     # Chunks
     chunk_rounds: int = 64
+    chunk_block: int = 4  # rounds that one job runs
     min_merge_rate: float = 0.002
     bad_rounds_first: int = 3
     bad_rounds_second: int = 4

@@ -31,12 +31,16 @@ def adjacent_pairs(keyed: DataFrame, within: list[str], seed: int, all_pairs: bo
     return pairs.select("round", F.least("read_id", "other").alias("a"), F.greatest("read_id", "other").alias("b"))
 
 
-def substring_edges(rows: DataFrame, anchors: list[str], length: int) -> DataFrame:
+def substring_edges(rows: DataFrame, anchors: list[tuple[str, ...]], length: int) -> DataFrame:
     """(a, b): chunk ids that some key holds together, each with the least chunk id of its key.
 
-    rows: (chunk_id, seq). Equal keys merge whole buckets, so a star of edges says the same as all pairs. The least id comes
-    from an aggregate that combines before the shuffle.
+    rows: (chunk_id, seq, turn); the row's key has the anchors of its turn, and keys of different turns do not meet. Equal
+    keys merge whole buckets, so a star of edges says the same as all pairs. The least id comes from an aggregate that
+    combines before the shuffle.
     """
-    keyed = rows.select("chunk_id", substring_key("seq", anchors, length).alias("key"))
-    least = keyed.groupBy("key").agg(F.min("chunk_id").alias("a"), F.max("chunk_id").alias("hi")).filter("a <> hi").select(F.col("key").alias("k"), "a")
-    return keyed.join(least, F.col("key") == F.col("k")).filter("chunk_id <> a").select("a", F.col("chunk_id").alias("b")).distinct()
+    key = F.lit(None).cast("array<string>")
+    for i, a in enumerate(anchors):
+        key = F.when(F.col("turn") == i, substring_key("seq", list(a), length)).otherwise(key)
+    keyed = rows.select("chunk_id", "turn", key.alias("key"))
+    least = keyed.groupBy("turn", "key").agg(F.min("chunk_id").alias("a"), F.max("chunk_id").alias("hi")).filter("a <> hi").select(F.col("key").alias("k"), F.col("turn").alias("t"), "a")
+    return keyed.join(least, (F.col("key") == F.col("k")) & (F.col("turn") == F.col("t"))).filter("chunk_id <> a").select("a", F.col("chunk_id").alias("b")).distinct()

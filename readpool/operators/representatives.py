@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from readpool.plans.components import connected_components
@@ -44,11 +44,9 @@ def focus(clusters: DataFrame, reps: DataFrame, rank: int) -> DataFrame:
     return singles.unionByName(larger.select("read_id", "cluster"))
 
 
-def sampled(rows: DataFrame, by: str, most: int, seed: object) -> DataFrame:
-    """At most `most` rows for each value of `by`, the first in a seeded order: all of them in small groups."""
-    from readpool.functions.sequences import tiebreak
-
-    rk = F.row_number().over(Window.partitionBy(by).orderBy(tiebreak(seed, "read_id"), "read_id"))
+def sampled(rows: DataFrame, by: list[str], most: int, mark: Column) -> DataFrame:
+    """At most `most` rows for each value of `by`, the first in the order of `mark`: all of them in small groups."""
+    rk = F.row_number().over(Window.partitionBy(*by).orderBy(mark, "read_id"))
     return rows.withColumn("rk", rk).filter(F.col("rk") <= most).drop("rk")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -20,9 +20,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 def written(df: DataFrame) -> DataFrame:
     """`df` as a table in the shared folder: it cuts the lineage and survives lost executors."""
+    return written_with(df)[0]
+
+
+def written_with(df: DataFrame, **figures: Column) -> tuple[DataFrame, dict]:
+    """The table, and aggregates that are taken while it is written, so that they cost no job of their own."""
     path = f"{shared_folder(df.sparkSession)}/readpool-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    out = df.observe(seen, *(c.alias(k) for k, c in figures.items())) if figures else df
+    out.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get if figures else {}
 
 
 def star_step(edges: DataFrame) -> DataFrame:
@@ -43,15 +50,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     number of rounds grows with the logarithm of the nodes, and no task sees more than the edges of its partition.
     """
     nodes = edges.select(F.col(a).alias("node")).union(edges.select(F.col(b).alias("node"))).filter("node IS NOT NULL").distinct()
-    now = written(edges.filter(f"{a} <> {b}").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    mark = _mark(now)
-    while mark[0]:
-        now = written(star_step(now))
-        before, mark = mark, _mark(now)
-        if mark == before:
+    mark = {"n": F.count(F.lit(1)), "x": F.bit_xor(F.xxhash64("u", "v")), "y": F.sum(F.xxhash64("v", "u") % 1_000_003)}
+    now, seen = written_with(edges.filter(f"{a} <> {b}").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), **mark)
+    while seen["n"]:
+        before = seen
+        now, seen = written_with(star_step(now), **mark)
+        if seen == before:
             break
     return nodes.join(now, F.col("node") == F.col("u"), "left").select("node", F.coalesce("v", "node").alias("component"))
-
-
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1_000_003)).first())

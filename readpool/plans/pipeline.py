@@ -14,10 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readpool.config import ClusterConfig, budgets, substring_sizes
+from readpool.functions.sequences import tiebreak
 from readpool.operators import blocking, metrics, verify
 from readpool.operators import representatives as reps_
 from readpool.operators.sketch import sketches, with_grams
-from readpool.plans.components import connected_components, written
+from readpool.plans.components import connected_components, written, written_with
 
 log = logging.getLogger(__name__)
 
@@ -44,40 +45,43 @@ def prepare(reads: DataFrame, config: ClusterConfig) -> Prepared:
     return Prepared(reads, written(sketches(reads.drop("grams"), config)), reads.count())
 
 
-def chunk_round(chunks: DataFrame, reads: DataFrame, anchors: tuple[str, ...], length: int, most: int, seed: str) -> DataFrame:
-    """(a, b): edges between chunk ids after one round of substring keys over up to `most` reads of each chunk."""
-    rows = reps_.sampled(chunks, "chunk_id", most, seed).join(reads.select("read_id", "seq"), "read_id")
-    return blocking.substring_edges(rows, list(anchors), length)
+def chunk_turns(chunks: DataFrame, reads: DataFrame, anchors: list[tuple[str, ...]], length: int, first: int, config: ClusterConfig) -> DataFrame:
+    """(a, b): edges between chunk ids from some rounds of substring keys, each over a few reads of every chunk."""
+    turns = chunks.withColumn("turn", F.explode(F.array(*map(F.lit, range(len(anchors))))))
+    mark = tiebreak(f"{config.seed}:chunk", F.concat_ws(":", F.col("turn") + first, F.col("read_id")))
+    rows = reps_.sampled(turns, ["turn", "chunk_id"], config.reps_per_chunk, mark).join(reads.select("read_id", "seq"), "read_id")
+    return blocking.substring_edges(rows, anchors, length)
 
 
 def chunk_partition(prepared: Prepared, config: ClusterConfig) -> DataFrame:
     """(read_id, chunk_id): rounds go on until few merges come from them, first with two anchors, then with one longer.
 
-    Poor rounds count from the last change of phase on, whether or not good ones lie between.
+    `chunk_block` rounds are one job and draw from the same chunks; the rate of merges is that of the block, and each of its
+    rounds counts as poor if it is low. Poor rounds count from the last change of phase on, whether or not good ones lie
+    between. With blocks of one round this is the round-by-round rule.
     """
     reads, n = prepared.reads.select("read_id", "seq"), prepared.n
     chunks = written(reads.select("read_id", F.col("read_id").alias("chunk_id")))
     if not n:
         return chunks
-    first = reads.orderBy("read_id").select(F.length("seq")).first()[0]
-    phase, bad, rate = 1, 0, 1.0
-    width, more = substring_sizes(first, n, phase)
-    for itr in range(config.chunk_rounds):
-        if itr and rate < config.min_merge_rate:
-            allowed = config.bad_rounds_first if phase == 1 else config.bad_rounds_second
-            bad += 1
-            if bad >= allowed:
+    length = reads.agg(F.min(F.struct("read_id", F.length("seq").alias("l")))["l"]).first()[0]
+    phase, bad, done = 1, 0, 0
+    while done < config.chunk_rounds:
+        count = min(config.chunk_block, config.chunk_rounds - done)
+        width, more = substring_sizes(length, n, phase)
+        anchors = config.anchors(width, 2 if phase == 1 else 1, done + count, f"chunk:{phase}")[done:]
+        edges = chunk_turns(chunks, reads, anchors, width + more, done, config)
+        joined, seen = written_with(connected_components(edges).filter("node <> component"), n=F.count(F.lit(1)))
+        if seen["n"]:
+            chunks = written(chunks.join(joined, F.col("chunk_id") == F.col("node"), "left").select("read_id", F.coalesce("component", "chunk_id").alias("chunk_id")))
+        done += count
+        log.info("chunks, round %d: %d merges", done, seen["n"])
+        if seen["n"] / n / count < config.min_merge_rate:
+            bad += count
+            if bad >= (config.bad_rounds_first if phase == 1 else config.bad_rounds_second):
                 if phase == 2:
                     break
                 phase, bad = 2, 0
-                width, more = substring_sizes(first, n, phase)
-        anchors = config.anchors(width, 2 if phase == 1 else 1, itr + 1, f"chunk:{phase}")[itr]
-        edges = chunk_round(chunks, reads, anchors, width + more, config.reps_per_chunk, f"{config.seed}:chunk:{itr}")
-        joined = written(connected_components(edges).filter("node <> component"))
-        rate = joined.count() / n
-        if rate:
-            chunks = written(chunks.join(joined, F.col("chunk_id") == F.col("node"), "left").select("read_id", F.coalesce("component", "chunk_id").alias("chunk_id")))
-        log.info("chunks, round %d: rate %.4f", itr, rate)
     return chunks
 
 

@@ -198,7 +198,7 @@ def common_substring_keys(spark, sf_dir):
 
 def one_round_chunks(spark, sf_dir):
     reads = reads_of(spark, sf_dir)
-    edges = blocking.substring_edges(reads.withColumnRenamed("read_id", "chunk_id"), list(ANCHORS[0]), SUBSTRING)
+    edges = blocking.substring_edges(reads.select(F.col("read_id").alias("chunk_id"), "seq", F.lit(0).alias("turn")), [ANCHORS[0]], SUBSTRING)
     return reps_.merged(reads, edges).withColumnRenamed("cluster", "chunk_id")
 
 
@@ -217,7 +217,7 @@ def chunk_size_filter(spark, sf_dir):
 SELECT read_id, chunk_id FROM ranked WHERE rk <= {CONFIG.reps_per_chunk}"""
 )
 def chunk_samples(spark, sf_dir):
-    return reps_.sampled(one_round_chunks(spark, sf_dir), "chunk_id", CONFIG.reps_per_chunk, CONFIG.seed)
+    return reps_.sampled(one_round_chunks(spark, sf_dir), ["chunk_id"], CONFIG.reps_per_chunk, tiebreak(CONFIG.seed, "read_id"))
 
 
 # --- clusters --------------------------------------------------------------------------------------------
