@@ -16,6 +16,7 @@ is a space, as the model has no other mark for it; decoding gives the text back,
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import numpy as np
@@ -28,8 +29,9 @@ from readpool.llm import common
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-CHUNK_CHARS = 4_000_000
-MOST_WORDS = 400_000  # that a task remembers
+CHUNK_CHARS = 1_000_000
+MATCH_CHARS = 300_000  # of distinct words that are matched at once
+MOST_WORDS = 500_000  # that a task remembers
 NEVER = np.int64(1) << 40
 
 
@@ -49,6 +51,7 @@ class Vocabulary:
         chars = sorted(p for p in words if len(p) == 1)
         self.code = {c: i + 1 for i, c in enumerate(chars)}
         self.known = re.compile("[" + "".join(map(re.escape, chars)) + "]+|.", re.DOTALL)
+        self.other = re.compile("[^" + "".join(re.escape(c) for c in chars if c != SPACE) + "]")
         left, right, merged = [], [], []
         for p, i in words.items():
             for k in range(1, len(p)):
@@ -207,19 +210,20 @@ def bound(order, ahead, k: int, low: np.ndarray, high: np.ndarray, value: np.nda
     return low
 
 
-def encode_words(words: list[str], vocab: Vocabulary) -> list[list[int]]:
-    """Tokens of distinct non-empty words of known characters."""
+def encode_words(words: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens of all words, number of tokens of each), for distinct non-empty words of known characters."""
     if not words:
-        return []
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
     start, end, piece, begins, sizes = matches(words, vocab)
     total = int(sizes.sum())
     first = np.repeat(begins, sizes)  # of the word that holds a place
     offset = end - first[start]
-    order = np.lexsort((end, offset))
+    longest = int(sizes.max())
+    order = np.argsort(offset.astype(np.uint16 if longest < 1 << 16 else np.int64), kind="stable")
     start, end, piece, offset = start[order], end[order], piece[order], offset[order]
     last = np.full(total + 1, -1)  # piece that ends before a place; index by end - 1
     came = np.zeros(total + 1, np.int64)
-    cuts = np.searchsorted(offset, np.arange(1, int(sizes.max()) + 2))
+    cuts = np.searchsorted(offset, np.arange(1, longest + 2))
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         s, e, p = start[a:b], end[a:b], piece[a:b]
         fine = s == first[s]
@@ -230,17 +234,17 @@ def encode_words(words: list[str], vocab: Vocabulary) -> list[list[int]]:
         last[e[fine] - 1], came[e[fine] - 1] = p[fine], s[fine]
     # Back from the ends, all words in step.
     at, word = begins + sizes - 1, np.arange(len(words))
-    steps = []
+    steps, counts = [], np.zeros(len(words), np.int64)
     while len(at):
         steps.append((word, last[at]))
+        counts[word] += 1
         s = came[at]
         on = s > begins[word]
         at, word = s[on] - 1, word[on]
-    out: list[list[int]] = [[] for _ in words]
-    for w, p in reversed(steps):
-        for i, x in zip(w.tolist(), p.tolist(), strict=True):
-            out[i].append(x)
-    return out
+    tokens, ends = np.zeros(int(counts.sum()), np.int32), np.cumsum(counts)
+    for i, (w, p) in enumerate(steps):
+        tokens[ends[w] - 1 - i] = p
+    return tokens, counts
 
 
 class Encoder:
@@ -253,34 +257,51 @@ class Encoder:
     def _forget(self) -> None:
         self.number: dict[str, int] = {}
         self.tokens = np.zeros(0, np.int32)
-        self.offsets = np.zeros(1, np.int64)
+        self.begin = self.count = np.zeros(0, np.int64)
 
     def _learn(self, keys: list[str]) -> None:
         """Keys are words without the space before them; leading spaces are further ones."""
         v = self.vocab
-        split = [v.known.findall(SPACE + w) if (w := k.lstrip(SPACE)) else [] for k in keys]
-        distinct = list(dict.fromkeys(s for parts in split for s in parts if s[0] in v.code))
-        coded = dict(zip(distinct, encode_words(distinct, v), strict=True))
-        flat: list[int] = []
-        ends = []
-        for k, parts in zip(keys, split, strict=True):
-            if not parts:
-                flat += v.space_run(len(k) + 1)
-            for j, s in enumerate(parts):
-                ids = coded[s] if s in coded else [v.byte_ids[b] for b in s.encode("utf-8", "surrogatepass")]
-                if j == 0:
-                    run = len(k) - len(k.lstrip(SPACE))
-                    if run and ids[0] == v.space:
-                        flat += v.space_run(run + 1)
-                        ids = ids[1:]
-                    elif run:
-                        flat += v.space_run(run)
-                flat += ids
-            ends.append(len(flat))
-        n = len(self.number)
-        self.number.update((k, n + i) for i, k in enumerate(keys))
-        self.offsets = np.concatenate((self.offsets, len(self.tokens) + np.array(ends, np.int64)))
-        self.tokens = np.concatenate((self.tokens, np.array(flat, np.int32)))
+        odd = [k for k in keys if not k or v.other.search(k)]  # with characters without a piece, or only spaces
+        plain = list(set(keys).difference(odd))
+        split = [v.known.findall(SPACE + w) if (w := k.lstrip(SPACE)) else [] for k in odd]
+        words = [SPACE + k for k in plain]
+        parts = list({s for x in split for s in x if s[0] in v.code} - set(words))
+        words += parts
+        tokens, counts = [], []
+        a = size = 0
+        for i, s in enumerate(words):
+            size += len(s)
+            if size >= MATCH_CHARS or i + 1 == len(words):
+                t, c = encode_words(words[a : i + 1], v)
+                tokens.append(t)
+                counts.append(c)
+                a, size = i + 1, 0
+        flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int32)
+        count = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+        begin = np.cumsum(count) - count
+        place = {s: i for i, s in enumerate(words)} if odd else {}
+        joined: list[int] = []
+        sizes = []
+        for k, x in zip(odd, split, strict=True):
+            before = len(joined)
+            if not x:
+                joined += v.space_run(len(k) + 1)
+            for j, s in enumerate(x):
+                i = place.get(s, -1)
+                ids = flat[begin[i] : begin[i] + count[i]].tolist() if i >= 0 else [v.byte_ids[b] for b in s.encode("utf-8", "surrogatepass")]
+                if j == 0 and (run := len(k) - len(k.lstrip(SPACE))):
+                    alone = ids[0] == v.space
+                    joined += v.space_run(run + alone)
+                    ids = ids[alone:]
+                joined += ids
+            sizes.append(len(joined) - before)
+        known = len(self.number)
+        self.number.update((k, known + i) for i, k in enumerate(plain + odd))
+        n = np.concatenate((count[: len(plain)], np.array(sizes, np.int64)))
+        at = np.concatenate((begin[: len(plain)], len(flat) + np.cumsum(sizes, dtype=np.int64) - np.array(sizes, np.int64)))
+        self.begin, self.count = np.concatenate((self.begin, len(self.tokens) + at)), np.concatenate((self.count, n))
+        self.tokens = np.concatenate((self.tokens, flat, np.array(joined, np.int32)))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(tokens of all texts, number of tokens of each)."""
@@ -292,13 +313,13 @@ class Encoder:
             counts.append(len(words))
         if len(self.number) > MOST_WORDS:
             self._forget()
-        new = [k for k in dict.fromkeys(keys) if k not in self.number]
+        new = set(keys).difference(self.number)
         if new:
-            self._learn(new)
-        which = np.fromiter((self.number[k] for k in keys), np.int64, len(keys))
-        n = self.offsets[which + 1] - self.offsets[which]
+            self._learn(list(new))
+        which = np.array(list(map(self.number.__getitem__, keys)), np.int64)
+        n = self.count[which]
         begin = np.cumsum(n) - n
-        tokens = self.tokens[np.arange(int(n.sum())) - np.repeat(begin - self.offsets[which], n)]
+        tokens = self.tokens[np.arange(int(n.sum())) + np.repeat(self.begin[which] - begin, n)]
         ends = np.append(0, np.cumsum(n))
         at = np.append(0, np.cumsum(counts))
         return tokens, np.diff(ends[at])
@@ -342,15 +363,44 @@ def encoded(docs: DataFrame, text_col: str = "text", keep: list[str] | None = No
     def run(batches):
         encoder = Encoder(shared.value)
         for b in batches:
-            texts = b.column(len(kept)).to_pylist()
-            a = n = 0
-            for i, x in enumerate(texts):
-                n += len(x or "")
-                if n >= CHUNK_CHARS or i + 1 == len(texts):
-                    tokens, counts = encoder.encode(texts[a : i + 1])
-                    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(tokens, pa.int32()))
-                    yield pa.RecordBatch.from_arrays([*(c.slice(a, i + 1 - a) for c in b.columns[: len(kept)]), lists, pa.array(counts, pa.int32())], [*kept, *new])
-                    a, n = i + 1, 0
+            for a, texts in text_chunks(b.column(len(kept))):
+                tokens, counts = encoder.encode(texts)
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, len(texts)) for c in b.columns[: len(kept)]), lists(tokens, counts), pa.array(counts, pa.int32())], [*kept, *new])
+
+    return rows.mapInArrow(run, schema)
+
+
+def text_chunks(texts: pa.Array, chars: int = CHUNK_CHARS):
+    """(first index, texts) of stretches of about `chars` characters."""
+    a, n, out = 0, 0, []
+    for i in range(len(texts)):
+        out.append(texts[i].as_py())
+        n += len(out[-1] or "")
+        if n >= chars or i + 1 == len(texts):
+            yield a, out
+            a, n, out = i + 1, 0, []
+
+
+def lists(tokens: np.ndarray, counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(tokens, pa.int32()))
+
+
+def round_trips(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
+    """(id, n_tokens, token_ids, decoded_sha256, round_trip): the tokens of every whole text, and what decoding them gives."""
+    rows = docs.select(id_col, F.col(text_col).cast("string").alias("text"))
+    schema = rows.select(id_col).schema.add("n_tokens", "integer").add("token_ids", ArrayType(IntegerType())).add("decoded_sha256", "string").add("round_trip", "boolean")
+    names = schema.fieldNames()
+    shared = docs.sparkSession.sparkContext.broadcast(load(model))
+
+    def run(batches):
+        encoder, table = Encoder(shared.value), byte_table(shared.value)
+        for b in batches:
+            for a, texts in text_chunks(b.column(1)):
+                tokens, counts = encoder.encode(texts)
+                back = [decode(t.tolist(), table) for t in np.split(tokens, np.cumsum(counts)[:-1])]
+                digests = [hashlib.sha256(x.encode()).hexdigest() for x in back]
+                same = [x == (t or "").replace(SPACE, " ") for x, t in zip(back, texts, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, len(texts)), pa.array(counts, pa.int32()), lists(tokens, counts), pa.array(digests), pa.array(same)], names)
 
     return rows.mapInArrow(run, schema)
 
@@ -369,8 +419,4 @@ def decoded(df: DataFrame, ids_col: str = "token_ids", out_col: str = "decoded",
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of every whole text, and whether decoding gives the text back."""
-    docs = common.table(spark, sf_dir, "documents")
-    out = decoded(encoded(docs.select("doc_id", "text")))
-    same = F.coalesce(F.col("text"), F.lit("")) == F.coalesce("decoded", F.lit(""))
-    return out.select("doc_id", "n_tokens", "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"), same.alias("round_trip"))
+    return round_trips(common.table(spark, sf_dir, "documents"))
