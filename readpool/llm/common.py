@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 import sys
 import tempfile
 import uuid
@@ -53,3 +55,19 @@ def lowest_hash_rows(df: DataFrame, id_col: str, most: int, salt: int = 0) -> Da
     h = F.xxhash64(F.lit(salt), F.col(id_col))
     kth = df.select(h.alias("h")).orderBy("h").limit(most).agg(F.max("h")).first()[0]
     return df.filter(h <= kth) if kth is not None else df.filter(F.lit(False))
+
+
+def renamed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """`df` with columns named by place, so that no name of an operator's own can clash, and the new name of each column."""
+    names = [f"column_{i}__" for i in range(len(df.columns))]
+    return df.toDF(*names), dict(zip(df.columns, names, strict=True))
+
+
+def give_back_memory() -> None:
+    """Returns what Python workers have freed to the system, where the C library can; workers live on after a task."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(ctypes.util.find_library("c")), "malloc_trim", None)
+    if trim:
+        trim(0)

@@ -127,12 +127,14 @@ def mixed(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source"
     return rows.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"), *(F.col(f"carry_{c}").alias(c) for c in carry))
 
 
-def take(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
+def take(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", **options) -> DataFrame:
     """The mix itself: a document of which it takes q whole copies and r words more gives q equal rows and one row with its
     first r words; one of which it takes nothing gives none. Columns stay those of `docs`."""
-    numbered = common.stored(docs.withColumn("row__", F.monotonically_increasing_id()))
-    amounts = mixed(numbered, text_col=text_col, carry=("row__",), **options).select(F.col("row__").alias("of__"), F.col("size").alias("size__"), F.col("taken").alias("taken__"))
-    rows = numbered.join(amounts.filter("taken__ > 0"), F.col("row__") == F.col("of__")).select(*docs.columns, "size__", "taken__")
+    plain, name = common.renamed(docs)
+    numbered = common.stored(plain.withColumn("row__", F.monotonically_increasing_id()))
+    amounts = mixed(numbered, name[id_col], name[text_col], name[source_col], carry=("row__",), **options)
+    amounts = amounts.filter("taken > 0").select(F.col("row__").alias("of__"), F.col("size").alias("size__"), F.col("taken").alias("taken__"))
+    rows = numbered.join(amounts, F.col("row__") == F.col("of__")).select(*plain.columns, "size__", "taken__").toDF(*docs.columns, "size__", "taken__")
     columns = docs.columns
     at = columns.index(text_col)
     word = re.compile(common.WORD)

@@ -299,4 +299,5 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of `docs` that are not predicted toxic, as they are."""
     lexicon = fitted(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
-    return scored(docs, lexicon).filter(F.col("predicted") == 0).select(*docs.columns)
+    plain, name = common.renamed(docs)
+    return scored(plain, lexicon, name["text"]).filter(F.col("predicted") == 0).select(*plain.columns).toDF(*docs.columns)
