@@ -2,16 +2,19 @@
 
 Sets are the distinct 3-word shingles of a text (64-bit hashes). Texts with one set are one set from the start. The index
 lists that a set enters come from a pigeonhole scheme: sets a <= b with Jaccard similarity 0.9 or more differ in at most
-(a + b) / 19 shingles, so of m = 2 * u / 19 + 1 parts of the hash space (u: the largest size of the size class) one at
-least holds the same shingles in both. A list is a part with its exact content; a set enters the lists of its own class
-and of the next, as a partner may be one class larger. Sets with an empty part also enter lists by prefix filter.
-
-Skipping on the index: the entries of a list stand by size, and are cut into blocks; entries beyond 10/9 of a block's
-first size cannot match it and are skipped. The first set of a block is its pivot: it is compared with all others.
-Answers from similar sets: sets linked to one pivot have one component, and only lists that still hold several
-components are looked at again; there, two sets are compared only if their distances from the pivot, already known,
-differ by at most 0.1 (Jaccard distance is a metric). So a group of copies costs one comparison for each member, no pair
-of sets that could link is left out, and all links are decided by exact intersection.
+(a + b) / 19 shingles, so of m = H + 1 + r parts of the hash space (H = 2 * u / 19, u: the largest size of the size class)
+r + 1 at least hold the same shingles in both. A list is a part with its exact content; a set enters the lists of its own
+class and of the next, as a partner may be one class larger. Parts of SMALL shingles or fewer say little; a set with no more
+than r of them leaves them out, and others enter them too, and lists by prefix filter if a part is empty.
+
+Answers from similar sets: the pivot of a list is its set that enters most lists of several, which is the least edited of
+a group of copies and so the pivot of all lists of the group. It is compared with the other sets of its lists. Sets linked
+to one pivot have one component. Two sets x, y of a pivot p that are not known as one component differ in
+|D(x)| + |D(y)| - 2 |D(x) & D(y)| shingles, where D(x) is what x and p do not share; so unless both are linked to p they can
+link only if their differences overlap enough. Lists of differences, rarest shingles first, hold only the first positions
+that such an overlap must touch, and two sets are skipped if too few positions are left after a common one (`across`). So a
+group of copies costs one comparison for each member, no pair of sets that could link is left out, and all links are decided
+by exact intersection.
 
 Defined results: null, empty and blank texts have no shingle and link with nothing; repeated rows are documents with equal
 sets; rows without an id are left out of components of others (their component is null); ids are 64-bit integers.
@@ -24,7 +27,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from readpool.llm import common
@@ -34,6 +37,7 @@ NO_ID = -(1 << 63)
 FILTER_BITS = 24  # of the broadcast filter of documents to read again: 2 MiB, whatever the input
 CHUNK_CHARS = 4_000_000
 FLUSH = 1_000_000
+SMALL = 3
 ENTRIES = 4_000_000  # that a merging task holds at once
 
 U = np.uint64
@@ -119,21 +123,24 @@ def list_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         content = mix(tokens + U(0x1234567))
         for scheme in (own, own + 1):
-            parts = 2 * high[scheme] // 19 + 1
+            differ = 2 * high[scheme] // 19
+            spare = -(-8 * differ // 100)
+            parts = differ + spare + 1
             base = np.cumsum(parts) - parts
             place = mix(tokens ^ np.repeat(mix(scheme.astype(np.uint64)), n)) >> U(33)
             part = (place * np.repeat(parts, n).astype(np.uint64)) >> U(31)
             cell = np.repeat(base, n) + part.astype(np.int64)
             sums = np.zeros(int(parts.sum()), np.uint64)
             np.add.at(sums, cell, content)
-            filled = np.zeros(len(sums), bool)
-            filled[cell] = True
+            held = np.bincount(cell, minlength=len(sums))
             of = np.repeat(np.arange(len(some)), parts)
             number = np.arange(len(sums)) - base[of]
             key = mix(sums + mix(scheme.astype(np.uint64) * U(1 << 32))[of] + number.astype(np.uint64) * U(0x9E3779B97F4A7C15))
-            keys.append(key[filled])
-            owner.append(some[of[filled]])
-            for i in np.unique(of[~filled]).tolist():
+            poor = np.bincount(of[held <= SMALL], minlength=len(some)) > spare
+            enters = (held > SMALL) | (held > 0) & poor[of]
+            keys.append(key[enters])
+            owner.append(some[of[enters]])
+            for i in np.unique(of[(held == 0) & poor[of]]).tolist():
                 prefix = tokens[offsets[i] : offsets[i] + n[i] - -(-9 * n[i] // 10) + 1]  # of the sorted hashes
                 keys.append(mix(mix(prefix) + U(int(scheme[i]) * 2 + 1)))
                 owner.append(np.full(len(prefix), some[i]))
@@ -197,16 +204,16 @@ def indexed(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def merged(index: DataFrame) -> DataFrame:
-    """(kind, x, s, n, p): documents (0: id, set, size) and the entries of lists with several sets (1: key, set, size, pivot).
+    """(kind, x, s, n): documents (0: id, set, size) and the entries of lists with several sets (1: key, set, size).
 
     A task holds one entry of each list and ENTRIES more: longer lists stream through it.
     """
 
     def run(batches):
-        names = ["kind", "x", "s", "n", "p"]
+        names = ["kind", "x", "s", "n"]
 
-        def out(kind, x, s, n, p):
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int32)), pa.array(x.astype(np.int64)), pa.array(s), pa.array(n.astype(np.int32)), pa.array(p)], names)
+        def out(kind, x, s, n):
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int32)), pa.array(x.astype(np.int64)), pa.array(s), pa.array(n.astype(np.int32))], names)
 
         empty = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, bool))
         state, held, count = empty, [], 0
@@ -222,26 +229,16 @@ def merged(index: DataFrame) -> DataFrame:
             group = np.cumsum(head) - 1
             start = np.flatnonzero(head)
             several = np.diff(np.append(start, len(keys)))[group] > 1
-            # Blocks: a pivot meets entries up to 10/9 of its size.
-            pivot = start[group]
-            while True:
-                over = several & (sizes.astype(np.int64) * 9 > sizes[pivot].astype(np.int64) * 10)
-                if not over.any():
-                    break
-                at = np.where(over, np.arange(len(keys)), len(keys))
-                nxt = np.full(len(keys), len(keys))
-                np.minimum.at(nxt, pivot[over], at[over])
-                pivot = np.where(over, nxt[pivot], pivot)
             told_new = told.copy()
             told_new[several] = True
-            rows = out(1, keys[several].view(np.int64), sets[several], sizes[several], sets[pivot][several])
+            rows = out(1, keys[several].view(np.int64), sets[several], sizes[several])
             return rows, tuple(c[start] for c in (keys, sets, sizes, told_new))
 
         for b in batches:
             for kind, x, s, n in zip(*(b.column(i).to_pylist() for i in range(1, 5)), strict=True):
                 sets, sizes = np.frombuffer(s, np.int64), np.frombuffer(n, np.int32)
                 if kind == 0:
-                    yield out(0, np.frombuffer(x, np.int64), sets, sizes, sets)
+                    yield out(0, np.frombuffer(x, np.int64), sets, sizes)
                 else:
                     held.append((np.frombuffer(x, np.uint64), sets, sizes, np.zeros(len(sets), bool)))
                     count += len(sets)
@@ -252,7 +249,7 @@ def merged(index: DataFrame) -> DataFrame:
         if held:
             yield compact()[0]
 
-    return index.mapInArrow(run, "kind int, x long, s long, n int, p long")
+    return index.mapInArrow(run, "kind int, x long, s long, n int")
 
 
 def id_filter(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
@@ -265,7 +262,8 @@ def id_filter(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
 
 
 def wanted_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(s, t): the shingle hashes of the sets in `wanted` (s, id: a document that has the set), read from the texts again."""
+    """(s, t): the shingle hashes of the sets in `wanted` (s, id: a document that has the set), read from the texts again,
+    and of a few more sets that pass the filter of documents."""
     filter_ = docs.sparkSession.sparkContext.broadcast(id_filter(wanted))
     rows = docs.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS)).alias("b"))
 
@@ -274,35 +272,71 @@ def wanted_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             b = batch.column(2).to_numpy()
             on = np.flatnonzero((filter_.value[b >> 6] >> (b & 63).astype(np.uint64)) & U(1))
-            ids, texts = batch.column(0).take(pa.array(on)), batch.column(1).take(pa.array(on)).to_pylist()
-            for a, chunk in text_chunks(texts):
+            for _, chunk in text_chunks(batch.column(1).take(pa.array(on)).to_pylist()):
                 sets = shingler.sets(chunk)
-                yield pa.RecordBatch.from_arrays([ids.slice(a, len(sets)), pa.array(set_ids(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "s", "t"])
+                yield pa.RecordBatch.from_arrays([pa.array(set_ids(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], ["s", "t"])
 
-    found = rows.filter("id IS NOT NULL").mapInArrow(run, "id long, s long, t binary")
-    return found.join(wanted.select(F.col("id").alias("i_"), F.col("s").alias("s_")), (F.col("id") == F.col("i_")) & (F.col("s") == F.col("s_"))).select("s", "t").dropDuplicates(["s"])
+    return rows.filter("id IS NOT NULL").mapInArrow(run, "s long, t binary").dropDuplicates(["s"])
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, inter, total) for distinct pairs of sets: sizes of their intersection and union."""
+    """(a, b, na, nb, inter, diff) for pairs of sets: their sizes, that of the intersection, and what they do not share."""
     left, right = sets.select(F.col("s").alias("a_"), F.col("t").alias("ta")), sets.select(F.col("s").alias("b_"), F.col("t").alias("tb"))
+    left = left.join(pairs.select("a").distinct(), F.col("a_") == F.col("a"), "left_semi")
     joined = pairs.join(right, F.col("b") == F.col("b_")).join(left, F.col("a") == F.col("a_")).select("a", "b", "ta", "tb")
 
     def run(batches):
         for x in batches:
-            inter, total = [], []
+            numbers, diffs = [], []
             for ta, tb in zip(x.column(2).to_pylist(), x.column(3).to_pylist(), strict=True):
                 a, b = np.frombuffer(ta, np.uint64), np.frombuffer(tb, np.uint64)
-                both = np.sort(np.concatenate((a, b)))
-                n = int((both[1:] == both[:-1]).sum())
-                inter.append(n)
-                total.append(len(a) + len(b) - n)
-            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(inter, pa.int32()), pa.array(total, pa.int32())], ["a", "b", "inter", "total"])
+                place = np.minimum(np.searchsorted(a, b), len(a) - 1)
+                both = a[place] == b
+                lost = np.ones(len(a), bool)
+                lost[place[both]] = False
+                numbers.append((len(a), len(b), int(both.sum())))
+                diffs.append(np.concatenate((b[~both], a[lost])).view(np.int64))
+            na, nb, inter = (pa.array(c, pa.int32()) for c in (zip(*numbers, strict=True) if numbers else [[]] * 3))
+            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), na, nb, inter, pa.array(diffs, pa.list_(pa.int64()))], ["a", "b", "na", "nb", "inter", "diff"])
+
+    return joined.mapInArrow(run, "a long, b long, na int, nb int, inter int, diff array<long>")
+
 
-    return joined.mapInArrow(run, "a long, b long, inter int, total int")
+LINKED = "100L * inter >= 90L * (na + nb - inter)"
 
 
-LINKED = "100L * inter >= 90L * total"
+def across(known: DataFrame, groups: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of sets with one pivot and different components that may link.
+
+    Let T = (|x| + |y|) / 19 be what linked sets may differ in, d = |D|, and e = max(0, |x| - |p|) / 19, rounded up. A link
+    asks for an overlap c >= (d(x) + d(y) - T) / 2 of the differences, so it touches the first d(x) - c + 1 positions of D(x),
+    in any order common to all. If y is not linked to p, that is the first (d(x) - 1 + e) / 2 + 1; and whatever y is, it is
+    the first T + 1 at most, as d(x) and d(y) differ by T at most.
+    """
+    node = groups.select("node", "component")
+    at = lambda c: node.select(F.col("node").alias(f"{c}_"), F.col("component").alias(f"c{c}"))
+    members = known.join(at("b"), F.col("b") == F.col("b_"), "left").join(at("a"), F.col("a") == F.col("a_"), "left")
+    members = members.withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).drop("a_", "b_")
+    several = members.groupBy("a").agg(F.least(F.min("ca"), F.min("cb")).alias("lo"), F.greatest(F.max("ca"), F.max("cb")).alias("hi"), F.count(F.lit(1)).alias("k")).filter("lo <> hi AND k > 1")
+    members = members.join(several.select(F.col("a").alias("p_")), F.col("a") == F.col("p_"), "left_semi")
+    half = "floor((size(diff) - 1 + ceil(greatest(0, nb - na) / 19)) / 2) + 1"
+    reach = F.expr(f"IF({LINKED}, {half}, least(size(diff), floor((nb + floor(10 * nb / 9)) / 19) + 1))").cast("int")
+    members = members.select("a", "b", "nb", "cb", F.expr(LINKED).alias("linked"), F.expr(half).cast("int").alias("half"), reach.alias("reach"), F.size("diff").alias("d"), "diff")
+    tokens = common.stored(members.select("a", "b", F.explode("diff").alias("token")))
+    often = tokens.groupBy("a", "token").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select(F.col("a").alias("a_"), F.col("token").alias("t_"), "times")
+    shared = tokens.join(often, (F.col("a") == F.col("a_")) & (F.col("token") == F.col("t_"))).select("a", "b", "token", "times")
+    # Shingles that one set alone has stand first and meet nothing: only their number is needed.
+    own = Window.partitionBy("a", "b")
+    shared = shared.withColumn("place", F.row_number().over(own.orderBy("times", "token")) - 1).withColumn("held", F.count(F.lit(1)).over(own))
+    sizes = members.drop("diff").withColumnsRenamed({"a": "a_", "b": "b_"})
+    shared = shared.join(sizes, (F.col("a") == F.col("a_")) & (F.col("b") == F.col("b_"))).drop("a_", "b_", "times")
+    shared = common.stored(shared.withColumn("place", (F.col("place") + F.col("d") - F.col("held")).cast("int")).filter("place < reach").drop("held", "reach"))
+    # What overlap a link needs, and what is left of either difference from the common shingle on.
+    may = "x.a = y.a AND x.token = y.token AND x.cb <> y.cb AND 10L * least(x.nb, y.nb) >= 9L * greatest(x.nb, y.nb) AND least(x.d - x.place, y.d - y.place) * 2 >= x.d + y.d - floor((x.nb + y.nb) / 19)"
+    ends = lambda x, y: x.alias("x").join(y.alias("y"), F.expr(may)).select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b"))
+    free = shared.filter("NOT linked")
+    short = free.filter("place < half")
+    return ends(short, short).unionByName(ends(free, shared.filter("linked"))).filter("a < b").distinct()
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -314,31 +348,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     buckets = 1 << max(6, math.ceil(math.log2(8 * parts)))
     found = common.stored(merged(indexed(rows, buckets).repartition(parts, "bucket")))
     owners = found.filter("kind = 0").select(F.col("x").alias("id"), "s", "n")
-    lists = found.filter("kind = 1").select(F.col("x").alias("k"), "s", "n", "p")
+    lists = found.filter("kind = 1").select(F.col("x").alias("k"), "s").distinct()
 
-    first = lists.filter("s <> p").select(F.col("p").alias("a"), F.col("s").alias("b")).distinct()
-    first = common.stored(first)
-    nodes = first.select(F.col("a").alias("s")).union(first.select(F.col("b").alias("s"))).distinct()
+    weight = lists.groupBy(F.col("s").alias("s_")).agg(F.count(F.lit(1)).alias("w"))
+    lists = lists.join(weight, F.col("s") == F.col("s_")).drop("s_")
+    pivots = lists.groupBy(F.col("k").alias("k_")).agg(F.max(F.struct("w", "s"))["s"].alias("a"))
+    pairs = common.stored(lists.join(pivots, F.col("k") == F.col("k_")).filter("s <> a").select("a", F.col("s").alias("b")).distinct())
+    nodes = pairs.select(F.col("a").alias("s")).union(pairs.select(F.col("b").alias("s"))).distinct()
     holder = owners.filter(F.col("id") != NO_ID).groupBy("s").agg(F.min("id").alias("id"))
-    wanted = common.stored(holder.join(nodes, "s"))
-    sets = common.stored(wanted_sets(rows, wanted))
-    known = common.stored(compared(first, sets))
+    sets = common.stored(wanted_sets(rows, common.stored(holder.join(nodes, "s"))))
+    known = common.stored(compared(pairs, sets))
     links = known.filter(LINKED).select("a", "b")
     groups = common.stored(connected_components(links))
-
-    # Lists that still hold several components: pairs across them, as far as the distances from the pivot allow a link.
-    comp = groups.select(F.col("node").alias("s_"), "component")
-    entries = lists.join(comp, F.col("s") == F.col("s_"), "left").withColumn("c", F.coalesce("component", "s")).drop("s_", "component")
-    open_lists = entries.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select(F.col("k").alias("k_"))
-    apart = F.when(F.col("s") == F.col("p"), F.lit(0.0)).otherwise(1 - F.col("inter") / F.col("total"))
-    entries = entries.join(open_lists, F.col("k") == F.col("k_"), "left_semi")
-    entries = entries.join(known, (F.col("p") == F.col("a")) & (F.col("s") == F.col("b")), "left").select("k", "s", "n", "p", "c", apart.alias("d"))
-    entries = common.stored(entries)
-    x, y = entries.alias("x"), entries.alias("y")
-    across = x.join(y, F.expr("x.k = y.k AND x.c <> y.c AND x.s < y.s AND x.s <> y.p AND y.s <> x.p AND 10L * least(x.n, y.n) >= 9L * greatest(x.n, y.n) AND (x.p <> y.p OR abs(x.d - y.d) <= 0.1000001)"))
-    across = common.stored(across.select(F.col("x.s").alias("a"), F.col("y.s").alias("b")).distinct())
-    if not across.isEmpty():
-        links = common.stored(links.unionByName(compared(across, sets).filter(LINKED).select("a", "b")))
+    more = common.stored(across(known, groups))
+    if not more.isEmpty():
+        links = common.stored(links.unionByName(compared(more, sets).filter(LINKED).select("a", "b")))
         groups = common.stored(connected_components(links))
     degree = links.select(F.col("a").alias("s")).unionAll(links.select(F.col("b").alias("s"))).groupBy("s").agg(F.count(F.lit(1)).alias("n_links"))
 
