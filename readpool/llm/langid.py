@@ -142,7 +142,7 @@ def posteriors(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray,
     return out, expected
 
 
-def train(sample: list[tuple[str, str]], epochs: int = EPOCHS, rate: float = 0.6, batch: int = 150) -> dict | None:
+def train(sample: list[tuple[str, str]], epochs: int = EPOCHS, rate: float = 0.6, steps: int = 16) -> dict | None:
     """The model from (text, language) pairs, or None where none has a word."""
     labels = sorted({y for _, y in sample})
     rows = [(w, labels.index(y)) for x, y in sample if (w := WORDS.findall(x.lower()))]
@@ -155,7 +155,7 @@ def train(sample: list[tuple[str, str]], epochs: int = EPOCHS, rate: float = 0.6
     order = np.random.default_rng(0)
     for epoch in range(epochs if k > 1 else 0):
         counts = np.ones((k, k))
-        for ids in np.array_split(order.permutation(len(rows)), max(1, len(rows) // batch)):
+        for ids in np.array_split(order.permutation(len(rows)), min(steps, len(rows))):
             seqs = [w for i in ids for w in (rows[i][0][a : a + BLOCK] for a in range(0, len(rows[i][0]), BLOCK))]
             y = np.concatenate([np.full(len(rows[i][0]), rows[i][1]) for i in ids])
             flat = [w for s in seqs for w in s]
@@ -167,7 +167,10 @@ def train(sample: list[tuple[str, str]], epochs: int = EPOCHS, rate: float = 0.6
             p, expected = posteriors(e[code], lengths, transitions, start, pairs=True)
             gold = y
             if epoch >= 2:
-                sure = p.max(1) > 0.9
+                # Words of a document that the field gives to its own label for the most part may be of another language.
+                own = np.array([len(rows[i][0]) for i in ids])
+                kept = np.add.reduceat(p[np.arange(len(y)), y], np.cumsum(own) - own) / own > 0.5
+                sure = (p.max(1) > 0.9) & np.repeat(kept, own)
                 gold = np.where(sure, p.argmax(1), y)
                 ends = np.cumsum(lengths)[:-1] - 1
                 inner = np.ones(len(gold) - 1, bool)
@@ -176,12 +179,14 @@ def train(sample: list[tuple[str, str]], epochs: int = EPOCHS, rate: float = 0.6
                 observed = np.zeros((k, k))
                 np.add.at(observed, (gold[:-1][inner], gold[1:][inner]), 1)
                 transitions += 0.5 * (observed - expected) / max(1, observed.sum())
-            d = p - np.eye(k)[gold]
+            # A document weighs as 200 words at most, so that a long one does not outweigh all others of a step.
+            weight = np.concatenate([np.full(n, min(1.0, 200 / n)) for n in (len(rows[i][0]) for i in ids)])
+            d = (p - np.eye(k)[gold]) * (100 * weight / weight.sum())[:, None]
             grad = np.zeros((len(unique), k))
             np.add.at(grad, code, d)
             by_gram = np.repeat(grad / np.sqrt(n)[:, None], n, axis=0)
             used, place = np.unique(f, return_inverse=True)
-            g = np.stack([np.bincount(place, by_gram[:, j], len(used)) for j in range(k)], 1) / len(ids) + 1e-4 * weights[used]
+            g = np.stack([np.bincount(place, by_gram[:, j], len(used)) for j in range(k)], 1) + 1e-4 * weights[used]
             squares[used] += g**2
             weights[used] -= rate * g / np.sqrt(squares[used])
         if epoch >= 2:
@@ -204,9 +209,9 @@ def fitted(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", *
     bounds = tops[0]
     for t in tops[1:]:
         bounds = bounds.unionByName(t)
-    wanted = None
+    wanted = F.lit(False)
     for y, top in bounds.groupBy("y").agg(F.max("h")).collect():
-        wanted = (c := (F.col("y") == y) & (h <= top)) if wanted is None else wanted | c
+        wanted = wanted | ((F.col("y") == y) & (h <= top))
     chosen = rows.filter(wanted).select("y", "x", h.alias("h"), F.length("x").alias("n")).orderBy("h", "x")
     out, chars = [], 0
     for r in chosen.toLocalIterator():

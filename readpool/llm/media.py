@@ -4,8 +4,9 @@
 and dimensions, and the byte range of every keyframe. `text_movies` is the writer used by the query: it
 stores bytes losslessly as 8-bit monochrome frames.
 
-Defined results: a null blob has status `null`; bytes without a `moov` or `moof` box have status `no_media` and no
-tracks; a box that runs past its parent ends the walk with status `truncated`, keeping what was read before.
+Defined results: a null blob has status `null`; bytes without a whole `moov` or `moof` box have status `no_media` and no
+tracks; where one was found, a later box that runs past its parent, or a sample table that does, gives status `truncated`,
+and what was read before is kept.
 """
 
 from __future__ import annotations
@@ -226,7 +227,7 @@ def walk(data: memoryview) -> dict:
     try:
         visit(0, len(data), None, 0, 0)
     except (Truncated, struct.error, IndexError):
-        out["status"] = "truncated"
+        out["status"] = "truncated" if out["status"] == "ok" else out["status"]
     for track in out["tracks"]:
         try:
             track["samples"].insert(0, table_samples(data, track["tables"]))

@@ -3,12 +3,13 @@
 A text is cut into clauses at sentence punctuation and line ends. Each word of a clause maps to a class (insult, threat,
 target, negation, reported speech, other) by a lexicon, and three transducers over classes are composed into one
 machine: negation weakens an insult or threat within SCOPE words after it, reported speech weakens all that follow in
-the clause, and a target anywhere before or after it strengthens it. The machine's output weight is the clause's score;
-single words have none. The score of a document is 1 - prod(1 - p) over its clauses, where p is the logistic of clause
-weight plus BIAS; clauses without an insult or threat count nothing.
+the clause, and a target anywhere before or after it strengthens it. So a match has a factor from its clause; single words
+have none. An entry of the lexicon has a weight for one match in a document and one for several; the score of a document is
+the logistic of BIAS plus the weights of its entries times the mean factors of their matches, and 0 without a match.
 
-The lexicon starts from short general lists. `fitted` adds words and word beginnings that mark toxic training texts,
-with their log-odds as weights, from a bounded sample: at most `max_toxic` and `max_clean` labelled rows.
+The lexicon starts from short general lists. `fitted` adds words and word beginnings that mark toxic training texts, or do
+so where they come up repeatedly, with their log-odds as weights, from a bounded sample: at most `max_toxic` and `max_clean`
+labelled rows.
 
 Defined results: a null or empty text scores 0; score >= THRESHOLD is predicted 1; rows without a label are scored like
 any other; a null label, or a label row without its document, is not learned from; of several label rows for one id the
@@ -93,9 +94,12 @@ def grammar(scope: int = SCOPE) -> dict:
     return negation.then(report).then(target).table(INSULT + THREAT + TARGET + NEGATION + REPORT + OTHER)
 
 
-def seeds() -> tuple[dict[str, tuple[str, float]], dict[str, tuple[str, float]]]:
-    """Whole words and word beginnings: each its class and weight."""
-    return {w: (kind, SEED_WEIGHT if kind in (INSULT, THREAT) else 0.0) for kind, words in SEEDS.items() for w in words}, {}
+Entry = tuple[str, float, float]  # class, weight of one match in a document, weight of several
+
+
+def seeds() -> tuple[dict[str, Entry], dict[str, Entry]]:
+    """Whole words and word beginnings."""
+    return {w: (kind, *[SEED_WEIGHT if kind in (INSULT, THREAT) else 0.0] * 2) for kind, words in SEEDS.items() for w in words}, {}
 
 
 def tokens(text: str) -> list[str]:
@@ -103,89 +107,99 @@ def tokens(text: str) -> list[str]:
 
 
 def fit(sample: list[tuple[str | None, int]], min_docs: int = 4) -> tuple[dict, dict]:
-    """Words and stems from (text, label) pairs. Copies of one text teach once: texts that share a rare shingle hash
-    with an earlier one of their class are left out, so that words of a copied text do not pass for toxic ones."""
-    seen: set[tuple[int, str]] = set()
-    texts: list[tuple[int, set[str]]] = []
+    """Words and stems from (text, label) pairs. Copies of one text teach once: a text most of whose lowest shingle hashes
+    came up in its class before is left out, so that the words of a copied text do not pass for toxic ones."""
+    seen: set[tuple[int, int]] = set()
+    texts: dict[int, list[tuple[set[str], set[str]]]] = {0: [], 1: []}  # words, and those that a text repeats
     for text, label in sample:
         words = tokens(text or "")
-        sketch = sorted(map(hash_text, map(" ".join, zip(words, words[1:], words[2:], strict=False))))[:4]
-        if any((label, h) in seen for h in sketch):
+        sketch = sorted(map(hash_text, map(" ".join, zip(words, words[1:], words[2:], strict=False))))[:6]
+        if sketch and sum((label, h) in seen for h in sketch) * 2 > len(sketch):
             continue
         seen.update((label, h) for h in sketch)
-        texts.append((label, set(map(sys.intern, words))))
-    n = Counter(label for label, _ in texts)
-    if not n[1] or not n[0]:
+        count = Counter(map(sys.intern, words))
+        texts[min(1, max(0, label))].append((set(count), {w for w, n in count.items() if n > 1}))
+    n1, n0 = len(texts[1]), len(texts[0])
+    if not n1 or not n0:
         return seeds()
-    toxic = [words for label, words in texts if label]
-    clean = Counter(w for label, words in texts if not label for w in words)
-
-    def stems_of(w: str) -> list[str]:
-        return [w[:k] for k in range(MIN_STEM, min(MAX_STEM, len(w) - 1) + 1)]
-
-    # Keys: a word (False), or all words that begin so (True). Counts first; texts are listed for the few good keys only.
-    counts = Counter((w, False) for words in toxic for w in words)
-    for words in toxic:
-        counts.update({(s, True) for w in words for s in stems_of(w)})
-    counts = {k: t for k, t in counts.items() if t >= 2}
-    clean_stems: Counter = Counter()
-    for w, c in clean.items():
-        for s in [*stems_of(w), w]:
-            if (s, True) in counts:
-                clean_stems[s] += c
 
     def odds(t: int, c: int) -> float:
-        return min(MAX_WEIGHT, math.log((t + 0.5) / (n[1] + 1)) - math.log((c + 0.5) / (n[0] + 1)))
+        return max(-MAX_WEIGHT, min(MAX_WEIGHT, math.log((t + 0.5) / (n1 + 1)) - math.log((c + 0.5) / (n0 + 1))))
 
-    def against(key: tuple[str, bool]) -> int:
-        return (clean_stems if key[1] else clean)[key[0]]
+    def matches(words: set[str], repeated: set[str], among=None, lengths=range(MIN_STEM - 1, MAX_STEM + 1)) -> Counter:
+        """1, or more for several, by key: a word (False), or all words that begin so (True). Length MIN_STEM - 1 stands for words."""
+        out: Counter = Counter()
+        for w in words:
+            for key in ((w[:k], True) if k >= MIN_STEM else (w, False) for k in lengths if k < len(w) or k < MIN_STEM):
+                if among is None or key in among:
+                    out[key] += 2 if w in repeated else 1
+        return out
 
+    def counts(label: int, least: int, among=None) -> tuple[Counter, Counter]:
+        """Texts with a key, and with several matches of it, for keys of `least` texts; lengths go one by one to hold less."""
+        once, more = Counter(), Counter()
+        for k in range(MIN_STEM - 1, MAX_STEM + 1):
+            one, two = Counter(), Counter()
+            for words, repeated in texts[label]:
+                for key, n in matches(words, repeated, among, (k,)).items():
+                    one[key] += 1
+                    if n > 1:
+                        two[key] += 1
+            once.update({key: t for key, t in one.items() if t >= least})
+            more.update({key: two[key] for key, t in one.items() if t >= least and key in two})
+        return once, more
+
+    toxic, toxic_more = counts(1, 2)
+    pool = {k for k, t in toxic.items() if t >= 3 and len(k[0]) >= MIN_STEM}
     whole, stems = seeds()
-    for w, (kind, _) in list(whole.items()):
-        t, c = counts.get((w, False), 0), clean[w]
+    known = {(w, False) for w, (kind, *_) in whole.items() if kind in (INSULT, THREAT)}
+    clean, clean_more = counts(0, 1, pool | known)
+    for w, (kind, *_) in list(whole.items()):
+        t, c = toxic[w, False], clean[w, False]
         if kind in (INSULT, THREAT) and t + c >= min_docs:
             if odds(t, c) <= 0:
                 del whole[w]  # the labels say that this word does no harm here
             else:
-                whole[w] = (kind, odds(t, c))
-    pool: dict[tuple[str, bool], set[int]] = {}
-    for key, t in counts.items():
-        c = against(key)
-        if len(key[0]) >= MIN_STEM and c <= t / 20 and odds(t, c) >= MIN_LOG_ODDS:
-            pool[key] = set()
+                whole[w] = (kind, odds(t, c), odds(t, c))
+    # Keys that mark toxic texts by any match, or by several; and the texts that they mark.
+    need = max(3, n1 // 300)
+    good: dict[tuple[str, bool], Entry] = {}
+    for k in pool:
+        t, c, t2, c2 = toxic[k], clean[k], toxic_more[k], clean_more[k]
+        if c <= t / 20 and odds(t, c) >= MIN_LOG_ODDS:
+            good[k] = (INSULT, odds(t, c), odds(t, c))
+        elif t2 >= 2 * need and c2 <= t2 / 4 and odds(t2, c2) >= MIN_LOG_ODDS - 0.5:
+            good[k] = (INSULT, min(odds(t - t2, c - c2), 0.5), odds(t2, c2))
+    marked: dict[tuple[str, bool], set[int]] = defaultdict(set)
     endings: dict[str, set[str]] = defaultdict(set)
-    for i, words in enumerate(toxic):
-        for w in words:
-            for key in ((w, False), *((s, True) for s in stems_of(w))):
-                if key in pool:
-                    pool[key].add(i)
-                    if key[1]:
-                        endings[key[0]].add(w)
-    pool = {key: found for key, found in pool.items() if not key[1] or len(endings[key[0]]) > 1}
-    known = [w for w, (kind, _) in whole.items() if kind in (INSULT, THREAT)]
-    left = {i for i, words in enumerate(toxic) if words.isdisjoint(known)}
-
-    def add(key: tuple[str, bool]) -> None:
-        entry = (INSULT, odds(len(pool[key]), against(key)))
-        (stems if key[1] else whole)[key[0]] = entry
+    left = set()
+    for i, (words, repeated) in enumerate(texts[1]):
+        if words.isdisjoint(w for w, _ in known if w in whole):
+            left.add(i)
+        for k, n in matches(words, repeated, good).items():
+            if n > 1 or good[k][1] == good[k][2]:
+                marked[k].add(i)
+            if k[1]:
+                endings[k[0]].update(w for w in words if w.startswith(k[0]))
+    marked = {k: f for k, f in marked.items() if not k[1] or len(endings[k[0]]) > 1}
 
     # What explains most of the toxic texts that nothing explains yet, again and again; then what marks many by itself.
-    need = max(3, n[1] // 300)
-    queue = [(-len(f & left), -len(k[0]), k) for k, f in pool.items() if len(f & left) >= need]
+    queue = [(-len(f & left), -len(k[0]), k) for k, f in marked.items() if len(f & left) >= need]
     heapq.heapify(queue)
     while queue:
         _, _, key = heapq.heappop(queue)
-        now = (-len(pool[key] & left), -len(key[0]), key)
+        now = (-len(marked[key] & left), -len(key[0]), key)
         if -now[0] < need:
             continue
         if queue and queue[0] < now:
             heapq.heappush(queue, now)
             continue
-        add(key)
-        left -= pool[key]
-    for key, found in sorted(pool.items(), key=lambda x: (-len(x[1]), x[0])):
-        if len(found) >= max(min_docs, n[1] / 50) and not any(key[0][:k] in stems for k in range(MIN_STEM, len(key[0]) + 1)) and not (key[1] and (any(w in whole for w in endings[key[0]]) or any(x.startswith(key[0]) for x in stems))):
-            add(key)
+        (stems if key[1] else whole)[key[0]] = good[key]
+        left -= marked[key]
+    for key, found in sorted(marked.items(), key=lambda x: (-len(x[1]), x[0])):
+        w, is_stem = key
+        if len(found) >= max(min_docs, n1 / 50) and not any(w[:k] in stems for k in range(MIN_STEM, len(w) + 1)) and not (is_stem and (any(x in whole for x in endings[w]) or any(x.startswith(w) for x in stems))):
+            (stems if is_stem else whole)[w] = good[key]
     return whole, stems
 
 
@@ -204,7 +218,7 @@ class Matcher:
         self.whole, self.stems, self.machine = whole, stems, machine
         self.find = ahocorasick.Automaton()
         for entries, whole_word in ((stems, False), (whole, True)):
-            for w, (kind, _) in entries.items():
+            for w, (kind, *_) in entries.items():
                 if kind in (INSULT, THREAT):
                     self.find.add_word(w, (len(w), whole_word and w not in stems))
         self.empty = not len(self.find)
@@ -212,29 +226,30 @@ class Matcher:
             self.find.make_automaton()
         self.lengths = sorted({len(s) for s in stems})
 
-    def classified(self, word: str) -> tuple[str, float]:
+    def classified(self, word: str) -> tuple[str, str]:
+        """(class, entry)."""
         if word in self.whole:
-            return self.whole[word]
+            return self.whole[word][0], word
         for k in self.lengths:
             if word[:k] in self.stems:
-                return self.stems[word[:k]]
-        return OTHER, 0.0
+                return self.stems[word[:k]][0], word[:k]
+        return OTHER, ""
 
-    def clause_weight(self, clause: str) -> tuple[float, int]:
-        """Weight put out by the machine, and how many insults and threats it met. A target that comes later counts too:
-        the machine runs on the clause rotated so that its targets come first."""
+    def clause_matches(self, clause: str) -> list[tuple[str, float]]:
+        """(entry, factor) of each insult and threat that the machine puts out. A target that comes later counts too: the
+        machine runs on the clause with its targets before all else."""
         classes = [self.classified(w) for w in WORDS.findall(clause)]
-        state, total, hits = 0, 0.0, 0
+        state, out = 0, []
         if any(kind == TARGET for kind, _ in classes):
             state = self.machine[state, TARGET][0]
-        for kind, weight in classes:
-            state, out, factor = self.machine[state, kind]
-            if out in (INSULT, THREAT):
-                total, hits = total + weight * factor, hits + 1
-        return total, hits
+        for kind, entry in classes:
+            state, emitted, factor = self.machine[state, kind]
+            if emitted in (INSULT, THREAT):
+                out.append((entry, factor))
+        return out
 
     def clauses(self, text: str):
-        """(start, end, weight, hits) of each clause with a match, in lower-cased text."""
+        """(start, end, matches) of each clause with a match, in lower-cased text."""
         if self.empty:
             return
         done = -1
@@ -245,17 +260,24 @@ class Matcher:
             begin = max(done, max(text.rfind(c, max(done, 0), first) for c in ".!?;:,\n") + 1)
             ends = CLAUSE_END.search(text, last + 1)
             done = ends.start() if ends else len(text)
-            weight, hits = self.clause_weight(text[begin:done])
-            if hits:
-                yield begin, done, weight, hits
+            if found := self.clause_matches(text[begin:done]):
+                yield begin, done, found
 
     def score(self, text: str | None) -> tuple[float, int, int]:
         """(score, matched clauses, insults and threats in them)."""
-        clean, clauses, hits = 1.0, 0, 0
-        for _, _, weight, n in self.clauses((text or "").lower()):
-            clean *= 1 - 1 / (1 + math.exp(-(weight + BIAS)))
-            clauses, hits = clauses + 1, hits + n
-        return 1 - clean, clauses, hits
+        factors: dict[str, list[float]] = defaultdict(list)
+        clauses = 0
+        for _, _, found in self.clauses((text or "").lower()):
+            clauses += 1
+            for entry, factor in found:
+                factors[entry].append(factor)
+        if not factors:
+            return 0.0, 0, 0
+        logit = BIAS
+        for entry, x in factors.items():
+            _, once, more = self.whole.get(entry) or self.stems[entry]
+            logit += (once if len(x) == 1 else more) * sum(x) / len(x)
+        return 1 / (1 + math.exp(-max(-50.0, min(50.0, logit)))), clauses, sum(map(len, factors.values()))
 
 
 def fitted(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", *, max_toxic=MAX_TOXIC, max_clean=MAX_CLEAN) -> tuple[dict, dict]:
