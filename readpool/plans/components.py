@@ -49,12 +49,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Large-star and small-star rounds alternate until the edges are stars. Each round is a table in the shared folder; the
     number of rounds grows with the logarithm of the nodes, and no task sees more than the edges of its partition.
     """
-    nodes = edges.select(F.col(a).alias("node")).union(edges.select(F.col(b).alias("node"))).filter("node IS NOT NULL").distinct()
     mark = {"n": F.count(F.lit(1)), "x": F.bit_xor(F.xxhash64("u", "v")), "y": F.sum(F.xxhash64("v", "u") % 1_000_003)}
-    now, seen = written_with(edges.filter(f"{a} <> {b}").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), **mark)
+    pairs = edges.filter(F.col(a).isNotNull() | F.col(b).isNotNull())
+    pairs = pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))  # of one end alone, a loop
+    now, seen = written_with(pairs.distinct(), **mark)
+    nodes = now.select("u").union(now.select("v")).distinct().withColumnRenamed("u", "node")
+    now = now.filter("u <> v")
     while seen["n"]:
         before = seen
         now, seen = written_with(star_step(now), **mark)
         if seen == before:
             break
-    return nodes.join(now, F.col("node") == F.col("u"), "left").select("node", F.coalesce("v", "node").alias("component"))
+    return nodes.join(now.withColumnsRenamed({"u": "n_", "v": "c_"}), F.col("node") == F.col("n_"), "left").select("node", F.coalesce("c_", "node").alias("component"))
