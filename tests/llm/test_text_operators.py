@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 
 from readpool.llm import jaccard, langid, linededup, media, mixing, pieces, suffixdedup, toxicity
 from tests.llm import cases
@@ -197,6 +198,15 @@ def test_interval_expansion_against_brute_force():
         assert [x.tolist() for x in suffixdedup.repeated_windows(texts, length)] == [[seen[p[i : i + length]] > 1 for i in range(len(p) - length + 1)] for p in texts]
 
 
+def test_large_groups_are_cut_again():
+    r = random.Random(9)
+    core = bytes(r.choice(b"abcd") for _ in range(60))
+    pieces = [bytes(r.choice(b"ab") for _ in range(r.randint(0, 12))) + core + bytes(r.choice(b"ab") for _ in range(r.randint(0, 12))) for _ in range(150)]
+    whole = [x.tolist() for x in suffixdedup.repeated_windows(pieces, 64)]
+    for anchor in (32, 60, 62):
+        assert [x.tolist() for x in suffixdedup.group_windows(pieces, 64, anchor, 500)] == whole
+
+
 def test_suffix_dedup_of_nothing(spark):
     assert suffixdedup.deduped(cases.frame(spark, [])).count() == 0
     assert suffixdedup.deduped(cases.frame(spark, [(1, None, None, None, None)])).first()["n_bytes"] == 0
@@ -207,7 +217,7 @@ def test_suffix_dedup_of_nothing(spark):
 
 def expected_lines(docs, least):
     """Deleted lines by document, by comparing all places of equal lines."""
-    key = lambda d: (d[0] is not None, d[0] or 0, linededup.text_hash(d[1]))
+    key = lambda d: (d[0] is not None, d[0] or 0, xxhash.xxh64_intdigest((d[1] or "").encode(), 42) + 2**63 & 2**64 - 1)
     docs = sorted({(i, t) for i, t, *_ in docs}, key=key)
     lines = {key(d): [x.strip() for x in (d[1] or "").encode().split(b"\n") if x.strip()] for d in docs}
     places = collections.defaultdict(list)
