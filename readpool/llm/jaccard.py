@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from readpool.llm import common
+from readpool.llm.common import give_back_memory
 from readpool.plans.components import connected_components
 
 NO_ID = -(1 << 63)
@@ -199,6 +200,7 @@ def indexed(docs: DataFrame, buckets: int) -> DataFrame:
                     held, count = [], 0
         if held:
             yield flush()
+        give_back_memory()
 
     return docs.mapInArrow(run, "bucket int, kind int, x binary, s binary, n binary")
 
@@ -248,6 +250,7 @@ def merged(index: DataFrame) -> DataFrame:
                 yield rows
         if held:
             yield compact()[0]
+        give_back_memory()
 
     return index.mapInArrow(run, "kind int, x long, s long, n int")
 

@@ -3,7 +3,8 @@
 Vectors are packed into blocks in vertical layout (one row of a matrix for each dimension). A query accumulates inner
 products dimension block by dimension block; after each, a candidate whose partial score plus the largest mass that the
 remaining dimensions can add (Cauchy-Schwarz) is below the k-th best lower bound is dropped, and the survivors are
-compacted. Components are integers and sums stay below 2**53, so scores are exact.
+compacted. Components are integers; where sums could leave the exact range of doubles, whole numbers of any size are used
+(a score that does not fit a bigint is given as the nearest one).
 
 Query blocks meet vector blocks in pairs, so no task holds more than one of each. Defined results: vectors that are
 null or hold null or non-finite components, and rows with a null id, take no part; a query meets vectors of its own
@@ -38,6 +39,8 @@ def quantised(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame
 def search_block(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, columns: np.ndarray, k: int, dim_block: int) -> list[tuple]:
     """The k best of one block of vectors (columns: dimensions x vectors) for each query: (query, id, score)."""
     d = columns.shape[0]
+    if d and np.abs(columns).max(initial=0) * np.abs(q).max(initial=0) * d >= 2**53:
+        return search_large(qid, q, ids, columns, k)
     cuts = list(range(0, d, dim_block)) + [d]
     mass = [np.sqrt((columns[a:] ** 2).sum(0)) * (1 + 1e-12) for a in cuts[1:]]
     q_mass = [np.sqrt((q[:, a:] ** 2).sum(1)) * (1 + 1e-12) for a in cuts[1:]]
@@ -64,6 +67,18 @@ def search_block(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, columns: np.nd
     return out
 
 
+def search_large(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, columns: np.ndarray, k: int) -> list[tuple]:
+    """The same in whole numbers of any size, for components whose products leave the exact range of doubles."""
+    limit = 2**63 - 1
+    vectors = [[int(x) for x in v] for v in columns.T]
+    out = []
+    for own, row in zip(qid.tolist(), q, strict=True):
+        x = [int(c) for c in row]
+        best = sorted((-sum(a * b for a, b in zip(x, v, strict=True)), i) for i, v in zip(ids.tolist(), vectors, strict=True) if i != own)[:k]
+        out += [(own, i, max(-limit, min(limit, -s))) for s, i in best]
+    return out
+
+
 def top_k(df: DataFrame, id_col="vec_id", vec_col="embedding", *, k=K, divisor=QUERY_DIVISOR, scale=SCALE, block_rows=BLOCK_ROWS, query_rows=QUERY_ROWS, dim_block=DIM_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of highest inner product for each row whose id is divisible by `divisor`."""
     rows = quantised(df, id_col, vec_col, scale).withColumn("d", F.size("v"))

@@ -29,10 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readpool.llm import common
+from readpool.llm.common import give_back_memory
 
 THRESHOLD = 0.3
 MAX_TOXIC = 1500
 MAX_CLEAN = 4000
+MAX_CHARS = 40_000_000  # of both: rows beyond are left out
 SCOPE = 3
 BIAS = -2.0
 SEED_WEIGHT = 4.0
@@ -280,14 +282,20 @@ class Matcher:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, logit)))), clauses, sum(map(len, factors.values()))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", *, max_toxic=MAX_TOXIC, max_clean=MAX_CLEAN) -> tuple[dict, dict]:
+def fitted(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", *, max_toxic=MAX_TOXIC, max_clean=MAX_CLEAN, max_chars=MAX_CHARS) -> tuple[dict, dict]:
     """The lexicon learned from labelled rows of folds other than 2 (crc32 of the id, mod 4)."""
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~common.held_out(id_col, 4, 2))
     known = known.groupBy(F.col(id_col).alias("k_")).agg(F.max(F.col(label_col).cast("int")).alias("y_"))
     kept = [common.lowest_hash_rows(known.filter(F.col("y_") == y), "k_", most) for y, most in ((1, max_toxic), (0, max_clean))]
     chosen = kept[0].unionByName(kept[1])  # at most max_toxic + max_clean ids
-    rows = docs.select(id_col, F.col(text_col).alias("t_")).join(F.broadcast(chosen), F.col(id_col) == F.col("k_")).orderBy(F.xxhash64(id_col), "t_").select("t_", "y_").collect()
-    return fit([(r[0], r[1]) for r in rows])
+    rows = docs.select(id_col, F.col(text_col).alias("t_")).join(F.broadcast(chosen), F.col(id_col) == F.col("k_")).orderBy(F.xxhash64(id_col), "t_").select("t_", "y_")
+    sample, chars = [], 0
+    for text, label in rows.toLocalIterator():
+        chars += len(text or "")
+        if chars > max_chars:
+            break
+        sample.append((text, label))
+    return fit(sample)
 
 
 def scored(docs: DataFrame, lexicon: tuple[dict, dict], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -307,6 +315,7 @@ def scored(docs: DataFrame, lexicon: tuple[dict, dict], text_col: str = "text",
                 [*b.columns[: len(kept)], pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32()), pa.array([x[1] for x in found], pa.int32()), pa.array([x[2] for x in found], pa.int32())],
                 [*kept, *new],
             )
+        give_back_memory()
 
     return rows.mapInArrow(run, schema)
 

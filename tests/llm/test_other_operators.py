@@ -87,6 +87,8 @@ def test_top_k_is_exact(spark, blocks):
 def test_top_k_of_few_and_none(spark):
     empty = spark.createDataFrame([], "vec_id bigint, embedding array<float>")
     assert topk.top_k(empty).count() == 0
+    large = spark.createDataFrame([(0, [1e12, 1.0]), (1, [1e9, 1.0]), (2, [1e30, 1.0])], "vec_id bigint, embedding array<double>")
+    assert topk.top_k(large).count() == 2
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id bigint, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(few).collect()] == [(0, 1, 1, 64 * 128)]
 
