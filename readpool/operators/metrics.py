@@ -71,7 +71,8 @@ def errors(table: DataFrame) -> DataFrame:
     fp = _judged(table).agg(F.sum("size").alias("n"), F.sum(F.col("size") - F.col("hits")).alias("fp"))
     per = table.groupBy("label").agg(F.sum("n").alias("size"), F.min(F.struct("first", "n"))["n"].alias("kept"))
     fn = per.agg(F.sum(F.col("size") - F.col("kept")).alias("fn"))
-    both = fp.join(F.broadcast(fn))  # one row each
+    both = fp.withColumn("fn", F.lit(0)).unionByName(fn.select(F.lit(0).alias("n"), F.lit(0).alias("fp"), "fn"))
+    both = both.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "fp", "fn")))
     both = both.withColumn("tn", F.col("n") - F.col("fp")).withColumn("tp", F.col("n") - F.col("fn"))
     return both.select("n", "fp", "tn", "fn", "tp", F.round(F.col("tp") / (F.col("tp") + F.col("fn") + F.col("fp")), 9).alias("ts"))
 
@@ -80,10 +81,14 @@ def _margins(table: DataFrame) -> DataFrame:
     """One row: n, sums of x ln x and of pairs over cells, clusters and labels."""
     xlnx = lambda c: F.sum(F.col(c) * F.log(F.col(c).cast("double")))
     pairs = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2)
-    of = lambda t, c: t.agg(xlnx("n").alias(f"h_{c}"), pairs("n").alias(f"p_{c}"), F.count(F.lit(1)).alias(f"k_{c}"), F.sum("n").alias(f"n_{c}"))
-    clusters = table.groupBy("cluster").agg(F.sum("n").alias("n"))
-    labels = table.groupBy("label").agg(F.sum("n").alias("n"))
-    return of(table, "cell").join(F.broadcast(of(clusters, "pred"))).join(F.broadcast(of(labels, "true")))
+    figures = [f"{k}_{c}" for c in ("cell", "pred", "true") for k in "hpkn"]
+
+    def of(t: DataFrame, c: str) -> DataFrame:
+        own = {f"h_{c}": xlnx("n"), f"p_{c}": pairs("n"), f"k_{c}": F.count(F.lit(1)), f"n_{c}": F.sum("n")}
+        return t.agg(*(own.get(k, F.lit(None)).cast("double").alias(k) for k in figures))
+
+    rows = of(table, "cell").unionByName(of(table.groupBy("cluster").agg(F.sum("n").alias("n")), "pred")).unionByName(of(table.groupBy("label").agg(F.sum("n").alias("n")), "true"))
+    return rows.agg(*(F.max(k).alias(k) for k in figures))
 
 
 def nmi(table: DataFrame) -> DataFrame:

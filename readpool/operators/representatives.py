@@ -59,5 +59,5 @@ def cluster_counts(clusters: DataFrame) -> DataFrame:
 def reasonable(chunks: DataFrame, share: float) -> DataFrame:
     """(chunk_id, n): chunks of at least `share` times the mean size. chunks: (read_id, chunk_id)."""
     size = chunks.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n"))
-    mean = size.agg(F.avg("n").alias("mean"))
-    return size.join(F.broadcast(mean), F.col("n") >= share * F.col("mean")).select("chunk_id", "n")
+    mean = size.agg(F.avg("n")).first()[0]
+    return size.filter(F.col("n") >= F.lit(share * (mean or 0.0)))
