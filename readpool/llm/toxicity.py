@@ -21,9 +21,9 @@ from __future__ import annotations
 import heapq
 import math
 import re
-import sys
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -112,78 +112,84 @@ def fit(sample: list[tuple[str | None, int]], min_docs: int = 4) -> tuple[dict,
     """Words and stems from (text, label) pairs. Copies of one text teach once: a text most of whose lowest shingle hashes
     came up in its class before is left out, so that the words of a copied text do not pass for toxic ones."""
     seen: set[tuple[int, int]] = set()
-    texts: dict[int, list[tuple[set[str], set[str]]]] = {0: [], 1: []}  # words, and those that a text repeats
+    number: dict[str, int] = {}
+    texts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {0: [], 1: []}  # distinct words of each text, and 2 for repeated ones
     for text, label in sample:
         words = tokens(text or "")
         sketch = sorted(map(hash_text, map(" ".join, zip(words, words[1:], words[2:], strict=False))))[:6]
         if sketch and sum((label, h) in seen for h in sketch) * 2 > len(sketch):
             continue
         seen.update((label, h) for h in sketch)
-        count = Counter(map(sys.intern, words))
-        texts[min(1, max(0, label))].append((set(count), {w for w, n in count.items() if n > 1}))
+        ids, n = np.unique(np.array([number.setdefault(w, len(number)) for w in words], np.int32), return_counts=True)
+        texts[min(1, max(0, label))].append((ids, np.minimum(n, 2).astype(np.int8)))
     n1, n0 = len(texts[1]), len(texts[0])
     if not n1 or not n0:
         return seeds()
 
-    def odds(t: int, c: int) -> float:
+    def odds(t: float, c: float) -> float:
         return max(-MAX_WEIGHT, min(MAX_WEIGHT, math.log((t + 0.5) / (n1 + 1)) - math.log((c + 0.5) / (n0 + 1))))
 
-    def matches(words: set[str], repeated: set[str], among=None, lengths=range(MIN_STEM - 1, MAX_STEM + 1)) -> Counter:
-        """1, or more for several, by key: a word (False), or all words that begin so (True). Length MIN_STEM - 1 stands for words."""
-        out: Counter = Counter()
-        for w in words:
-            for key in ((w[:k], True) if k >= MIN_STEM else (w, False) for k in lengths if k < len(w) or k < MIN_STEM):
-                if among is None or key in among:
-                    out[key] += 2 if w in repeated else 1
-        return out
+    vocabulary = list(number)
+    length = np.array([len(w) for w in vocabulary])
+    in_toxic = np.zeros(len(vocabulary), bool)
+    for ids, _ in texts[1]:
+        in_toxic[ids] = True
 
-    def counts(label: int, least: int, among=None) -> tuple[Counter, Counter]:
-        """Texts with a key, and with several matches of it, for keys of `least` texts; lengths go one by one to hold less."""
-        once, more = Counter(), Counter()
-        for k in range(MIN_STEM - 1, MAX_STEM + 1):
-            one, two = Counter(), Counter()
-            for words, repeated in texts[label]:
-                for key, n in matches(words, repeated, among, (k,)).items():
-                    one[key] += 1
-                    if n > 1:
-                        two[key] += 1
-            once.update({key: t for key, t in one.items() if t >= least})
-            more.update({key: two[key] for key, t in one.items() if t >= least and key in two})
-        return once, more
-
-    toxic, toxic_more = counts(1, 2)
-    pool = {k for k, t in toxic.items() if t >= 3 and len(k[0]) >= MIN_STEM}
     whole, stems = seeds()
-    known = {(w, False) for w, (kind, *_) in whole.items() if kind in (INSULT, THREAT)}
-    clean, clean_more = counts(0, 1, pool | known)
-    for w, (kind, *_) in list(whole.items()):
-        t, c = toxic[w, False], clean[w, False]
-        if kind in (INSULT, THREAT) and t + c >= min_docs:
-            if odds(t, c) <= 0:
-                del whole[w]  # the labels say that this word does no harm here
-            else:
-                whole[w] = (kind, odds(t, c), odds(t, c))
-    # Keys that mark toxic texts by any match, or by several; and the texts that they mark.
     need = max(3, n1 // 300)
     good: dict[tuple[str, bool], Entry] = {}
-    for k in pool:
-        t, c, t2, c2 = toxic[k], clean[k], toxic_more[k], clean_more[k]
-        if c <= t / 20 and odds(t, c) >= MIN_LOG_ODDS:
-            good[k] = (INSULT, odds(t, c), odds(t, c))
-        elif t2 >= 2 * need and c2 <= t2 / 4 and odds(t2, c2) >= MIN_LOG_ODDS - 0.5:
-            good[k] = (INSULT, min(odds(t - t2, c - c2), 0.5), odds(t2, c2))
     marked: dict[tuple[str, bool], set[int]] = defaultdict(set)
-    endings: dict[str, set[str]] = defaultdict(set)
-    left = set()
-    for i, (words, repeated) in enumerate(texts[1]):
-        if words.isdisjoint(w for w, _ in known if w in whole):
-            left.add(i)
-        for k, n in matches(words, repeated, good).items():
-            if n > 1 or good[k][1] == good[k][2]:
-                marked[k].add(i)
-            if k[1]:
-                endings[k[0]].update(w for w in words if w.startswith(k[0]))
-    marked = {k: f for k, f in marked.items() if not k[1] or len(endings[k[0]]) > 1}
+    endings: dict[str, set[str]] = {}
+    # Keys are words, then all words that begin alike, one length after the other.
+    for k in range(MIN_STEM - 1, MAX_STEM + 1):
+        is_stem, index = k >= MIN_STEM, {}
+        if is_stem:
+            key_of = np.array([index.setdefault(w[:k], len(index)) if len(w) > k else -1 for w in vocabulary], np.int32)
+        else:
+            index, key_of = number, np.where((length >= MIN_STEM) | np.array([w in whole for w in vocabulary]), np.arange(len(vocabulary)), -1)
+
+        def matches(ids, weights, key_of=key_of):
+            """Keys of a text, and how many matches each has (2 for more)."""
+            keys = key_of[ids]
+            found, place = np.unique(keys[keys >= 0], return_inverse=True)
+            return found, np.bincount(place, weights[keys >= 0], len(found))
+
+        once, more = np.zeros((2, len(index)), np.int64), np.zeros((2, len(index)), np.int64)
+        for label in (0, 1):
+            for text in texts[label]:
+                found, n = matches(*text)
+                once[label, found] += 1
+                more[label, found[n > 1]] += 1
+        if not is_stem:
+            for w, (kind, *_) in list(whole.items()):
+                t, c = (int(once[y, number[w]]) if w in number else 0 for y in (1, 0))
+                if kind in (INSULT, THREAT) and t + c >= min_docs:
+                    if odds(t, c) <= 0:
+                        del whole[w]  # the labels say that this word does no harm here
+                    else:
+                        whole[w] = (kind, odds(t, c), odds(t, c))
+        # Keys that mark toxic texts by any match, or by several; and the texts that they mark.
+        names, own = list(index), {}
+        for i in np.flatnonzero(once[1] >= 3).tolist():
+            c, t, c2, t2 = (int(x) for x in (*once[:, i], *more[:, i]))
+            if c <= t / 20 and odds(t, c) >= MIN_LOG_ODDS:
+                own[i] = (INSULT, odds(t, c), odds(t, c))
+            elif t2 >= 2 * need and c2 <= t2 / 4 and odds(t2, c2) >= MIN_LOG_ODDS - 0.5:
+                own[i] = (INSULT, min(odds(t - t2, c - c2), 0.5), odds(t2, c2))
+        if is_stem:
+            for i in list(own):
+                ends = np.flatnonzero((key_of == i) & in_toxic)
+                if len(ends) > 1:
+                    endings[names[i]] = {vocabulary[j] for j in ends.tolist()}
+                else:
+                    del own[i]
+        good |= {(names[i], is_stem): e for i, e in own.items()}
+        for j, text in enumerate(texts[1]):
+            for i, n in zip(*(x.tolist() for x in matches(*text)), strict=True):
+                if i in own and (n > 1 or own[i][1] == own[i][2]):
+                    marked[names[i], is_stem].add(j)
+    told = {number[w] for w, (kind, *_) in whole.items() if kind in (INSULT, THREAT) and w in number}
+    left = {j for j, (ids, _) in enumerate(texts[1]) if told.isdisjoint(ids.tolist())}
 
     # What explains most of the toxic texts that nothing explains yet, again and again; then what marks many by itself.
     queue = [(-len(f & left), -len(k[0]), k) for k, f in marked.items() if len(f & left) >= need]
@@ -295,7 +301,10 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
         if chars > max_chars:
             break
         sample.append((text, label))
-    return fit(sample)
+    lexicon = fit(sample)
+    del sample
+    give_back_memory()
+    return lexicon
 
 
 def scored(docs: DataFrame, lexicon: tuple[dict, dict], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
