@@ -130,6 +130,17 @@ class Vocabulary:
         return [self.runs[s] for s in sizes]
 
 
+def shared_tables(df: DataFrame, model: str):
+    """A broadcast of the vocabulary's tables: plain values, which executors read without this package."""
+    return df.sparkSession.sparkContext.broadcast(dict(vars(load(model))))
+
+
+def from_tables(tables: dict) -> Vocabulary:
+    out = Vocabulary.__new__(Vocabulary)
+    vars(out).update(tables)
+    return out
+
+
 def load(path: str = MODEL) -> Vocabulary:
     """The vocabulary of a model file on the driver; executors get its tables by broadcast."""
     import sentencepiece
@@ -358,10 +369,10 @@ def encoded(docs: DataFrame, text_col: str = "text", keep: list[str] | None = No
     kept = [c for c in (keep or docs.columns) if c not in new]
     rows = docs.select(*kept, F.col(text_col).cast("string").alias("text_to_encode__"))
     schema = docs.select(*kept).schema.add("token_ids", ArrayType(IntegerType())).add("n_tokens", "integer")
-    shared = docs.sparkSession.sparkContext.broadcast(load(model))
+    shared = shared_tables(docs, model)
 
     def run(batches):
-        encoder = Encoder(shared.value)
+        encoder = Encoder(from_tables(shared.value))
         for b in batches:
             for a, texts in text_chunks(b.column(len(kept))):
                 tokens, counts = encoder.encode(texts)
@@ -390,10 +401,11 @@ def round_trips(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(id_col, F.col(text_col).cast("string").alias("text"))
     schema = rows.select(id_col).schema.add("n_tokens", "integer").add("token_ids", ArrayType(IntegerType())).add("decoded_sha256", "string").add("round_trip", "boolean")
     names = schema.fieldNames()
-    shared = docs.sparkSession.sparkContext.broadcast(load(model))
+    shared = shared_tables(docs, model)
 
     def run(batches):
-        encoder, table = Encoder(shared.value), byte_table(shared.value)
+        vocab = from_tables(shared.value)
+        encoder, table = Encoder(vocab), byte_table(vocab)
         for b in batches:
             for a, texts in text_chunks(b.column(1)):
                 tokens, counts = encoder.encode(texts)
