@@ -10,17 +10,19 @@ from readpool.functions.sequences import permuted, qgrams
 
 
 def with_grams(reads: DataFrame, config: ClusterConfig) -> DataFrame:
-    """`reads` with grams array<int>."""
-    return reads.withColumn("grams", qgrams("seq", config.q))
+    """`reads` with grams array<int>, dealt by read_id: reads are small, what follows is not, and a few input files would else
+    be a few tasks. Grouping and joining by read_id need no further shuffle."""
+    parts = int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return reads.repartition(parts, "read_id").withColumn("grams", qgrams("seq", config.q))
 
 
 def sketches(reads: DataFrame, config: ClusterConfig) -> DataFrame:
     """(read_id, sig array<int>): for each of m permutations the least permuted gram code.
 
-    Codes are exploded once and all minima are aggregates of one pass, in generated code: the map side already ends with a
-    row for each read.
+    Codes are exploded once and all minima are aggregates of one pass, in generated code.
     """
-    codes = with_grams(reads, config).select("read_id", F.explode("grams").alias("code"))
+    # explode() would have the optimiser test the grams before, and so make them several times.
+    codes = with_grams(reads, config).select("read_id", F.explode_outer("grams").alias("code")).filter("code IS NOT NULL")
     least = [F.min(permuted(F.col("code"), c, config.code_bits)).alias(f"v{p}") for p, c in enumerate(config.permutations())]
     wide = codes.groupBy("read_id").agg(*least)
     return wide.select("read_id", F.array(*(f"v{p}" for p in range(config.m))).alias("sig"))
