@@ -16,8 +16,8 @@ def letters_of(text: Column) -> Column:
     return F.regexp_replace(F.translate(F.lower(text), alphabet, "".join("ACGT"[i % 4] for i in range(26))), "[^ACGT]", "")
 
 
-def document_reads(spark: SparkSession, sf_dir: str, length: int = 120, q: int = 6) -> DataFrame:
-    """(read_id, seq): the first `length` letters of each document as a read, for those of q letters at least."""
+def document_reads(spark: SparkSession, sf_dir: str, q: int = 6) -> DataFrame:
+    """(read_id, seq): all letters of each document as a read, for those of q letters at least."""
     docs = table(spark, sf_dir, "documents")
-    reads = docs.select(F.col("doc_id").alias("read_id"), F.substring(letters_of(F.col("text")), 1, length).alias("seq"))
+    reads = docs.select(F.col("doc_id").alias("read_id"), letters_of(F.col("text")).alias("seq"))
     return reads.filter(F.col("read_id").isNotNull() & (F.length("seq") >= q))
