@@ -25,7 +25,7 @@ from readpool.sources.tables import document_reads, letters_of, table
 CONFIG = ClusterConfig()
 ANCHORS = CONFIG.anchors(4, 2, 4, "query")
 SUBSTRING = 12
-DIALOGUE_LETTERS = 60
+DIALOGUE_LETTERS = 60  # in the SQL only
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -276,7 +276,7 @@ lines AS (SELECT conv_id, 3 * k AS line_no, seq AS value FROM turns UNION ALL SE
 
 def dialogue_lines(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations")
-    seq = F.substring(letters_of(F.col("text")), 1, DIALOGUE_LETTERS)
+    seq = letters_of(F.col("text"))
     k = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "text"))
     turns = turns.select("conv_id", seq.alias("value"), k.alias("k"))
     marks = turns.filter("k = 1").select("conv_id", F.lit(4).cast("bigint").alias("line_no"), F.lit(blocks.SEPARATOR).alias("value"))

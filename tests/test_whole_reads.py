@@ -1,4 +1,4 @@
-"""Reads hold all letters of a document: against brute force on a small table, and against the SQL without its cut."""
+"""Reads hold all letters of a document or turn: against brute force on a small table, and against the SQL without its cut."""
 
 import os
 
@@ -44,3 +44,22 @@ def test_against_sql_without_the_cut(spark, name):
     got = registry.queries()[name](spark, DATA).toPandas()
     as_rows = lambda df: sorted(map(repr, df[sorted(df.columns)].astype(object).values.tolist()))
     assert as_rows(got) == as_rows(want)
+
+
+TURN_CUT = (f"substring({registry.letters_sql('text')}, 1, {registry.DIALOGUE_LETTERS})", registry.letters_sql("text"))
+
+
+def test_blocks_of_whole_turns(spark, tmp_path):
+    rows = [(1, 0, HEAD), (1, 1, HEAD + "one"), (1, 2, "a b"), (1, 3, HEAD + "other"), (2, 0, "hello there"), (2, 1, HEAD)]
+    spark.createDataFrame(rows, "conv_id bigint, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted(map(tuple, registry.parse_blocks(spark, str(tmp_path)).select("read_id", "seq", "strand").collect()))
+    assert got == [(0, letters(HEAD + "one"), letters(HEAD)), (1, letters(HEAD + "other"), letters(HEAD)), (2, letters(HEAD), letters("hello there"))]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+def test_blocks_against_sql_without_the_cut(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{DATA}/conversations.parquet'")
+    want = con.execute(registry.oracle_sql()["parse_blocks"].replace(*TURN_CUT)).df()
+    got = registry.parse_blocks(spark, DATA).toPandas()[list(want.columns)]
+    assert sorted(map(tuple, got.values.tolist())) == sorted(map(tuple, want.values.tolist()))
