@@ -7,7 +7,6 @@ metrics compare are columns of documents.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -464,12 +463,11 @@ def stage2_clusters(spark, sf_dir):
 
 @query()
 def stage3_clusters(spark, sf_dir):
-    """The last stage from single reads on, in a short schedule that uses every rank of representatives."""
-    config = replace(CONFIG, min_final_rounds=5 * CONFIG.rotation)
-    prepared = pipeline.prepare(reads_of(spark, sf_dir), config)
+    """The last stage from single reads on, with all its rounds."""
+    prepared = pipeline.prepare(reads_of(spark, sf_dir), CONFIG)
     alone = prepared.reads.select("read_id", F.col("read_id").alias("cluster"))
     nothing = spark.createDataFrame([], "read_id bigint, score bigint")
-    return pipeline.final_clustering(prepared, pipeline.State(alone, nothing), config).clusters
+    return pipeline.final_clustering(prepared, pipeline.State(alone, nothing), CONFIG).clusters
 
 
 @query()

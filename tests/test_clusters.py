@@ -115,6 +115,16 @@ def test_run_recovers_noisy_strands(spark):
     assert sorted(again.clusters.collect()) == sorted(result.clusters.collect())
 
 
+def test_last_stage_runs_all_rounds(spark, tmp_path, monkeypatch):
+    from readpool import registry
+
+    spark.createDataFrame([(i, f"letters of read number {i} " * 3) for i in range(4)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    seen = []
+    monkeypatch.setattr(pipeline, "final_rounds", lambda prepared, state, config, rank, first, count: seen.append((first, count, rank)) or state)
+    registry.stage3_clusters(spark, str(tmp_path))
+    assert sum(count for _, count, _ in seen) == 300 and [rank for *_, rank in seen] == [0, 1, 2, 3, 4] * 3
+
+
 def test_run_of_nothing(spark):
     empty = spark.createDataFrame([], "read_id bigint, seq string")
     assert pipeline.run(empty, ClusterConfig(min_final_rounds=20)).clusters.count() == 0
