@@ -63,3 +63,22 @@ def test_blocks_against_sql_without_the_cut(spark):
     want = con.execute(registry.oracle_sql()["parse_blocks"].replace(*TURN_CUT)).df()
     got = registry.parse_blocks(spark, DATA).toPandas()[list(want.columns)]
     assert sorted(map(tuple, got.values.tolist())) == sorted(map(tuple, want.values.tolist()))
+
+
+def test_lookup_of_every_read(spark, tmp_path):
+    rows = [(i, f"read of some letters {'abcdefghijklm'[i % 13] * 3}", "en", f"s{i % 4}") for i in range(1, 40)] + [(50, "no label at all", None, "s1")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for _, text, lang, source in rows[:-1]:
+        seq = letters(text)
+        want[seq] = min(want.get(seq, "~"), f"{lang}/{source}")
+    assert {r["seq"]: r["label"] for r in registry.read_lookup(spark, str(tmp_path)).collect()} == want
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+def test_lookup_against_sql_without_the_cuts(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    want = con.execute(registry.oracle_sql()["read_lookup"].replace(*CUT).replace(" WHERE read_id % 10 = 0", "")).df()
+    got = registry.read_lookup(spark, DATA).toPandas()[list(want.columns)]
+    assert len(want) > 100 and sorted(map(tuple, got.values.tolist())) == sorted(map(tuple, want.values.tolist()))
