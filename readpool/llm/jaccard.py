@@ -1,10 +1,11 @@
 """N-gram Jaccard self-join with set-relation skipping; the result is components, not pairs.
 
-Sets are the distinct 3-word shingles of a text (64-bit hashes). Texts with one set are one set from the start. The index
-lists that a set enters come from a pigeonhole scheme: sets a <= b with Jaccard similarity 0.9 or more differ in at most
-(a + b) / 19 shingles, so of m = H + 1 + r parts of the hash space (H = 2 * u / 19, u: the largest size of the size class)
-r + 1 at least hold the same shingles in both. A list is a part with its exact content; a set enters the lists of its own
-class and of the next, as a partner may be one class larger. Parts of SMALL shingles or fewer say little; a set with no more
+Sets are the distinct shingles of a text (64-bit hashes), of `words` words each (op 9: 3); a shorter text is one shingle.
+Texts with one set are one set from the start. The index lists that a set enters come from a pigeonhole scheme: sets a <= b
+with Jaccard similarity `percent` / 100 or more (op 9: 90) differ in at most K * (a + b) shingles, where K = (100 - percent) /
+(100 + percent), so of m = H + 1 + r parts of the hash space (H = 2 * u * K, u: the largest size of the size class) r + 1 at
+least hold the same shingles in both. A list is a part with its exact content; a set enters the lists of its own
+class and of the next, as a partner may be one class larger. Parts of few shingles (SMALL) say little; a set with no more
 than r of them leaves them out, and others enter them too, and lists by prefix filter if a part is empty.
 
 Answers from similar sets: the pivot of a list is its set that enters most lists of several, which is the least edited of
@@ -38,7 +39,9 @@ NO_ID = -(1 << 63)
 FILTER_BITS = 24  # of the broadcast filter of documents to read again: 2 MiB, whatever the input
 CHUNK_CHARS = 4_000_000
 FLUSH = 1_000_000
-SMALL = 3
+WORDS, PERCENT = 3, 90
+SMALL = {90: (3, 8)}  # by percent: shingles of a part that says little, and spare parts in percent
+SMALL_ELSE = (0, 15)
 ENTRIES = 4_000_000  # that a merging task holds at once
 
 U = np.uint64
@@ -56,8 +59,12 @@ class Shingler:
     """Hashes the words of many texts at once, by prefix sums of a polynomial."""
 
     BASE = 0x9E3779B97F4A7C15
+    TURNS, FACTORS = (0, 17, 39, 8, 51, 29, 60, 21), (3, 5, 7, 11, 13, 17, 19, 23)  # by a word's place in a shingle
 
-    def __init__(self):
+    def __init__(self, words: int = WORDS):
+        if not 1 <= words <= len(self.TURNS):
+            raise ValueError(f"shingles have 1 to {len(self.TURNS)} words")
+        self.words = words
         self.values = mix(np.arange(1, 257, dtype=np.uint64))
         self.powers = np.ones(1, np.uint64)
         self.inverse = np.ones(1, np.uint64)
@@ -71,6 +78,15 @@ class Shingler:
                     x[0] = 1
                     setattr(self, name, np.cumprod(x))
 
+    def _joined(self, w: np.ndarray, words: int) -> np.ndarray:
+        """One number for each stretch of `words` words, before mixing."""
+        n = len(w) - words + 1
+        total = w[:n] * U(self.FACTORS[0])
+        for j in range(1, words):
+            x, turn = w[j : j + n], self.TURNS[j]
+            total = total + (x << U(turn) | x >> U(64 - turn)) * U(self.FACTORS[j])
+        return total
+
     def sets(self, texts: list[bytes]) -> list[np.ndarray]:
         """The sorted distinct shingle hashes of each text."""
         joined = b"\n".join(texts).lower() + b"\n"  # only A-Z change
@@ -86,12 +102,15 @@ class Shingler:
             first = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
             at = np.searchsorted(starts, first)
             n_words = np.diff(np.append(at, len(starts)))
-            three = mix(w[:-2] * U(3) + (w[1:-1] << U(17) | w[1:-1] >> U(47)) * U(5) + (w[2:] << U(39) | w[2:] >> U(25)) * U(7)) if len(w) > 2 else w[:0]
+            k = self.words
+            shingles = mix(self._joined(w, k)) if len(w) >= k else w[:0]
             out = []
             for s, n in zip(at.tolist(), n_words.tolist(), strict=True):
-                if n >= 3:
-                    x = np.sort(three[s : s + n - 2])
+                if n >= k:
+                    x = np.sort(shingles[s : s + n - k + 1])
                     out.append(x[np.append(True, x[1:] != x[:-1])])
+                elif n > 2:
+                    out.append(mix(self._joined(w[s : s + n], n) + U(n)))
                 elif n == 2:
                     out.append(mix(w[s : s + 1] * U(11) + w[s + 1 : s + 2] * U(13) + U(2)))
                 else:
@@ -99,17 +118,17 @@ class Shingler:
         return out
 
 
-def size_classes(most: int) -> tuple[np.ndarray, np.ndarray]:
+def size_classes(most: int, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """Lowest and highest size of each class, up to the one after that of `most`."""
     low, high = [1], [1]
     while low[-1] <= most:
         low.append(high[-1] + 1)
-        high.append(low[-1] * 10 // 9)
+        high.append(low[-1] * 100 // percent)
     low.append(high[-1] + 1)
-    return np.array(low), np.array([*high, low[-1] * 10 // 9])
+    return np.array(low), np.array([*high, low[-1] * 100 // percent])
 
 
-def list_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def list_keys(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """(keys of the lists that each set enters, index of the set of each key); empty sets enter none."""
     sizes = np.array([len(s) for s in sets], np.int64)
     some = np.flatnonzero(sizes)
@@ -117,15 +136,16 @@ def list_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     tokens = np.concatenate([sets[i] for i in some])
     n = sizes[some]
-    low, high = size_classes(int(n.max()))
+    low, high = size_classes(int(n.max()), percent)
+    small, extra = SMALL.get(percent, SMALL_ELSE)
     own = np.searchsorted(low, n, side="right") - 1
     keys, owner = [], []
     offsets = np.cumsum(n) - n
     with np.errstate(over="ignore"):
         content = mix(tokens + U(0x1234567))
         for scheme in (own, own + 1):
-            differ = 2 * high[scheme] // 19
-            spare = -(-8 * differ // 100)
+            differ = 2 * high[scheme] * (100 - percent) // (100 + percent)
+            spare = -(-extra * differ // 100)
             parts = differ + spare + 1
             base = np.cumsum(parts) - parts
             place = mix(tokens ^ np.repeat(mix(scheme.astype(np.uint64)), n)) >> U(33)
@@ -137,12 +157,12 @@ def list_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
             of = np.repeat(np.arange(len(some)), parts)
             number = np.arange(len(sums)) - base[of]
             key = mix(sums + mix(scheme.astype(np.uint64) * U(1 << 32))[of] + number.astype(np.uint64) * U(0x9E3779B97F4A7C15))
-            poor = np.bincount(of[held <= SMALL], minlength=len(some)) > spare
-            enters = (held > SMALL) | (held > 0) & poor[of]
+            poor = np.bincount(of[held <= small], minlength=len(some)) > spare
+            enters = (held > small) | (held > 0) & poor[of]
             keys.append(key[enters])
             owner.append(some[of[enters]])
             for i in np.unique(of[(held == 0) & poor[of]]).tolist():
-                prefix = tokens[offsets[i] : offsets[i] + n[i] - -(-9 * n[i] // 10) + 1]  # of the sorted hashes
+                prefix = tokens[offsets[i] : offsets[i] + n[i] - -(-percent * n[i] // 100) + 1]  # of the sorted hashes
                 keys.append(mix(mix(prefix) + U(int(scheme[i]) * 2 + 1)))
                 owner.append(np.full(len(prefix), some[i]))
     return np.concatenate(keys), np.concatenate(owner)
@@ -163,11 +183,11 @@ def text_chunks(texts: list[str | None], chars: int = CHUNK_CHARS):
             a, n, out = i + 1, 0, []
 
 
-def indexed(docs: DataFrame, buckets: int) -> DataFrame:
+def indexed(docs: DataFrame, buckets: int, words: int, percent: int) -> DataFrame:
     """(bucket, kind, x, s, n): packed columns of documents (kind 0: id, set, size) and list entries (kind 1: key, set, size)."""
 
     def run(batches):
-        shingler, held, count = Shingler(), [], 0
+        shingler, held, count = Shingler(words), [], 0
 
         def flush():
             keys, sets, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -191,7 +211,7 @@ def indexed(docs: DataFrame, buckets: int) -> DataFrame:
                 sid, sizes = set_ids(sets), np.array([len(s) for s in sets], np.int32)
                 own = ids[a : a + len(sets)]
                 yield packed([(int(own[0]) % buckets, 0, own.tobytes(), sid.tobytes(), sizes.tobytes())])
-                keys, owner = list_keys(sets)
+                keys, owner = list_keys(sets, percent)
                 if len(keys):
                     held.append((keys, sid[owner], sizes[owner]))
                     count += len(keys)
@@ -264,14 +284,14 @@ def id_filter(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def wanted_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def wanted_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(s, t): the shingle hashes of the sets in `wanted` (s, id: a document that has the set), read from the texts again,
     and of a few more sets that pass the filter of documents."""
     filter_ = docs.sparkSession.sparkContext.broadcast(id_filter(wanted))
     rows = docs.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS)).alias("b"))
 
     def run(batches):
-        shingler = Shingler()
+        shingler = Shingler(words)
         for batch in batches:
             b = batch.column(2).to_numpy()
             on = np.flatnonzero((filter_.value[b >> 6] >> (b & 63).astype(np.uint64)) & U(1))
@@ -305,13 +325,14 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long, na int, nb int, inter int, diff array<long>")
 
 
-LINKED = "100L * inter >= 90L * (na + nb - inter)"
+def linked_at(percent: int) -> str:
+    return f"100L * inter >= {percent}L * (na + nb - inter)"
 
 
-def across(known: DataFrame, groups: DataFrame) -> DataFrame:
+def across(known: DataFrame, groups: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Distinct pairs (a, b) of sets with one pivot and different components that may link.
 
-    Let T = (|x| + |y|) / 19 be what linked sets may differ in, d = |D|, and e = max(0, |x| - |p|) / 19, rounded up. A link
+    Let T = K * (|x| + |y|) be what linked sets may differ in, d = |D|, and e = K * max(0, |x| - |p|), rounded up. A link
     asks for an overlap c >= (d(x) + d(y) - T) / 2 of the differences, so it touches the first d(x) - c + 1 positions of D(x),
     in any order common to all. If y is not linked to p, that is the first (d(x) - 1 + e) / 2 + 1; and whatever y is, it is
     the first T + 1 at most, as d(x) and d(y) differ by T at most.
@@ -322,9 +343,10 @@ def across(known: DataFrame, groups: DataFrame) -> DataFrame:
     members = members.withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).drop("a_", "b_")
     several = members.groupBy("a").agg(F.least(F.min("ca"), F.min("cb")).alias("lo"), F.greatest(F.max("ca"), F.max("cb")).alias("hi"), F.count(F.lit(1)).alias("k")).filter("lo <> hi AND k > 1")
     members = members.join(several.select(F.col("a").alias("p_")), F.col("a") == F.col("p_"), "left_semi")
-    half = "floor((size(diff) - 1 + ceil(greatest(0, nb - na) / 19)) / 2) + 1"
-    reach = F.expr(f"IF({LINKED}, {half}, least(size(diff), floor((nb + floor(10 * nb / 9)) / 19) + 1))").cast("int")
-    members = members.select("a", "b", "nb", "cb", F.expr(LINKED).alias("linked"), F.expr(half).cast("int").alias("half"), reach.alias("reach"), F.size("diff").alias("d"), "diff")
+    linked, k = linked_at(percent), f"{100 - percent}L / {100 + percent}L"
+    half = f"floor((size(diff) - 1 + ceil(greatest(0, nb - na) * {k})) / 2) + 1"
+    reach = F.expr(f"IF({linked}, {half}, least(size(diff), floor((nb + floor(100L * nb / {percent})) * {k}) + 1))").cast("int")
+    members = members.select("a", "b", "nb", "cb", F.expr(linked).alias("linked"), F.expr(half).cast("int").alias("half"), reach.alias("reach"), F.size("diff").alias("d"), "diff")
     tokens = common.stored(members.select("a", "b", F.explode("diff").alias("token")))
     often = tokens.groupBy("a", "token").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select(F.col("a").alias("a_"), F.col("token").alias("t_"), "times")
     shared = tokens.join(often, (F.col("a") == F.col("a_")) & (F.col("token") == F.col("t_"))).select("a", "b", "token", "times")
@@ -335,21 +357,21 @@ def across(known: DataFrame, groups: DataFrame) -> DataFrame:
     shared = shared.join(sizes, (F.col("a") == F.col("a_")) & (F.col("b") == F.col("b_"))).drop("a_", "b_", "times")
     shared = common.stored(shared.withColumn("place", (F.col("place") + F.col("d") - F.col("held")).cast("int")).filter("place < reach").drop("held", "reach"))
     # What overlap a link needs, and what is left of either difference from the common shingle on.
-    may = "x.a = y.a AND x.token = y.token AND x.cb <> y.cb AND 10L * least(x.nb, y.nb) >= 9L * greatest(x.nb, y.nb) AND least(x.d - x.place, y.d - y.place) * 2 >= x.d + y.d - floor((x.nb + y.nb) / 19)"
+    may = f"x.a = y.a AND x.token = y.token AND x.cb <> y.cb AND 100L * least(x.nb, y.nb) >= {percent}L * greatest(x.nb, y.nb) AND least(x.d - x.place, y.d - y.place) * 2 >= x.d + y.d - floor((x.nb + y.nb) * {k})"
     ends = lambda x, y: x.alias("x").join(y.alias("y"), F.expr(may)).select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b"))
     free = shared.filter("NOT linked")
     short = free.filter("place < half")
     return ends(short, short).unionByName(ends(free, shared.filter("linked"))).filter("a < b").distinct()
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, n_links, component_id): links of the document's set to other sets that were found on the way to
     its component, and the smallest id of the component."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 1 << max(6, math.ceil(math.log2(8 * parts)))
-    found = common.stored(merged(indexed(rows, buckets).repartition(parts, "bucket")))
+    found = common.stored(merged(indexed(rows, buckets, words, percent).repartition(parts, "bucket")))
     owners = found.filter("kind = 0").select(F.col("x").alias("id"), "s", "n")
     lists = found.filter("kind = 1").select(F.col("x").alias("k"), "s").distinct()
 
@@ -359,13 +381,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pairs = common.stored(lists.join(pivots, F.col("k") == F.col("k_")).filter("s <> a").select("a", F.col("s").alias("b")).distinct())
     nodes = pairs.select(F.col("a").alias("s")).union(pairs.select(F.col("b").alias("s"))).distinct()
     holder = owners.filter(F.col("id") != NO_ID).groupBy("s").agg(F.min("id").alias("id"))
-    sets = common.stored(wanted_sets(rows, common.stored(holder.join(nodes, "s"))))
+    sets = common.stored(wanted_sets(rows, common.stored(holder.join(nodes, "s")), words))
     known = common.stored(compared(pairs, sets))
-    links = known.filter(LINKED).select("a", "b")
+    linked_ = linked_at(percent)
+    links = known.filter(linked_).select("a", "b")
     groups = common.stored(connected_components(links))
-    more = common.stored(across(known, groups))
+    more = common.stored(across(known, groups, percent))
     if not more.isEmpty():
-        links = common.stored(links.unionByName(compared(more, sets).filter(LINKED).select("a", "b")))
+        links = common.stored(links.unionByName(compared(more, sets).filter(linked_).select("a", "b")))
         groups = common.stored(connected_components(links))
     degree = links.select(F.col("a").alias("s")).unionAll(links.select(F.col("b").alias("s"))).groupBy("s").agg(F.count(F.lit(1)).alias("n_links"))
 
@@ -385,6 +408,6 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest doc_id of each component, and all rows without an id."""
-    groups = jaccard_components(docs).filter("doc_id IS NOT NULL AND component_id <> doc_id").select(F.col("doc_id").alias("gone__")).distinct()
+    """The row with the smallest doc_id of each component, and all rows without an id: near copies share 0.8 of their 5-word shingles."""
+    groups = jaccard_components(docs, words=5, percent=80).filter("doc_id IS NOT NULL AND component_id <> doc_id").select(F.col("doc_id").alias("gone__")).distinct()
     return docs.join(groups, F.col("doc_id") == F.col("gone__"), "left_anti")
