@@ -22,14 +22,14 @@ import re
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from readpool.llm import common
 
 UNDETERMINED = "und"
 MAX_ROWS = 2400  # training rows, over all languages
-MAX_CHARS = 6_000_000  # and their characters: rows beyond are left out
+MAX_CHARS = 6_000_000  # and their characters: a row that does not fit is left out
 BITS = 16
 MAX_GRAM = 4
 BLOCK = 48
@@ -196,28 +196,25 @@ def train(sample: list[tuple[str, str]], epochs: int = EPOCHS, rate: float = 0.6
 
 
 def fitted(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", *, max_rows=MAX_ROWS, max_chars=MAX_CHARS) -> dict | None:
-    """The model from at most `max_rows` rows of folds other than 1 (crc32 of the id, mod 3), about as many of each language."""
+    """The model from about `max_rows` rows of folds other than 1 (crc32 of the id, mod 3): as many of each language, one at least."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("x"), F.col(lang_col).alias("y"))
     rows = rows.filter(F.col("y").isNotNull() & F.col("x").isNotNull() & F.col("id").isNotNull() & ~common.held_out("id", 3, 1))
-    langs = [r[0] for r in rows.groupBy("y").count().orderBy(F.col("count").desc(), "y").limit(256).collect()]
-    if not langs:
+    k = rows.agg(F.count_distinct("y")).first()[0]
+    if not k:
         return None
-    each = max(1, max_rows // len(langs))
-    h = F.xxhash64(F.lit(3), "id")
-    # Per language, the hash below which about `each` rows lie; then one scan takes the rows themselves.
-    tops = [rows.filter(F.col("y") == y).select(h.alias("h"), F.lit(y).alias("y")).orderBy("h").limit(each) for y in langs]
-    bounds = tops[0]
-    for t in tops[1:]:
-        bounds = bounds.unionByName(t)
-    wanted = F.lit(False)
-    for y, top in bounds.groupBy("y").agg(F.max("h")).collect():
-        wanted = wanted | ((F.col("y") == y) & (h <= top))
-    chosen = rows.filter(wanted).select("y", "x", h.alias("h"), F.length("x").alias("n")).orderBy("h", "x")
+    each = max(1, max_rows // k)
+    rows = rows.withColumn("h", F.xxhash64(F.lit(3), "id"))
+    # Per language, the hash below which about `each` rows lie (partitions keep that many before the shuffle); then one scan
+    # takes the rows themselves.
+    place = F.row_number().over(Window.partitionBy("y").orderBy("h"))
+    bounds = rows.select("y", "h", place.alias("place")).filter(F.col("place") <= each).groupBy(F.col("y").alias("y_")).agg(F.max("h").alias("top"))
+    wanted = rows.join(F.broadcast(bounds), F.col("y") == F.col("y_")).filter("h <= top")
+    chosen = wanted.select("y", "x", "h", F.length("x").alias("n")).orderBy("h", "x")
     out, chars = [], 0
     for r in chosen.toLocalIterator():
+        if chars + r["n"] > max_chars:
+            continue
         chars += r["n"]
-        if chars > max_chars:
-            break
         out.append((r["x"], r["y"]))
     return train(out)
 

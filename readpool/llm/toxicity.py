@@ -34,7 +34,7 @@ from readpool.llm.common import give_back_memory
 THRESHOLD = 0.3
 MAX_TOXIC = 1500
 MAX_CLEAN = 4000
-MAX_CHARS = 40_000_000  # of both: rows beyond are left out
+MAX_CHARS = 40_000_000  # of both: a row that does not fit is left out
 SCOPE = 3
 BIAS = -2.0
 SEED_WEIGHT = 4.0
@@ -297,9 +297,9 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
     rows = docs.select(id_col, F.col(text_col).alias("t_")).join(F.broadcast(chosen), F.col(id_col) == F.col("k_")).orderBy(F.xxhash64(id_col), "t_").select("t_", "y_")
     sample, chars = [], 0
     for text, label in rows.toLocalIterator():
+        if chars + len(text or "") > max_chars:
+            continue
         chars += len(text or "")
-        if chars > max_chars:
-            break
         sample.append((text, label))
     lexicon = fit(sample)
     del sample
