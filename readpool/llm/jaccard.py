@@ -210,7 +210,7 @@ def indexed(docs: DataFrame, buckets: int, words: int, percent: int) -> DataFram
                 sets = shingler.sets(texts)
                 sid, sizes = set_ids(sets), np.array([len(s) for s in sets], np.int32)
                 own = ids[a : a + len(sets)]
-                yield packed([(int(own[0]) % buckets, 0, own.tobytes(), sid.tobytes(), sizes.tobytes())])
+                yield packed([(int(mix(own[:1].view(np.uint64))[0]) % buckets, 0, own.tobytes(), sid.tobytes(), sizes.tobytes())])
                 keys, owner = list_keys(sets, percent)
                 if len(keys):
                     held.append((keys, sid[owner], sizes[owner]))
@@ -408,6 +408,15 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest doc_id of each component, and all rows without an id: near copies share 0.8 of their 5-word shingles."""
-    groups = jaccard_components(docs, words=5, percent=80).filter("doc_id IS NOT NULL AND component_id <> doc_id").select(F.col("doc_id").alias("gone__")).distinct()
-    return docs.join(groups, F.col("doc_id") == F.col("gone__"), "left_anti")
+    """The row with the smallest doc_id of each component (null ids last): near copies share 0.8 of their 5-word shingles.
+
+    Rows have numbers of their own, as ids may be null or stand on several rows. They are stored first, so that numbers last.
+    """
+    plain, name = common.renamed(docs)
+    rows = common.stored(plain.withColumn("row__", F.monotonically_increasing_id()))
+    groups = jaccard_components(rows, "row__", name["text"], words=5, percent=80).select(F.col("row__").alias("r_"), "component_id")
+    doc_id = F.col(name["doc_id"])
+    placed = rows.select("row__", doc_id.isNull().alias("last"), doc_id.alias("id")).join(groups, F.col("row__") == F.col("r_"))
+    first = placed.groupBy(F.col("component_id").alias("c_")).agg(F.min(F.struct("last", "id", "row__"))["row__"].alias("kept__"))
+    gone = placed.join(first, F.col("component_id") == F.col("c_")).filter("row__ <> kept__").select(F.col("row__").alias("gone__"))
+    return rows.join(gone, F.col("row__") == F.col("gone__"), "left_anti").drop("row__").toDF(*docs.columns)

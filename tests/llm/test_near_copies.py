@@ -55,3 +55,12 @@ def test_stage_takes_near_copies_below_nine_tenths(spark):
     texts = [base, base + [f"footer{i}" for i in range(25)], edited, unlike]
     docs = cases.frame(spark, [(i, " ".join(t), "en", "s", 0) for i, t in enumerate(texts)])
     assert sorted(x["doc_id"] for x in jaccard.one_of_each(spark, docs, "").collect()) == [0, 3]
+
+
+def test_one_row_of_each_component(spark):
+    r = random.Random(9)
+    one, two, three = (" ".join(f"w{r.randrange(10**6)}" for _ in range(40)) for _ in range(3))
+    docs = [(5, one), (5, one), (3, one + " more"), (5, two), (None, two), (None, three), (None, three), (8, None), (8, None), (None, "")]
+    out = jaccard.one_of_each(spark, cases.with_clashes(cases.frame(spark, [(i, t, "en", "s", 0) for i, t in docs])), "")
+    want = [(3, one + " more"), (5, two), (None, three), (8, None), (8, None), (None, "")]
+    assert sorted(((x["doc_id"], x["text"]) for x in out.collect()), key=repr) == sorted(want, key=repr)
