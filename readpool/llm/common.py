@@ -26,23 +26,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one where that is unset, as in tests on one machine."""
+    """The folder in spark.checkpoint.dir. Where that is unset a temporary one serves if all of Spark is on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="readpool-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+def stored(df: DataFrame) -> DataFrame:
     """`df` written to the shared folder and read again: it cuts the lineage and survives a lost executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/readpool-{uuid.uuid4().hex}"
-    out = df.write.option("compression", "zstd")
-    if partition_by:
-        out = out.partitionBy(*partition_by)
-    out.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes what `stored` wrote for tables that nothing reads any more. The driver's collector runs, so that Spark's cleaner
+    removes the shuffle files of finished steps too, which else lie on executors until the driver's heap is full."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
+
+
+def parts_for(df: DataFrame, each: int = 128 << 20) -> int:
+    """Tasks for a shuffle of what comes from `df`: one for `each` bytes of its files, as the plan knows them, and no fewer than
+    spark.sql.shuffle.partitions. Of rows that are no files nothing is known."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(least, -(-size // each)) if size < 1 << 60 else least
 
 
 def held_out(id_col: str, folds: int, fold: int):

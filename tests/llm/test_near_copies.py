@@ -41,7 +41,7 @@ def test_linked_sets_meet_in_a_list():
             more = (100 * (n - lost) - percent * n) // percent
             b = a[lost:] + [r.randrange(1 << 62) for _ in range(r.randint(0, more))]
             x, y = (np.sort(jaccard.mix(np.array(s, np.uint64))) for s in (a, b))
-            keys, owner = jaccard.list_keys([x, y], percent)
+            keys, owner, *_ = jaccard.list_keys([x, y], percent)
             assert set(keys[owner == 0].tolist()) & set(keys[owner == 1].tolist())
 
 
@@ -64,3 +64,28 @@ def test_one_row_of_each_component(spark):
     out = jaccard.one_of_each(spark, cases.with_clashes(cases.frame(spark, [(i, t, "en", "s", 0) for i, t in docs])), "")
     want = [(3, one + " more"), (5, two), (None, three), (8, None), (8, None), (None, "")]
     assert sorted(((x["doc_id"], x["text"]) for x in out.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_unlike_words_do_not_meet(spark):
+    """Words of 1,024 letters that polynomial hashes modulo 2**64 cannot tell apart."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = one.translate(str.maketrans("ab", "ba"))
+    docs = [(i, t, "en", "s", 0) for i, t in ((1, one), (2, other), (3, one + " x y z"), (4, other + " x y z"))]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(cases.frame(spark, docs)).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4}
+
+
+def test_lists_that_sets_leave(spark):
+    """A passage in many texts makes lists of many sets, which texts with enough of their own leave; short ones cannot."""
+    r = random.Random(11)
+    word = lambda: f"w{r.randrange(10**6)}"
+    passage = [word() for _ in range(40)]
+    docs = []
+    for _ in range(30):
+        own = [word() for _ in range(r.choice((6, 12, 60, 200)))]
+        for k in range(r.choice((1, 2, 3))):
+            at = r.randrange(len(own))
+            docs.append(own[:at] + passage + own[at:] + [word() for _ in range(3 * k)])
+    docs = [(i, " ".join(t), "en", "s", 0) for i, t in enumerate(docs)]
+    out = jaccard.jaccard_components(cases.frame(spark, docs), words=5, percent=80)
+    assert rows(out, "doc_id", "n_shingles", "component_id") == five_word_components(docs)
