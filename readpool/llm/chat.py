@@ -4,11 +4,14 @@ Chat logs often hold a conversation several times: a snapshot after each turn. A
 are a proper prefix of another's; of equal conversations the one with the smallest id stays. Rolling prefix hashes find
 this: the hash of a prefix is the bitwise XOR of position-keyed hashes of its turns, so prefixes of any conversation
 come from sums of blocks of turns and no task needs a whole conversation in order. Two independent 64-bit parts and the
-length identify a prefix. The kept conversations are rendered as one text for each block of `BLOCK_TURNS` turns.
+length identify a prefix. The kept conversations are rendered as one text, or, where they have more than `BLOCK_TURNS` turns, as
+one for each BLOCK_TURNS of them by place, so that no task renders a conversation without bound; the texts of the parts, joined
+in order, are the conversation.
 
 Defined results: turns of one conversation are ordered by (turn, role, text), nulls first; rows that repeat another in
 all four columns count once; a null role or text is rendered as empty and differs from an empty one when prefixes are
-compared; rows with a null conv_id form one conversation.
+compared; rows with a null conv_id form one conversation; of equal ones the smallest conv_id stays, a null one only if all are
+null; an empty table gives an empty one; other columns play no part, whatever their names; a turn of any length is hashed whole.
 """
 
 from __future__ import annotations
@@ -66,16 +69,12 @@ def rendered(role: Column, text: Column) -> Column:
 
 
 def formatted(df: DataFrame) -> DataFrame:
-    """(conv_id, part, n_turns, n_copies, rendered): the kept conversations, one row for each block of turns."""
+    """(conv_id, part, n_turns, n_copies, rendered): the kept conversations; part counts from 0, and is 0 alone for most."""
     turns = common.stored(positioned(df))
     kept = maximal(turns).withColumnRenamed("conv_id", "c_")
-    rows = turns.join(kept, F.col("conv_id").eqNullSafe(F.col("c_")))
+    rows = turns.join(kept, F.col("conv_id").eqNullSafe(F.col("c_"))).withColumn("part", F.expr(f"int((pos - 1) div {BLOCK_TURNS})"))
     text = F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("pos", rendered(F.col("role"), F.col("text")).alias("s")))), lambda x: x["s"]))
-    return (
-        rows.groupBy("conv_id", "block")
-        .agg(F.min("pos").alias("first_turn"), F.first("n_turns").alias("n_turns"), F.first("n_copies").alias("n_copies"), text.alias("rendered"))
-        .select("conv_id", "first_turn", "n_turns", "n_copies", "rendered")
-    )
+    return rows.groupBy("conv_id", "part").agg(F.first("n_turns").alias("n_turns"), F.first("n_copies").alias("n_copies"), text.alias("rendered"))
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,8 +95,8 @@ WITH t AS (
 ), kept AS (
   SELECT * FROM whole WHERE said NOT IN (SELECT said FROM p WHERE pos < n)
 )
-SELECT t.conv_id, min(pos) AS first_turn, any_value(n) AS n_turns, any_value(n_copies) AS n_copies,
+SELECT t.conv_id, CAST((pos - 1) // 256 AS INTEGER) AS part, any_value(n) AS n_turns, any_value(n_copies) AS n_copies,
   string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY pos) AS rendered
 FROM t JOIN kept ON t.conv_id IS NOT DISTINCT FROM kept.conv_id
-GROUP BY t.conv_id, floor(t.turn / 256)
+GROUP BY t.conv_id, (pos - 1) // 256
 """

@@ -5,8 +5,11 @@ and dimensions, and the byte range of every keyframe. `text_movies` is the write
 stores bytes losslessly as 8-bit monochrome frames.
 
 Defined results: a null blob has status `null`; bytes without a whole `moov` or `moof` box have status `no_media` and no
-tracks; where one was found, a later box that runs past its parent, or a sample table that does, gives status `truncated`,
-and what was read before is kept.
+tracks; where one was found, a later box that runs past its parent, a sample table that does or makes no sense (counts beyond
+what the blob can hold, chunks out of order), or boxes nested deeper than MAX_DEPTH give status `truncated`, and what was read
+before is kept. Work and memory for a blob are bounded by its length. Texts: null and empty ones are one frame of padding;
+repeated rows are rows of their own with equal values; a text of any length is one movie; other columns stay, whatever their
+names, but for `out_col`, which is replaced; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -30,8 +33,9 @@ GOP = 12
 SAMPLES_PER_CHUNK = 32
 PAD = 255
 
+#: The boxes that hold boxes.
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"mvex", b"moof", b"traf"}
-MAX_DEPTH = 16
+MAX_DEPTH = 64  # of nested boxes: deeper ones give status `truncated`
 
 TRACK = (
     "struct<track_id:bigint,handler:string,codec:string,timescale:bigint,duration:bigint,width:int,height:int,"
@@ -102,8 +106,11 @@ class Truncated(Exception):
     pass
 
 
-def boxes(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, int, int]]:
-    """(kind, start and end of the body) of each box between two offsets."""
+DAMAGE = (struct.error, IndexError, KeyError, ValueError, OverflowError)  # what reading tables that make no sense ends with
+
+
+def boxes(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, int, int, int]]:
+    """(kind, start, start and end of the body) of each box between two offsets."""
     while start < end:
         if end - start < 8:
             raise Truncated
@@ -120,7 +127,7 @@ def boxes(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, int,
             body += 16
         if size < body - start or start + size > end:
             raise Truncated
-        yield kind, body, start + size
+        yield kind, start, body, start + size
         start += size
 
 
@@ -141,6 +148,7 @@ def walk(data: memoryview) -> dict:
     """All that a container's boxes say; `samples` of a track is an array of (start, size, time, is keyframe)."""
     out = {"status": "no_media", "brand": None, "timescale": None, "duration": None, "tracks": []}
     defaults: dict[int, tuple[int, int, int]] = {}
+    reach = [0]  # where the data of the last run of the fragment ends
 
     def header(at: int, end: int) -> tuple[int, int, int]:
         """(time scale, duration, offset after them) of mvhd and mdhd."""
@@ -150,17 +158,19 @@ def walk(data: memoryview) -> dict:
         return (*struct.unpack_from(">IQ" if wide else ">II", data, at + (20 if wide else 12)), at + (32 if wide else 20))
 
     def visit(start: int, end: int, track: dict | None, depth: int, moof: int) -> None:
-        for kind, at, stop in boxes(data, start, end):
+        for kind, head, at, stop in boxes(data, start, end):
             if kind == b"trak":
                 track = {"tables": {}, "samples": []}
                 out["tracks"].append(track)
             if kind in (b"moov", b"moof"):
-                out["status"], moof = "ok", at - 8
+                out["status"], moof = "ok", head
+                reach[0] = head
             if kind == b"traf":
                 track = None
             if kind in CONTAINERS:
-                if depth < MAX_DEPTH:
-                    visit(at, stop, track, depth + 1, moof)
+                if depth == MAX_DEPTH:
+                    raise Truncated
+                visit(at, stop, track, depth + 1, moof)
                 continue
             if kind == b"ftyp" and stop - at >= 4:
                 out["brand"] = bytes(data[at : at + 4]).decode("latin-1")
@@ -175,13 +185,14 @@ def walk(data: memoryview) -> dict:
                 if track is None:
                     track = {"track_id": track_id, "tables": {}, "samples": []}
                     out["tracks"].append(track)
-                p, base, (dur, size, flag) = at + 8, moof, defaults.get(track_id, (0, 0, 0))
+                # Without a base of its own, a track's data follow those of the track before in the fragment.
+                p, base, (dur, size, flag) = at + 8, moof if flags & 0x20000 else reach[0], defaults.get(track_id, (0, 0, 0))
                 for bit, form in ((1, ">Q"), (2, ">I"), (8, ">I"), (16, ">I"), (32, ">I")):
                     if flags & bit:
                         (x,) = struct.unpack_from(form, data, p)
                         p += struct.calcsize(form)
                         base, dur, size, flag = x if bit == 1 else base, x if bit == 8 else dur, x if bit == 16 else size, x if bit == 32 else flag
-                track["fragment"] = [base, dur, size, flag]
+                track["fragment"], reach[0] = [base, dur, size, flag], base
             elif track is None:
                 continue
             elif kind == b"tkhd":
@@ -204,14 +215,16 @@ def walk(data: memoryview) -> dict:
         flags, n = struct.unpack_from(">II", data, at)
         base, dur, size, flag = track.get("fragment", [0, 0, 0, 0])
         p = at + 8
-        offset, first = 0, flag
+        begin, first = reach[0], flag  # without an offset, where the run before ends
         if flags & 1:
-            (offset,) = struct.unpack_from(">i", data, p)
+            begin = base + struct.unpack_from(">i", data, p)[0]
             p += 4
         if flags & 4:
             (first,) = struct.unpack_from(">I", data, p)
             p += 4
         fields = [b for b in (0x100, 0x200, 0x400, 0x800) if flags & b]
+        if n > len(data):  # a run without fields says no sizes, so only this bounds it
+            raise Truncated
         x = numbers(data, p, stop, n * len(fields), ">u4").reshape(n, len(fields))
         column = {b: x[:, i] for i, b in enumerate(fields)}
         sizes = column.get(0x200, np.full(n, size))
@@ -219,19 +232,18 @@ def walk(data: memoryview) -> dict:
         marks = column.get(0x400, np.full(n, flag)).copy()
         if n and flags & 4 and 0x400 not in column:
             marks[0] = first
-        begin = sum(int(s[1].sum()) for s in track.get("runs", ()))
-        starts = base + offset + np.cumsum(sizes) - sizes
-        track.setdefault("runs", []).append((sizes, durations))
-        track["samples"].append((starts, sizes, begin + np.cumsum(durations) - durations, (marks & 0x10000) == 0))
+        time = track.get("time", 0)
+        track["time"], reach[0] = time + int(durations.sum()), begin + int(sizes.sum())
+        track["samples"].append((begin + np.cumsum(sizes) - sizes, sizes, time + np.cumsum(durations) - durations, (marks & 0x10000) == 0))
 
     try:
         visit(0, len(data), None, 0, 0)
-    except (Truncated, struct.error, IndexError):
+    except (Truncated, *DAMAGE):
         out["status"] = "truncated" if out["status"] == "ok" else out["status"]
     for track in out["tracks"]:
         try:
             track["samples"].insert(0, table_samples(data, track["tables"]))
-        except (Truncated, struct.error, IndexError, KeyError):
+        except (Truncated, *DAMAGE):
             if track["tables"]:
                 out["status"] = "truncated"
         track["samples"] = tuple(np.concatenate(c) for c in zip(*track["samples"], strict=True)) if track["samples"] else tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, bool))
@@ -251,7 +263,7 @@ def table_samples(data: memoryview, tables: dict) -> tuple[np.ndarray, ...]:
     else:
         at, end = tables[b"stsz"]
         each, n = struct.unpack_from(">II", data, at)
-        if each and n > len(data) // each + 1:
+        if each and n > len(data) // each + 1:  # n is bounded by the blob in every case
             raise Truncated
         sizes = np.full(n, each, np.int64) if each else numbers(data, at + 8, end, n, ">u4")
     wide = b"co64" in tables
@@ -263,19 +275,24 @@ def table_samples(data: memoryview, tables: dict) -> tuple[np.ndarray, ...]:
     runs = numbers(data, at + 4, end, 3 * n_runs, ">u4").reshape(-1, 3)
     if n == 0:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, bool))
-    per_chunk = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], n_chunks + 1)))
-    chunk = np.repeat(np.arange(n_chunks), per_chunk)[:n]
-    if len(chunk) < n:
+    # The chunk of each sample, from where the samples of each run of chunks begin; no more than n are laid out.
+    spans = np.diff(np.append(runs[:, 0], n_chunks + 1))
+    if not len(runs) or runs[0, 0] != 1 or (spans < 0).any():
+        raise Truncated
+    upto = np.cumsum(np.minimum(spans.astype(float) * runs[:, 1], n).astype(np.int64))
+    if upto[-1] < n:
         raise Truncated
+    at_ = np.arange(n)
+    run = np.searchsorted(upto, at_, side="right")
+    chunk = runs[run, 0] - 1 + (at_ - np.append(0, upto)[run]) // runs[run, 1]
     before = np.cumsum(sizes) - sizes
     first = np.zeros(n_chunks, np.int64)
     head = np.flatnonzero(np.diff(chunk, prepend=-1))
     first[chunk[head]] = before[head]
     starts = chunks[chunk] + before - first[chunk]
     counts, deltas = repeated(data, *tables[b"stts"])
-    if counts.sum() > len(data):
-        raise Truncated
-    durations = np.repeat(deltas, counts)[:n]
+    last = np.minimum(np.cumsum(counts.astype(float)), n).astype(np.int64)
+    durations = np.repeat(deltas, np.diff(last, prepend=0))
     durations = np.pad(durations, (0, n - len(durations)))
     key = np.ones(n, bool)
     if b"stss" in tables:
@@ -291,7 +308,11 @@ def described(blob: bytes | None) -> dict:
     """The value of the MEDIA column."""
     if blob is None:
         return {"status": "null", "brand": None, "timescale": None, "duration": None, "tracks": []}
-    found = walk(memoryview(blob))
+    return described_index(walk(memoryview(blob)))
+
+
+def described_index(found: dict) -> dict:
+    """The value of the MEDIA column, from what `walk` found."""
     tracks = []
     for t in found["tracks"]:
         starts, sizes, times, key = t["samples"]
@@ -366,7 +387,7 @@ def feature(found: dict) -> str:
     return f"codec={(t.get('codec') or '').strip()};size={t.get('width')}x{t.get('height')};timescale={t.get('timescale')};duration={t.get('duration')};samples={len(starts)};keyframes={len(at)};ranges={ranges}"
 
 
-FEATURES = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, duration_s double, n_keyframes long"
+FEATURES = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, duration_s double, n_keyframes long, keyframes array<struct<start:bigint,size:bigint>>"
 
 
 def movie_features(movies: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -377,9 +398,9 @@ def movie_features(movies: DataFrame, id_col: str = "doc_id") -> DataFrame:
             out = []
             for n, blob in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 found = walk(memoryview(blob))
-                payload, track = payload_of(blob, found), found["tracks"][0]
-                out.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(blob), hashlib.sha256(blob).hexdigest(), feature(found), track["codec"], track["duration"] / track["timescale"], int(track["samples"][3].sum())))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.int64()]
+                payload, track = payload_of(blob, found), described_index(found)["tracks"][0]
+                out.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(blob), hashlib.sha256(blob).hexdigest(), feature(found), track["codec"], track["duration"] / track["timescale"], len(track["keyframes"]), [{"start": k["start"], "size": k["size"]} for k in track["keyframes"]]))
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("size", pa.int64())]))]
             columns = list(zip(*out, strict=True)) or [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [id_col, *(x.split()[0] for x in FEATURES.split(", "))])
 

@@ -4,14 +4,17 @@
    is shared again by weight until no source is above.
 2. Sources get whole blocks of `block` words by the highest quotients target / (2k - 1).
 3. Each source's blocks go to its shards (seeded groups of about `shard_docs` documents) by the same rule.
-4. In a shard, documents are laid end to end in seeded order, and the quota is a run of blocks from a seeded start,
-   going round as often as needed; so a document is taken at most `cap` times and reruns agree.
+4. In a shard, documents are laid end to end in seeded order, and the quota is a contiguous run of blocks of this order from a
+   seeded start, going round as often as needed (not a draw of single blocks, which would cut documents into pieces); so a
+   document is taken at most `cap` times and reruns agree.
 
 Only (id, source, size) rows are shuffled. A source's shards are at most MAX_SHARDS rows of numbers, however large it is.
 
 Defined results: a null text has size 0 and is taken 0 times; a null source is a source of its own, last in order;
-repeated rows (also with the same id) are documents of their own; rows with equal id and size in a shard are told apart
-by their number, so which of such equals is taken is arbitrary but the taken sizes are the same.
+repeated rows (also with the same id) are documents of their own; rows with equal id and size in a shard are told apart in
+`take` by a hash of the text, so reruns take the same texts; a text of any length is counted whole; an empty table gives an empty
+one; columns of `docs` never clash with those made on the way. Rows of numbers about sources (one a source) are sorted in one
+task.
 """
 
 from __future__ import annotations
@@ -131,10 +134,15 @@ def take(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
     """The mix itself: a document of which it takes q whole copies and r words more gives q equal rows and one row with its
     first r words; one of which it takes nothing gives none. Columns stay those of `docs`."""
     plain, name = common.renamed(docs)
-    numbered = common.stored(plain.withColumn("row__", F.monotonically_increasing_id()))
-    amounts = mixed(numbered, name[id_col], name[text_col], name[source_col], carry=("row__",), **options)
-    amounts = amounts.filter("taken > 0").select(F.col("row__").alias("of__"), F.col("size").alias("size__"), F.col("taken").alias("taken__"))
-    rows = numbered.join(amounts, F.col("row__") == F.col("of__")).select(*plain.columns, "size__", "taken__").toDF(*docs.columns, "size__", "taken__")
+    ids = plain.groupBy(name[id_col]).agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) | F.col(name[id_col]).isNull())
+    if ids.isEmpty():  # ids tell rows apart
+        numbered, by = plain, name[id_col]
+        amounts = mixed(plain, name[id_col], name[text_col], name[source_col], **options)
+    else:
+        numbered, by = common.stored(plain.withColumn("hash__", F.xxhash64(name[text_col])).withColumn("row__", F.monotonically_increasing_id())), "row__"
+        amounts = mixed(numbered, name[id_col], name[text_col], name[source_col], carry=("hash__", "row__"), **options)
+    amounts = amounts.filter("taken > 0").select(F.col(by).alias("of__"), F.col("size").alias("size__"), F.col("taken").alias("taken__"))
+    rows = numbered.join(amounts, F.col(by) == F.col("of__")).select(*plain.columns, "size__", "taken__").toDF(*docs.columns, "size__", "taken__")
     columns = docs.columns
     at = columns.index(text_col)
     word = re.compile(common.WORD)

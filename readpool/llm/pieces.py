@@ -11,12 +11,16 @@ so words, cut at such characters, are encoded alone and each distinct one once a
 their pieces score lowest, and leftmost first.
 
 Defined results: null and empty texts have no token; characters without a piece become their UTF-8 bytes; U+2581 in a text
-is a space, as the model has no other mark for it; decoding gives the text back, but for that.
+is a space, as the model has no other mark for it; decoding gives the text back, but for that. Repeated rows are encoded each; a
+text of any length is encoded whole by one task; an empty table gives an empty one; a null token list decodes to null, and a
+null or a number that is no token inside one to U+FFFD; columns that are named as new ones are replaced, all others stay. A model
+that is not BPE is refused with an error. "Batch text" are the distinct words of a batch that the task has not met before.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 
 import numpy as np
@@ -27,7 +31,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 from readpool.llm import common
 
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+MODEL = os.environ.get("READPOOL_PIECES", "/opt/tokenizers/piece_bpe_32k.model")  # the default of the parameter `model`
 SPACE = "▁"
 CHUNK_CHARS = 1_000_000
 MATCH_CHARS = 300_000  # of distinct words that are matched at once
@@ -43,13 +47,18 @@ class Vocabulary:
         rank = np.empty(len(pieces), np.int64)
         rank[np.lexsort((np.arange(len(pieces)), -np.array(scores)))] = np.arange(len(pieces))
         self.by_text = {p: i for i, p in enumerate(pieces) if i not in special}
-        assert not any(SPACE in p.lstrip(SPACE) for p in self.by_text)
+        if any(SPACE in p.lstrip(SPACE) for p in self.by_text):
+            raise ValueError("a piece of this model has a space mark after another character, so words cannot be encoded alone")
+        if any(scores[i] != round(scores[i]) for i in self.by_text.values()):
+            raise ValueError("the scores of this model are no merge ranks: only BPE models are encoded here, not unigram ones")
         self.rank = np.where([len(p) == 1 for p in pieces], -1, rank)
         words = {p: i for p, i in self.by_text.items() if p == SPACE or p.strip(SPACE)}
         self.space = self.by_text[SPACE]
         self.runs = {len(p): i for p, i in self.by_text.items() if not p.strip(SPACE)}
         chars = sorted(p for p in words if len(p) == 1)
         self.code = {c: i + 1 for i, c in enumerate(chars)}
+        self.bits = len(chars).bit_length()
+        self.at_once = 62 // self.bits  # characters that one number holds
         self.known = re.compile("[" + "".join(map(re.escape, chars)) + "]+|.", re.DOTALL)
         self.other = re.compile("[^" + "".join(re.escape(c) for c in chars if c != SPACE) + "]")
         left, right, merged = [], [], []
@@ -76,7 +85,7 @@ class Vocabulary:
         self.size = np.array([len(p) for p in pieces], np.int64)
         self.longest = int(self.size[use].max())
         self.ids = use
-        self.width = -(-self.longest // 5) * 5
+        self.width = -(-self.longest // self.at_once) * self.at_once
         grid = np.zeros((len(use), self.width), np.int64)
         for r, i in enumerate(use.tolist()):
             grid[r, : len(pieces[i])] = [self.code[c] for c in pieces[i]]
@@ -155,12 +164,12 @@ def load(path: str = MODEL) -> Vocabulary:
 # --- matching and relaxing -------------------------------------------------------------------------------
 
 
-def packed(codes: np.ndarray, inside: np.ndarray) -> np.ndarray:
-    """Five codes from each place on in one number; 0 beyond the end of the place's word."""
+def packed(codes: np.ndarray, inside: np.ndarray, vocab: Vocabulary) -> np.ndarray:
+    """As many codes from each place on as one number holds; 0 beyond the end of the place's word."""
     key = np.zeros(len(codes), np.int64)
-    for t in range(5):
+    for t in range(vocab.at_once):
         c = np.append(codes[t:], np.zeros(min(t, len(codes)), codes.dtype))
-        key = key << 12 | np.where(inside > t, c, 0)
+        key = key << vocab.bits | np.where(inside > t, c, 0)
     return key
 
 
@@ -176,13 +185,13 @@ def matches(words: list[str], vocab: Vocabulary) -> tuple[np.ndarray, ...]:
     codes = table[points]
     begins = np.cumsum(sizes) - sizes
     inside = np.repeat(begins + sizes, sizes) - np.arange(len(codes))  # characters left in the word
-    key = packed(codes, inside)
-    # Suffix array to the depth of the longest piece, five characters at a time from the last.
+    key, step = packed(codes, inside, vocab), vocab.at_once
+    # Suffix array to the depth of the longest piece, a number's characters at a time.
     order = np.arange(len(codes))
     ahead = lambda at, k: np.where(inside[at] > k, key[np.minimum(at + k, len(key) - 1)], 0)
     order = np.argsort(key, kind="stable")
     head = np.append(True, key[order][1:] != key[order][:-1])
-    for k in range(5, vocab.width, 5):
+    for k in range(step, vocab.width, step):
         slots = np.flatnonzero(~(head & np.append(head[1:], True)))
         if not len(slots):
             break
@@ -192,18 +201,18 @@ def matches(words: list[str], vocab: Vocabulary) -> tuple[np.ndarray, ...]:
         by = np.lexsort((second, group))
         order[slots], group, second = rows[by], group[by], second[by]
         head[slots] = np.append(True, (group[1:] != group[:-1]) | (second[1:] != second[:-1]))
-    # Every piece's range, five characters at a time.
+    # Every piece's range, likewise.
     grid, size = vocab.grid, vocab.size[vocab.ids]
     low, high = np.zeros(len(grid), np.int64), np.full(len(grid), len(order), np.int64)
-    for k in range(0, vocab.width, 5):
+    for k in range(0, vocab.width, step):
         on = np.flatnonzero((size > k) & (low < high))
         if not len(on):
             break
-        five = np.zeros(len(on), np.int64)
-        for t in range(5):
-            five = five << 12 | grid[on, k + t]
-        free = (1 << (12 * np.maximum(0, k + 5 - size[on]))) - 1  # what may follow the piece
-        low[on], high[on] = (bound(order, ahead, k, low[on], high[on], five), bound(order, ahead, k, low[on], high[on], five + free + 1))
+        value = np.zeros(len(on), np.int64)
+        for t in range(step):
+            value = value << vocab.bits | grid[on, k + t]
+        free = (1 << (vocab.bits * np.maximum(0, k + step - size[on]))) - 1  # what may follow the piece
+        low[on], high[on] = (bound(order, ahead, k, low[on], high[on], value), bound(order, ahead, k, low[on], high[on], value + free + 1))
     n = np.maximum(high - low, 0)
     piece = np.repeat(np.arange(len(grid)), n)
     start = order[np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n) + low[piece]]
@@ -211,7 +220,7 @@ def matches(words: list[str], vocab: Vocabulary) -> tuple[np.ndarray, ...]:
 
 
 def bound(order, ahead, k: int, low: np.ndarray, high: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """First row in [low, high) whose five characters after k are not below value."""
+    """First row in [low, high) whose characters after k are not below value."""
     low, high = low.copy(), high.copy()
     while (open_ := low < high).any():
         mid = (low + high) // 2
@@ -347,9 +356,10 @@ def words_of(text: str) -> list[str]:
     return [w[1:] for w in SPACES.findall(SPACE + text)]
 
 
-def decode(tokens: list[int], table: list[bytes]) -> str:
-    """The text of a token list; bytes that are no UTF-8 become U+FFFD."""
-    raw = b"".join([table[t] for t in tokens])
+def decode(tokens: list[int | None], table: list[bytes]) -> str:
+    """The text of a token list; bytes that are no UTF-8, nulls and numbers that are no token become U+FFFD."""
+    lost = "\ufffd".encode()
+    raw = b"".join([table[t] if t is not None and 0 <= t < len(table) else lost for t in tokens])
     return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 

@@ -4,11 +4,13 @@ Vectors are packed into blocks in vertical layout (one row of a matrix for each
 products dimension block by dimension block; after each, a candidate whose partial score plus the largest mass that the
 remaining dimensions can add (Cauchy-Schwarz) is below the k-th best lower bound is dropped, and the survivors are
 compacted. Components are integers; where sums could leave the exact range of doubles, whole numbers of any size are used
-(a score that does not fit a bigint is given as the nearest one).
+(a score that does not fit a bigint is given as the nearest one, but ranks by its size as a double).
 
 Query blocks meet vector blocks in pairs, so no task holds more than one of each. Defined results: vectors that are
 null or hold null or non-finite components, and rows with a null id, take no part; a query meets vectors of its own
-dimension only; repeated rows (equal id and vector) count once, and no row with the query's id is its candidate.
+dimension only; no row with the query's id is its candidate; repeated rows are candidates each, and a repeated query finds its
+candidates once for each of its rows, within the same k ranks; ties go to the smaller id; an empty table, or one without a
+query, gives no row; columns other than the two named play no part, whatever their names; long vectors are taken whole.
 """
 
 from __future__ import annotations
@@ -32,12 +34,17 @@ def quantised(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame
     x = F.col(vec_col)
     fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     return df.filter(F.col(id_col).isNotNull() & x.isNotNull() & F.coalesce(fine, F.lit(False))).select(
-        F.col(id_col).cast("long").alias("id"), F.transform(x, lambda v: F.floor(v.cast("double") * scale).cast("double")).alias("v")
+        F.col(id_col).cast("long").alias("id"), F.transform(x, lambda v: floor_of(v.cast("double") * scale)).alias("v")
     )
 
 
+def floor_of(x):
+    """The floor as a double; from 2**53 on doubles are whole (and a bigint would be cut at 2**63)."""
+    return F.when(F.abs(x) < F.lit(float(1 << 53)), F.floor(x).cast("double")).otherwise(x)
+
+
 def search_block(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, columns: np.ndarray, k: int, dim_block: int) -> list[tuple]:
-    """The k best of one block of vectors (columns: dimensions x vectors) for each query: (query, id, score)."""
+    """The k best of one block of vectors (columns: dimensions x vectors) for each query: (query, id, score, score as a double)."""
     d = columns.shape[0]
     if d and np.abs(columns).max(initial=0) * np.abs(q).max(initial=0) * d >= 2**53:
         return search_large(qid, q, ids, columns, k)
@@ -63,10 +70,17 @@ def search_block(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, columns: np.nd
             keep = np.flatnonzero(score >= least)
             keep = keep[np.argsort(-score[keep], kind="stable")][:k]  # ids ascend, so ties go to the smaller
             alive, score = alive[keep], score[keep]
-        out += zip([int(own)] * len(alive), ids[alive].tolist(), score.tolist(), strict=True)
+        out += zip([int(own)] * len(alive), ids[alive].tolist(), score.tolist(), score.tolist(), strict=True)
     return out
 
 
+def nearest(x: int) -> float:
+    try:
+        return float(x)
+    except OverflowError:
+        return float("inf") if x > 0 else float("-inf")
+
+
 def search_large(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, columns: np.ndarray, k: int) -> list[tuple]:
     """The same in whole numbers of any size, for components whose products leave the exact range of doubles."""
     limit = 2**63 - 1
@@ -75,7 +89,7 @@ def search_large(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, columns: np.nd
     for own, row in zip(qid.tolist(), q, strict=True):
         x = [int(c) for c in row]
         best = sorted((-sum(a * b for a, b in zip(x, v, strict=True)), i) for i, v in zip(ids.tolist(), vectors, strict=True) if i != own)[:k]
-        out += [(own, i, max(-limit, min(limit, -s))) for s, i in best]
+        out += [(own, i, max(-limit, min(limit, -s)), nearest(-s)) for s, i in best]
     return out
 
 
@@ -88,7 +102,6 @@ def top_k(df: DataFrame, id_col="vec_id", vec_col="embedding", *, k=K, divisor=Q
     pack = "d int, part int, parts int, ids binary, m binary"
 
     def packed(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(key=[x.tobytes() for x in pdf["v"]]).drop_duplicates(["id", "key"])
         m = np.stack(pdf["v"].to_numpy()).astype(np.float64)
         return pd.DataFrame({"d": [m.shape[1]], "part": [pdf["part"].iloc[0]], "parts": [pdf["parts"].iloc[0]], "ids": [pdf["id"].to_numpy(np.int64).tobytes()], "m": [m.T.copy().tobytes()]})
 
@@ -106,11 +119,11 @@ def top_k(df: DataFrame, id_col="vec_id", vec_col="embedding", *, k=K, divisor=Q
                 ids, qid = np.frombuffer(r.ids_c, np.int64), np.frombuffer(r.ids, np.int64)
                 c, q = np.frombuffer(r.m_c).reshape(r.d, len(ids)), np.frombuffer(r.m).reshape(r.d, len(qid)).T
                 found += search_block(qid, q, ids, c, k, dim_block)
-            yield pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "int64"})
+            yield pd.DataFrame(found, columns=["query_id", "vec_id", "score", "size"]).astype({"query_id": "int64", "vec_id": "int64", "score": "int64", "size": "float64"})
 
     pairs = asked.join(wide.hint("shuffle_hash"), ["d", "part_c"])
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    found = pairs.select("d", "ids", "m", "ids_c", "m_c").mapInPandas(search, "query_id long, vec_id long, score long")
+    best = Window.partitionBy("query_id").orderBy(F.col("size").desc(), F.col("score").desc(), "vec_id")
+    found = pairs.select("d", "ids", "m", "ids_c", "m_c").mapInPandas(search, "query_id long, vec_id long, score long, size double")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

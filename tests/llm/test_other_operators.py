@@ -43,11 +43,27 @@ def test_snapshots_collapse(spark, seed):
     out = chat.formatted(df).collect()
     got = {(r["conv_id"], r["n_turns"], r["n_copies"]) for r in out}
     assert sorted(got, key=repr) == expected_chats(rows)
-    long = sorted((r for r in out if r["conv_id"] == 200), key=lambda r: r["first_turn"])
-    assert [r["first_turn"] for r in long] == [1, 257, 513]
+    long = sorted((r for r in out if r["conv_id"] == 200), key=lambda r: r["part"])
+    assert [r["part"] for r in long] == [0, 1, 2]
     assert "".join(r["rendered"] for r in long) == "".join(f"<|im_start|>user\nturn {t}<|im_end|>\n" for t in range(700))
 
 
+def test_few_turns_are_one_row_and_the_sql_agrees(spark, tmp_path):
+    """Turn numbers may be far apart; what counts is the place."""
+    import duckdb
+
+    rows = [(1, t, "user", f"turn {t}") for t in (0, 1000, 2000, 3000)] + [(2, 0, "user", "turn 0"), (None, 3, None, "x"), (None, 3, None, "x"), (4, None, "user", None), (5, None, "user", None)]
+    rows += [(6, 7 * t, "user", f"long {t}") for t in range(300)]
+    spark.createDataFrame(rows, TURNS).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    got = chat.op2_chat_formatting(spark, str(tmp_path))
+    want = con.execute(chat.OP2_SQL)
+    assert got.columns == [c[0] for c in want.description]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want.fetchall(), key=repr)
+    assert sum(r["conv_id"] == 1 for r in got.collect()) == 1
+
+
 def test_chats_run_without_python(spark):
     plan = chat.formatted(spark.createDataFrame(talks(1), TURNS))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
@@ -60,10 +76,10 @@ def test_no_chats(spark):
 def expected_top(rows, k, divisor):
     import math
 
-    fine = sorted({(i, tuple(math.floor(64 * x) for x in v)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)})
+    fine = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for i, q in {(i, q) for i, q in fine if i % divisor == 0}:
-        scores = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for j, v in fine if j != i and len(v) == len(q))[:k]
+    for i in {i for i, _ in fine if i % divisor == 0}:
+        scores = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for n, q in fine if n == i for j, v in fine if j != i and len(v) == len(q))[:k]
         out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scores)]
     return sorted(out)
 
@@ -84,6 +100,23 @@ def test_top_k_is_exact(spark, blocks):
     assert sorted(map(tuple, out.collect())) == expected_top(rows, 20, 20)
 
 
+def test_top_k_and_its_sql_on_repeated_rows(spark, tmp_path):
+    import duckdb
+
+    rows = [(i, [float(i % 7), 0.25 * i, -1.5]) for i in range(45)] + [(1, [1.0, 0.25, -1.5]), (20, [6.0, 5.0, -1.5]), (None, [1.0, 1.0, 1.0]), (60, None)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = topk.op10_topk_search(spark, str(tmp_path))
+    assert got.columns == ["query_id", "rank", "vec_id", "score"]
+    assert sorted(map(tuple, got.collect())) == sorted(con.execute(topk.OP10_SQL).fetchall())
+
+
+def test_top_k_of_large_components(spark):
+    df = spark.createDataFrame([(0, [1.0]), (1, [2e17]), (2, [3e17])], "vec_id bigint, embedding array<double>")
+    assert [r["vec_id"] for r in topk.top_k(df, divisor=20).orderBy("rank").collect()] == [2, 1]
+
+
 def test_top_k_of_few_and_none(spark):
     empty = spark.createDataFrame([], "vec_id bigint, embedding array<float>")
     assert topk.top_k(empty).count() == 0

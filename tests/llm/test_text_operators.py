@@ -67,6 +67,53 @@ def test_fragments_and_damaged_containers(spark):
     assert rows(media.media_columns(df).selectExpr("k", "media_info.status AS s"), "k", "s") == [(1, "ok"), (2, "null"), (3, "no_media")]
 
 
+def track_box(*tables, timescale=25):
+    import struct
+
+    entry = media.box(b"avc1", bytes(78))
+    stbl = media.box(b"stbl", media.full_box(b"stsd", struct.pack(">I", 1), entry), *tables)
+    return media.box(b"moov", media.box(b"trak", media.box(b"mdia", media.box(b"minf", stbl))))
+
+
+def test_damaged_tables_are_truncated_not_fatal():
+    import struct
+
+    p = struct.pack
+    stts, stco = media.full_box(b"stts", p(">III", 1, 4, 1)), media.full_box(b"stco", p(">III", 2, 100, 200))
+    stsz = media.full_box(b"stsz", p(">II", 10, 4))
+    good = media.full_box(b"stsc", p(">I", 1), p(">III", 1, 2, 1))
+    t = media.described(track_box(stts, stco, stsz, good) + bytes(300))
+    assert t["status"] == "ok" and [k["start"] for k in t["tracks"][0]["keyframes"]] == [100, 110, 200, 210]
+    descending = media.full_box(b"stsc", p(">I", 2), p(">III", 2, 1, 1), p(">III", 1, 1, 1))
+    huge = media.full_box(b"stsc", p(">I", 1), p(">III", 1, 3_000_000_000, 1))
+    assert media.described(track_box(stts, stco, stsz, descending))["status"] == "truncated"
+    assert media.described(track_box(stts, stco, stsz, huge))["tracks"][0]["n_samples"] == 4
+    many = media.full_box(b"stts", p(">III", 1, 4_000_000_000, 1))
+    assert media.described(track_box(many, stco, stsz, good))["tracks"][0]["n_samples"] == 4
+    trun = media.full_box(b"trun", p(">I", 4_000_000_000))
+    fragment = media.box(b"moof", media.box(b"traf", media.full_box(b"tfhd", p(">I", 1)), trun))
+    assert media.described(fragment)["status"] == "truncated"
+    deep = b""
+    for _ in range(100):
+        deep = media.box(b"moov", deep)
+    assert media.described(deep)["status"] == "truncated"
+
+
+def test_runs_follow_each_other():
+    """A run without an offset begins where the run before ends, also in the next track of a fragment."""
+    import struct
+
+    p = struct.pack
+    run = lambda *sizes, at=None: media.full_box(b"trun", p(">I", len(sizes)), b"" if at is None else p(">i", at), *(p(">I", n) for n in sizes), flags=0x200 | (at is not None))
+    head = lambda n: media.full_box(b"tfhd", p(">I", n))
+    moof = media.box(b"moof", media.box(b"traf", head(1), run(10, 10, at=100), run(10, 10)), media.box(b"traf", head(2), run(5, 5)))
+    for before, wide in ((b"", False), (media.box(b"free", bytes(30)), False), (b"", True)):
+        blob = before + (p(">I4sQ", 1, b"moof", len(moof) + 8) + moof[8:] if wide else moof)
+        one, two = media.described(blob)["tracks"]
+        assert [k["start"] - len(before) for k in one["keyframes"]] == [100, 110, 120, 130]
+        assert [k["start"] - len(before) for k in two["keyframes"]] == [140, 145]
+
+
 # --- language --------------------------------------------------------------------------------------------
 
 
