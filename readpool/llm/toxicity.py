@@ -1,19 +1,28 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 A text is cut into clauses at sentence punctuation and line ends. Each word of a clause maps to a class (insult, threat,
-target, negation, reported speech, other) by a lexicon, and three transducers over classes are composed into one
-machine: negation weakens an insult or threat within SCOPE words after it, reported speech weakens all that follow in
-the clause, and a target anywhere before or after it strengthens it. So a match has a factor from its clause; single words
-have none. An entry of the lexicon has a weight for one match in a document and one for several; the score of a document is
-the logistic of BIAS plus the weights of its entries times the mean factors of their matches, and 0 without a match.
-
-The lexicon starts from short general lists. `fitted` adds words and word beginnings that mark toxic training texts, or do
-so where they come up repeatedly, with their log-odds as weights, from a bounded sample: at most `max_toxic` and `max_clean`
-labelled rows.
+target, negation, reported speech, other) by a lexicon. Three transducers over classes are composed into one machine: negation
+marks an insult or threat within SCOPE words after it, reported speech marks all that follow in the clause, and a target
+marks those of its clause, before or after it. What a match weighs is its entry's weight times the factors of its marks.
+
+A fourth machine reads the matches of a text, clause by clause, and accepts texts in which abuse is borne out: an insult or
+threat with a target, outside negation and reported speech; or two such matches without a target. An accepted text has the
+logit BIAS plus the weights of its entries times the mean factors of their matches (an entry has one weight for one match in a
+text, one for several). A text that is not accepted, such as one with a single insult at nobody, has at most the entry's `lone`
+weight: LONE, which stays below THRESHOLD, unless labels say that texts with that one match are toxic. A text without a match
+scores 0.
+
+What is learned, from a bounded sample of at most `max_toxic` and `max_clean` labelled rows: words and word beginnings that mark
+toxic training texts, or do so where they come up repeatedly, with their log-odds as weights, as threats if targets mostly
+follow them, else as insults; words that near such matches go with clean texts, as negations (within SCOPE before) or reported
+speech, and those that go with toxic ones more than the match alone, as targets; and the three factors, by likelihood with a
+penalty on leaving their defaults. The lexicon starts from short general lists.
 
 Defined results: a null or empty text scores 0; score >= THRESHOLD is predicted 1; rows without a label are scored like
 any other; a null label, or a label row without its document, is not learned from; of several label rows for one id the
-highest label counts.
+highest label counts; repeated rows score alike; texts of any length are scored whole; ties between entries that explain
+equally many texts go to the longer, then to the first in code point order; columns that are named as new ones are replaced, all
+others stay, whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -37,6 +46,8 @@ MAX_CLEAN = 4000
 MAX_CHARS = 40_000_000  # of both: a row that does not fit is left out
 SCOPE = 3
 BIAS = -2.0
+LONE = 1.0  # weight at most of a match that nothing else bears out: BIAS + LONE is below the logit of THRESHOLD
+FACTORS = (0.45, 0.6, 1.2)  # of negation, reported speech and a target, before any training
 SEED_WEIGHT = 4.0
 MAX_WEIGHT = 8.0
 MIN_LOG_ODDS = 3.5
@@ -49,28 +60,31 @@ INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = "ITGNRO"
 SEEDS = {
     INSULT: "idiot idiots stupid moron morons loser losers scum trash pathetic worthless disgusting clown imbecile dumbass jerk idiota estúpido estúpida imbécil basura asqueroso crétin débile abruti connard ordure nul dumm idiotisch abschaum dreckig versager".split(),
     THREAT: "kill murder destroy hurt matar matarte golpear tuer frapper détruire töten umbringen schlagen".split(),
-    TARGET: "you your yours yourself they them he she tu te toi vous il elle ils ellos ella él tú usted ustedes ti du dich dir ihr sie euch er".split(),
+    TARGET: "you your yours yourself tu te toi vous tú usted ustedes ti du dich dir ihr euch".split(),
     NEGATION: "not never no nor neither without isn't don't pas jamais ne ni sans nunca sin tampoco nicht kein keine nie niemals ohne".split(),
     REPORT: "said says wrote writes called quoted claimed reported dijo dice escribió llamó dit écrit appelé sagte sagt schrieb nannte".split(),
 }
 
+CONTEXT_ODDS = 1.5  # by how much a word near a match must change the log-odds of a text
+GRIDS = ((0.0, 0.15, 0.3, 0.6, 0.8, 1.0), (0.0, 0.2, 0.4, 0.8, 1.0), (1.0, 1.1, 1.4, 1.7, 2.0))  # values that factors may take
+
 WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 CLAUSE_END = re.compile(r"[.!?;:,\n]")
 
 
 class Transducer:
-    """Deterministic weighted transducer over classes: step(state, symbol) -> (state, symbol, factor)."""
+    """Deterministic transducer: step(state, symbol) -> (state, symbol, marks). Marks are tuples that add up."""
 
     def __init__(self, start, step):
         self.start, self.step = start, step
 
     def then(self, other: Transducer) -> Transducer:
-        """The composition: what this one puts out, the other takes in; factors multiply."""
+        """The composition: what this one puts out, the other takes in."""
 
         def step(state, symbol):
             a, middle, x = self.step(state[0], symbol)
             b, out, y = other.step(state[1], middle)
-            return (a, b), out, x * y
+            return (a, b), out, tuple(map(sum, zip(x, y, strict=True)))
 
         return Transducer((self.start, other.start), step)
 
@@ -88,31 +102,52 @@ class Transducer:
         return out
 
 
+HIT = (INSULT, THREAT)
+NONE = (0, 0, 0)
+
+
 def grammar(scope: int = SCOPE) -> dict:
-    hit = (INSULT, THREAT)
-    negation = Transducer(0, lambda left, s: (scope if s == NEGATION else max(0, left - 1), s, 0.45 if left and s in hit else 1.0))
-    report = Transducer(False, lambda on, s: (on or s == REPORT, s, 0.6 if on and s in hit else 1.0))
-    target = Transducer(False, lambda on, s: (on or s == TARGET, s, 1.2 if on and s in hit else 1.0))
+    """The machine over the classes of a clause's words; marks: negated, reported, targeted."""
+    negation = Transducer(0, lambda left, s: (scope if s == NEGATION else max(0, left - 1), s, (1, 0, 0) if left and s in HIT else NONE))
+    report = Transducer(False, lambda on, s: (on or s == REPORT, s, (0, 1, 0) if on and s in HIT else NONE))
+    target = Transducer(False, lambda on, s: (on or s == TARGET, s, (0, 0, 1) if on and s in HIT else NONE))
     return negation.then(report).then(target).table(INSULT + THREAT + TARGET + NEGATION + REPORT + OTHER)
 
 
-Entry = tuple[str, float, float]  # class, weight of one match in a document, weight of several
+AIMED, FREE, WEAK = "AFW"  # a match with a target, one without, and a negated or reported one
+
+
+def evidence() -> dict:
+    """The machine over the matches of a text: the state says how far abuse is borne out, and 2 accepts."""
+    return {(seen, s): 2 if s == AIMED else min(2, seen + (s == FREE)) for seen in range(3) for s in AIMED + FREE + WEAK}
+
+
+Marks = tuple[int, int, int]
+
 
+def kind_of(marks: Marks) -> str:
+    return WEAK if marks[0] or marks[1] else AIMED if marks[2] else FREE
 
-def seeds() -> tuple[dict[str, Entry], dict[str, Entry]]:
-    """Whole words and word beginnings."""
-    return {w: (kind, *[SEED_WEIGHT if kind in (INSULT, THREAT) else 0.0] * 2) for kind, words in SEEDS.items() for w in words}, {}
+
+# Class, weight of one match in a document, weight of several, and of one that nothing else bears out.
+Entry = tuple[str, float, float, float]
+Lexicon = tuple[dict[str, Entry], dict[str, Entry], tuple[float, float, float]]  # whole words, word beginnings, factors
+
+
+def seeds() -> Lexicon:
+    return {w: (kind, *[SEED_WEIGHT if kind in HIT else 0.0] * 2, LONE) for kind, words in SEEDS.items() for w in words}, {}, FACTORS
 
 
 def tokens(text: str) -> list[str]:
     return WORDS.findall(text.lower())
 
 
-def fit(sample: list[tuple[str | None, int]], min_docs: int = 4) -> tuple[dict, dict]:
-    """Words and stems from (text, label) pairs. Copies of one text teach once: a text most of whose lowest shingle hashes
+def fit(sample: list[tuple[str | None, int]], min_docs: int = 4) -> Lexicon:
+    """The lexicon from (text, label) pairs. Copies of one text teach once: a text most of whose lowest shingle hashes
     came up in its class before is left out, so that the words of a copied text do not pass for toxic ones."""
     seen: set[tuple[int, int]] = set()
     number: dict[str, int] = {}
+    kept: list[tuple[str, int]] = []
     texts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {0: [], 1: []}  # distinct words of each text, and 2 for repeated ones
     for text, label in sample:
         words = tokens(text or "")
@@ -122,6 +157,7 @@ def fit(sample: list[tuple[str | None, int]], min_docs: int = 4) -> tuple[dict,
         seen.update((label, h) for h in sketch)
         ids, n = np.unique(np.array([number.setdefault(w, len(number)) for w in words], np.int32), return_counts=True)
         texts[min(1, max(0, label))].append((ids, np.minimum(n, 2).astype(np.int8)))
+        kept.append(((text or "").lower(), min(1, max(0, label))))
     n1, n0 = len(texts[1]), len(texts[0])
     if not n1 or not n0:
         return seeds()
@@ -135,7 +171,7 @@ def fit(sample: list[tuple[str | None, int]], min_docs: int = 4) -> tuple[dict,
     for ids, _ in texts[1]:
         in_toxic[ids] = True
 
-    whole, stems = seeds()
+    whole, stems, _ = seeds()
     need = max(3, n1 // 300)
     good: dict[tuple[str, bool], Entry] = {}
     marked: dict[tuple[str, bool], set[int]] = defaultdict(set)
@@ -167,15 +203,15 @@ def fit(sample: list[tuple[str | None, int]], min_docs: int = 4) -> tuple[dict,
                     if odds(t, c) <= 0:
                         del whole[w]  # the labels say that this word does no harm here
                     else:
-                        whole[w] = (kind, odds(t, c), odds(t, c))
+                        whole[w] = (kind, odds(t, c), odds(t, c), LONE)
         # Keys that mark toxic texts by any match, or by several; and the texts that they mark.
         names, own = list(index), {}
         for i in np.flatnonzero(once[1] >= 3).tolist():
             c, t, c2, t2 = (int(x) for x in (*once[:, i], *more[:, i]))
             if c <= t / 20 and odds(t, c) >= MIN_LOG_ODDS:
-                own[i] = (INSULT, odds(t, c), odds(t, c))
+                own[i] = (INSULT, odds(t, c), odds(t, c), LONE)
             elif t2 >= 2 * need and c2 <= t2 / 4 and odds(t2, c2) >= MIN_LOG_ODDS - 0.5:
-                own[i] = (INSULT, min(odds(t - t2, c - c2), 0.5), odds(t2, c2))
+                own[i] = (INSULT, min(odds(t - t2, c - c2), 0.5), odds(t2, c2), LONE)
         if is_stem:
             for i in list(own):
                 ends = np.flatnonzero((key_of == i) & in_toxic)
@@ -208,7 +244,101 @@ def fit(sample: list[tuple[str | None, int]], min_docs: int = 4) -> tuple[dict,
         w, is_stem = key
         if len(found) >= max(min_docs, n1 / 50) and not any(w[:k] in stems for k in range(MIN_STEM, len(w) + 1)) and not (is_stem and (any(x in whole for x in endings[w]) or any(x.startswith(w) for x in stems))):
             (stems if is_stem else whole)[w] = good[key]
-    return whole, stems
+    return with_contexts((whole, stems, FACTORS), kept, min_docs)
+
+
+def with_contexts(lexicon: Lexicon, sample: list[tuple[str, int]], min_docs: int) -> Lexicon:
+    """The lexicon with what its matches' clauses say: modifiers, classes and lone weights of entries, and factors."""
+    whole, stems, _ = lexicon
+    matcher = Matcher(*lexicon)
+    near: dict[tuple[str, str], dict[int, str]] = defaultdict(dict)  # (word, role): texts, and the entry it stands near
+    base: dict[str, list[set]] = defaultdict(lambda: [set(), set()])  # texts with an entry, by label
+    sides: dict[str, Counter] = defaultdict(Counter)
+    for j, (text, label) in enumerate(sample):
+        for words, classes in matcher.hit_clauses(text):
+            hits = [i for i, (kind, _) in enumerate(classes) if kind in HIT]
+            targets = [i for i, (kind, _) in enumerate(classes) if kind == TARGET]
+            for i in hits:
+                base[classes[i][1]][label].add(j)
+                sides[classes[i][1]].update("after" if t > i else "before" for t in targets)
+            for i, (kind, _) in enumerate(classes):
+                if kind == OTHER:
+                    after = next((h for h in hits if h > i), None)
+                    if after is not None:
+                        near[words[i], NEGATION if after - i <= SCOPE else REPORT].setdefault(j, classes[after][1])
+                    near[words[i], TARGET].setdefault(j, classes[after if after is not None else hits[-1]][1])
+    # How far the labels of texts with a word near a match lie from what the match's entry alone lets expect.
+    rate = {e: (len(toxic) + 0.5) / (len(clean) + len(toxic) + 1) for e, (clean, toxic) in base.items()}
+    whole = dict(whole)
+    for (w, role), texts in sorted(near.items()):
+        if w in whole or len(texts) < 2 * min_docs:
+            continue
+        excess = sum(sample[j][1] - rate[e] for j, e in texts.items())
+        spread = sum(rate[e] * (1 - rate[e]) for e in texts.values())
+        if abs(excess) >= 4 * math.sqrt(spread) and (excess if role == TARGET else -excess) >= CONTEXT_ODDS * spread:
+            whole[w] = (role, 0.0, 0.0, LONE)
+
+    def placed(entries: dict[str, Entry]) -> dict[str, Entry]:
+        return {w: (THREAT if e[0] == INSULT and w not in SEEDS[INSULT] and sides[w]["after"] > max(min_docs, 2 * sides[w]["before"]) else e[0], *e[1:]) for w, e in entries.items()}
+
+    lexicon = (placed(whole), placed(stems), FACTORS)
+    matcher = Matcher(*lexicon)
+    found = [(matcher.matches(text), label) for text, label in sample]
+    alone: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+    for matches, label in found:
+        if len(matches) == 1 and kind_of(matches[0][1]) == FREE:
+            alone[matches[0][0]][label] += 1
+    n = [sum(y == label for _, y in sample) for label in (0, 1)]
+
+    def told(entries: dict[str, Entry]) -> dict[str, Entry]:
+        out = {}
+        for w, e in entries.items():
+            clean, toxic = alone.get(w, (0, 0))
+            rate = math.log((toxic + 0.5) / (n[1] + 1)) - math.log((clean + 0.5) / (n[0] + 1))
+            out[w] = (*e[:3], max(LONE, min(e[1], rate)) if toxic >= min_docs and clean <= toxic / 10 else LONE)
+        return out
+
+    lexicon = (told(lexicon[0]), told(lexicon[1]), FACTORS)
+    return (*lexicon[:2], learned_factors(lexicon, [x for x in found if x[0]]))
+
+
+def learned_factors(lexicon: Lexicon, found: list[tuple[list, int]]) -> tuple[float, float, float]:
+    """Factors of the highest likelihood less a penalty, one after the other, twice."""
+    factors = list(FACTORS)
+    marked = [[x for x in found if any(marks[i] for _, marks in x[0])] for i in range(3)]
+
+    def loss(i: int, value: float) -> float:
+        now = tuple(value if j == i else f for j, f in enumerate(factors))
+        total = 4 * (value - FACTORS[i]) ** 2
+        for matches, label in marked[i]:
+            x = logit_of(matches, lexicon[0], lexicon[1], now)
+            total += math.log1p(math.exp(min(50.0, -x if label else x)))
+        return total
+
+    for _ in range(2):
+        for i, grid in enumerate(GRIDS):
+            if marked[i]:
+                factors[i] = min((*grid, FACTORS[i]), key=lambda v, i=i: (loss(i, v), abs(v - FACTORS[i])))
+    return tuple(factors)
+
+
+EVIDENCE = evidence()
+
+
+def logit_of(matches: list[tuple[str, Marks]], whole: dict, stems: dict, factors: tuple[float, float, float]) -> float:
+    """The logit of a text from its matches (entry, marks), of which there is one at least."""
+    state, by_entry = 0, defaultdict(list)
+    for entry, marks in matches:
+        state = EVIDENCE[state, kind_of(marks)]
+        by_entry[entry].append(math.prod(f**n for f, n in zip(factors, marks, strict=True)))
+    total, lone = 0.0, 0.0
+    for entry, x in by_entry.items():
+        _, once, more, alone = whole.get(entry) or stems[entry]
+        total += (once if len(x) == 1 else more) * sum(x) / len(x)
+        lone = max(lone, alone)
+    if state < 2:
+        total = min(total, lone * -math.expm1(-total))
+    return BIAS + total
 
 
 def hash_text(s: str) -> int:
@@ -218,16 +348,16 @@ def hash_text(s: str) -> int:
 
 
 class Matcher:
-    """Scores texts: an Aho-Corasick automaton finds insults and threats, and the grammar runs over their clauses."""
+    """Finds matches: an Aho-Corasick automaton finds insults and threats, and the grammar runs over their clauses."""
 
-    def __init__(self, whole: dict, stems: dict, machine: dict):
+    def __init__(self, whole: dict, stems: dict, factors: tuple[float, float, float] = FACTORS):
         import ahocorasick
 
-        self.whole, self.stems, self.machine = whole, stems, machine
+        self.whole, self.stems, self.factors, self.machine = whole, stems, factors, grammar()
         self.find = ahocorasick.Automaton()
         for entries, whole_word in ((stems, False), (whole, True)):
             for w, (kind, *_) in entries.items():
-                if kind in (INSULT, THREAT):
+                if kind in HIT:
                     self.find.add_word(w, (len(w), whole_word and w not in stems))
         self.empty = not len(self.find)
         if not self.empty:
@@ -243,21 +373,8 @@ class Matcher:
                 return self.stems[word[:k]][0], word[:k]
         return OTHER, ""
 
-    def clause_matches(self, clause: str) -> list[tuple[str, float]]:
-        """(entry, factor) of each insult and threat that the machine puts out. A target that comes later counts too: the
-        machine runs on the clause with its targets before all else."""
-        classes = [self.classified(w) for w in WORDS.findall(clause)]
-        state, out = 0, []
-        if any(kind == TARGET for kind, _ in classes):
-            state = self.machine[state, TARGET][0]
-        for kind, entry in classes:
-            state, emitted, factor = self.machine[state, kind]
-            if emitted in (INSULT, THREAT):
-                out.append((entry, factor))
-        return out
-
-    def clauses(self, text: str):
-        """(start, end, matches) of each clause with a match, in lower-cased text."""
+    def hit_clauses(self, text: str):
+        """(words, their classes and entries) of each clause with an insult or threat, in lower-cased text."""
         if self.empty:
             return
         done = -1
@@ -268,27 +385,37 @@ class Matcher:
             begin = max(done, max(text.rfind(c, max(done, 0), first) for c in ".!?;:,\n") + 1)
             ends = CLAUSE_END.search(text, last + 1)
             done = ends.start() if ends else len(text)
-            if found := self.clause_matches(text[begin:done]):
-                yield begin, done, found
+            words = WORDS.findall(text, begin, done)
+            classes = [self.classified(w) for w in words]
+            if any(kind in HIT for kind, _ in classes):
+                yield words, classes
+
+    def clause_matches(self, classes: list[tuple[str, str]]) -> list[tuple[str, Marks]]:
+        """(entry, marks) of each insult and threat that the machine puts out. A target that comes later counts too: the machine
+        runs on the clause with its targets before all else."""
+        state, out = 0, []
+        if any(kind == TARGET for kind, _ in classes):
+            state = self.machine[state, TARGET][0]
+        for kind, entry in classes:
+            state, emitted, marks = self.machine[state, kind]
+            if emitted in HIT:
+                out.append((entry, marks))
+        return out
+
+    def matches(self, text: str) -> list[tuple[str, Marks]]:
+        return [m for _, classes in self.hit_clauses(text) for m in self.clause_matches(classes)]
 
     def score(self, text: str | None) -> tuple[float, int, int]:
         """(score, matched clauses, insults and threats in them)."""
-        factors: dict[str, list[float]] = defaultdict(list)
-        clauses = 0
-        for _, _, found in self.clauses((text or "").lower()):
-            clauses += 1
-            for entry, factor in found:
-                factors[entry].append(factor)
-        if not factors:
+        found = [self.clause_matches(classes) for _, classes in self.hit_clauses((text or "").lower())]
+        if not found:
             return 0.0, 0, 0
-        logit = BIAS
-        for entry, x in factors.items():
-            _, once, more = self.whole.get(entry) or self.stems[entry]
-            logit += (once if len(x) == 1 else more) * sum(x) / len(x)
-        return 1 / (1 + math.exp(-max(-50.0, min(50.0, logit)))), clauses, sum(map(len, factors.values()))
+        matches = [m for x in found for m in x]
+        logit = logit_of(matches, self.whole, self.stems, self.factors)
+        return 1 / (1 + math.exp(-max(-50.0, min(50.0, logit)))), len(found), len(matches)
 
 
-def fitted(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", *, max_toxic=MAX_TOXIC, max_clean=MAX_CLEAN, max_chars=MAX_CHARS) -> tuple[dict, dict]:
+def fitted(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", *, max_toxic=MAX_TOXIC, max_clean=MAX_CLEAN, max_chars=MAX_CHARS) -> Lexicon:
     """The lexicon learned from labelled rows of folds other than 2 (crc32 of the id, mod 4)."""
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~common.held_out(id_col, 4, 2))
     known = known.groupBy(F.col(id_col).alias("k_")).agg(F.max(F.col(label_col).cast("int")).alias("y_"))
@@ -307,16 +434,15 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
     return lexicon
 
 
-def scored(docs: DataFrame, lexicon: tuple[dict, dict], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def scored(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Columns `keep` (default: all of `docs`) with score double, predicted int, n_clauses int and n_hits int."""
     new = ["score", "predicted", "n_clauses", "n_hits"]
     kept = [c for c in (keep or docs.columns) if c not in new]
     schema = docs.select(*kept).schema.add("score", "double").add("predicted", "integer").add("n_clauses", "integer").add("n_hits", "integer")
     rows = docs.select(*kept, F.col(text_col).cast("string").alias("text_to_score__"))
-    whole, stems = lexicon
 
     def run(batches):
-        matcher = Matcher(whole, stems, grammar())
+        matcher = Matcher(*lexicon)
         for b in batches:
             found = [matcher.score(x.as_py()) for x in b.column(len(kept))]
             scores = [x[0] for x in found]

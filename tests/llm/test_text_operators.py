@@ -172,7 +172,7 @@ def test_language_of_empty_tables(spark):
 
 
 def test_grammar_weighs_clauses():
-    m = toxicity.Matcher(*toxicity.seeds(), toxicity.grammar())
+    m = toxicity.Matcher(*toxicity.seeds())
     score = lambda t: m.score(t)[0]
     assert score(None) == score("") == score("a calm day.") == 0
     assert score("you are an idiot") > score("an idiot") > score("he said an idiot") > 0
@@ -181,6 +181,28 @@ def test_grammar_weighs_clauses():
     assert score("idiot. moron. scum.") > score("idiot.")
 
 
+def test_single_words_do_not_make_a_text_toxic():
+    m = toxicity.Matcher(*toxicity.seeds())
+    for text in ("trash", "take out the trash", "kill the process", "il est nul", "not an idiot", "you are not an idiot", "he said you are an idiot", "not an idiot, not a moron"):
+        assert 0 < m.score(text)[0] < toxicity.THRESHOLD, text
+    for text in ("you are an idiot", "idiot! moron!", "I will kill you", "tu es un crétin", "du bist ein versager"):
+        assert m.score(text)[0] >= toxicity.THRESHOLD, text
+
+
+def test_modifiers_classes_and_factors_are_learned():
+    """Labels say that a word before an insult takes it back, that another aims it, and that a lone match is no harm."""
+    r = random.Random(5)
+    fill = [a + b + c for a in "bdfgklm" for b in "aeiou" for c in ("n", "r", "st", "lk")]
+    w = lambda n: cases.words(r, n, fill)
+    toxic = [f"{w(9)} morgon {w(2)}. {w(4)} morgon {w(3)}" for _ in range(300)]
+    clean = [f"{w(7)} zif morgon. {w(3)} zif morgon" for _ in range(60)] + [f"{w(9)} morgon {w(2)}" for _ in range(60)] + [w(14) for _ in range(1400)]
+    lexicon = toxicity.fit([(t, 1) for t in toxic] + [(t, 0) for t in clean])
+    assert lexicon[0]["zif"][0] == toxicity.NEGATION
+    m = toxicity.Matcher(*lexicon)
+    assert m.score("ban zif morgon. kar zif morgon")[0] < toxicity.THRESHOLD <= m.score("ban morgon. kar ban morgon")[0]
+    assert m.score("ban kar morgon")[0] < toxicity.THRESHOLD
+
+
 def test_lexicon_learns_words_and_stems(spark):
     r = random.Random(8)
     clean = ["river", "stone", "lorn", "lamp", "candle", "bread", "field"] + [a + b for a in "bcdfgh" for b in ("all", "ine", "ost", "urn")]
@@ -192,9 +214,9 @@ def test_lexicon_learns_words_and_stems(spark):
             text += " " + ("blargh" if i % 8 else "lozwe" + r.choice(ends)) + " " + cases.words(r, 5, clean)
         docs.append((i, text, "en", "s", 0))
         labels.append((i, 1, int(i % 4 == 0)))
-    whole, stems = toxicity.fitted(cases.frame(spark, docs), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    lexicon = whole, stems, _ = toxicity.fitted(cases.frame(spark, docs), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
     assert "blargh" in whole and any("lozwe".startswith(s) or s.startswith("lozwe") for s in stems)
-    out = toxicity.scored(cases.with_clashes(cases.frame(spark, docs)), (whole, stems), keep=["doc_id"]).collect()
+    out = toxicity.scored(cases.with_clashes(cases.frame(spark, docs)), lexicon, keep=["doc_id"]).collect()
     assert all(r["predicted"] == int(r["doc_id"] % 4 == 0) for r in out)
 
 
