@@ -130,15 +130,16 @@ def test_languages_of_held_out_texts(spark):
                 assert r["lang_pred"] == r["lang"]
 
 
-def test_chain_marginals_match_a_sequential_pass():
+@pytest.mark.parametrize("k", [3, 14])
+def test_chain_marginals_match_a_sequential_pass(k):
     r = np.random.default_rng(3)
     lengths = np.array([1, 7, 0, 48, 49, 200, 3])
-    scores, A, start = r.normal(size=(lengths.sum(), 3)), r.normal(size=(3, 3)), r.normal(size=3)
-    got = langid.posteriors(scores, lengths, A, start, block=16)
-    at = 0
+    scores, A, start = r.normal(size=(lengths.sum(), k)), r.normal(size=(k, k)), r.normal(size=k)
+    got, pairs = langid.posteriors(scores, lengths, A, start, block=16, pairs=True)
+    at, expected = 0, np.zeros((k, k))
     for n in lengths:
         e = scores[at : at + n]
-        alpha, beta = np.zeros((n, 3)), np.zeros((n, 3))
+        alpha, beta = np.zeros((n, k)), np.zeros((n, k))
         for t in range(n):
             before = start if t == 0 else np.logaddexp.reduce(alpha[t - 1][:, None] + A, axis=0)
             alpha[t] = before + e[t]
@@ -146,8 +147,35 @@ def test_chain_marginals_match_a_sequential_pass():
             beta[t] = np.logaddexp.reduce(A + e[t + 1] + beta[t + 1], axis=1)
         p = alpha + beta
         if n:
-            assert np.allclose(got[at : at + n], np.exp(p - np.logaddexp.reduce(p, axis=1, keepdims=True)), atol=1e-6)
+            total = np.logaddexp.reduce(p, axis=1, keepdims=True)
+            assert np.allclose(got[at : at + n], np.exp(p - total), atol=1e-6)
+            for t in range(1, n):
+                expected += np.exp(alpha[t - 1][:, None] + A + (e[t] + beta[t])[None] - total[0])
         at += n
+    assert np.allclose(pairs, expected, atol=1e-6)
+
+
+def test_twenty_languages_and_mixed_texts(spark):
+    """Words of twenty alphabets' halves, in whole texts and in texts of two languages; start and transitions are learned."""
+    r = random.Random(12)
+    lexicons = {}
+    for i in range(20):
+        syllables = [a + b for a in r.sample("bcdfghjklmnpqrstvz", 7) for b in r.sample("aeiouyäöéô", 4)]
+        lexicons[f"l{i:02d}"] = ["".join(r.choice(syllables) for _ in range(r.randint(1, 3))) for _ in range(250)]
+    text = lambda y, n: cases.words(r, n, lexicons[y])
+    docs = [(i, text(f"l{i % 20:02d}", r.randint(20, 90)), f"l{i % 20:02d}", "s", 0) for i in range(1200)]
+    model = langid.fitted(cases.frame(spark, docs))
+    assert model["labels"] == sorted(lexicons) and np.abs(model["start"]).max() > 0
+    assert (np.diag(model["transitions"])[:, None] - model["transitions"] > 2).sum() > 360
+    seen = [r_ for r_ in langid.predicted(cases.frame(spark, docs), model).collect() if zlib.crc32(str(r_["doc_id"]).encode()) % 3 == 1]
+    assert sum(r_["lang_pred"] == r_["lang"] for r_ in seen) >= 0.97 * len(seen) > 300
+    mixed = [(i, f"{text(f'l{i:02d}', 25)} {text(f'l{(i + 7) % 20:02d}', 25)}", None, None, 0) for i in range(20)]
+    right = 0
+    for row in langid.labelled(cases.frame(spark, mixed), model).collect():
+        labels = [x["lang"] for x in row["runs"] for _ in range(x["words"])]
+        assert len(labels) == 50
+        right += sum(y == f"l{row['doc_id']:02d}" for y in labels[:25]) + sum(y == f"l{(row['doc_id'] + 7) % 20:02d}" for y in labels[25:])
+    assert right >= 0.9 * 1000
 
 
 def test_words_of_mixed_text_get_their_own_language():
