@@ -57,12 +57,19 @@ def dropped(*tables: DataFrame) -> None:
         tables[0].sparkSession._jvm.System.gc()
 
 
+MAX_PARTS = 1 << 17
+
+
+def size_of(df: DataFrame) -> int | None:
+    """Bytes of the files that `df` comes from, as the plan knows them; None for rows that are no files."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 60 else None
+
+
 def parts_for(df: DataFrame, each: int = 128 << 20) -> int:
-    """Tasks for a shuffle of what comes from `df`: one for `each` bytes of its files, as the plan knows them, and no fewer than
-    spark.sql.shuffle.partitions. Of rows that are no files nothing is known."""
+    """Tasks for a shuffle of what comes from `df`: one for `each` bytes, and no fewer than spark.sql.shuffle.partitions."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(least, -(-size // each)) if size < 1 << 60 else least
+    return max(least, min(MAX_PARTS, -(-(size_of(df) or 0) // each)))
 
 
 def held_out(id_col: str, folds: int, fold: int):
