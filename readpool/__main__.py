@@ -17,11 +17,10 @@ def main(args: list[str] | None = None) -> str:
     parser.add_argument("-e", "--reads", required=True, metavar="PATH", help="block file of clustered reads")
     parser.add_argument("-o", "--out", metavar="PATH", help="folder for the clusters; none: <PATH>.result")
     parser.add_argument("--no-export", action="store_true")
-    parser.add_argument("--adaptive", action="store_true", help="let the work of each block of rounds choose what follows")
     parser.add_argument("--seed", type=int, default=ClusterConfig.seed)
     a = parser.parse_args(args)
     spark = SparkSession.builder.appName("readpool").getOrCreate()
-    config = ClusterConfig(seed=a.seed, adaptive=a.adaptive)
+    config = ClusterConfig(seed=a.seed)
     pool = blocks.read_pool(spark, a.reads, config.q)
     result = pipeline.run(blocks.shuffled_ids(pool.reads, config.seed), config)
     reads = blocks.shuffled_ids(pool.reads, config.seed)

@@ -21,7 +21,7 @@ class ClusterConfig:
     reps_per_chunk: int = 3
     # Chunks
     chunk_rounds: int = 64
-    chunk_block: int = 4  # rounds that one job runs
+    chunk_block: int = 1  # rounds that draw from the same chunks, in one job
     min_merge_rate: float = 0.002
     bad_rounds_first: int = 3
     bad_rounds_second: int = 4
@@ -33,12 +33,13 @@ class ClusterConfig:
     final_low: float = 0.22
     # Final stage
     min_final_rounds: int = 300
-    rotation: int = 20  # rounds with one rank of representatives
-    block: int = 8  # rounds that one job runs in the adaptive schedule
+    rotation: int = 20  # rounds after which the rank of representatives changes at the latest
+    patience: int = 8  # rounds of little work after which it changes too
+    refresh: int = 5  # rounds between looks for much work, after which representatives are chosen anew
     low_work_rate: float = 0.005
     high_work_rate: float = 0.03
     min_bad_rounds: int = 4
-    adaptive: bool = False
+    ahead: int = 40  # rounds at most that one job runs on the chance that they join nothing
 
     def __post_init__(self):
         if 2 * self.q * self.k > 62:

@@ -56,6 +56,13 @@ def dice(a: Column | str, b: Column | str) -> Column:
     return F.when(total > 0, F.lit(2.0) * F.size(F.array_intersect(a, b)) / total).otherwise(F.lit(0.0))
 
 
+def dice_of_sets(a: Column | str, n_a: Column | str, b: Column | str, n_b: Column | str) -> Column:
+    """The same from gram sets as numbers of 64 bits each, and the sizes of the bags."""
+    total = col(n_a) + col(n_b)
+    common = F.aggregate(F.zip_with(col(a), col(b), lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda s, x: s + x)
+    return F.when(total > 0, F.lit(2.0) * common / total).otherwise(F.lit(0.0))
+
+
 def within_edits(a: Column | str, b: Column | str, limit: int) -> Column:
     """Whether at most `limit` insertions, deletions and substitutions lie between a and b."""
     return F.levenshtein(col(a), col(b), limit) >= 0  # -1 above the limit

@@ -15,16 +15,12 @@ def band_keys(sketched: DataFrame, rounds: list[tuple[int, ...]], bits: int, fir
     return sketched.select(*rest, F.explode(keys).alias("b")).select(*rest, "b.round", "b.key")
 
 
-def adjacent_pairs(keyed: DataFrame, within: list[str], seed: int, all_pairs: bool = False) -> DataFrame:
+def adjacent_pairs(keyed: DataFrame, within: list[str], seed: int) -> DataFrame:
     """(round, a, b) with a < b: rows next to each other among those that are equal in `within`.
 
     This makes at most one pair for each row, however large a bucket is. The order inside a bucket is pseudo-random and
-    differs by round. `all_pairs` joins all rows of a bucket instead, for small pools.
+    differs by round.
     """
-    if all_pairs:
-        x, y = keyed.alias("x"), keyed.alias("y")
-        on = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in within] + [F.col("x.read_id") < F.col("y.read_id")]
-        return x.join(y, on).select("x.round", F.col("x.read_id").alias("a"), F.col("y.read_id").alias("b"))
     mark = tiebreak(seed, F.concat_ws(":", F.col("round"), F.col("read_id")))
     before = F.lag("read_id").over(Window.partitionBy(*within).orderBy(mark, "read_id"))
     pairs = keyed.select("round", "read_id", before.alias("other")).filter("other IS NOT NULL AND other <> read_id")

@@ -118,8 +118,8 @@ def purity(table: DataFrame) -> DataFrame:
 
 def report(seconds: float, counts: dict, metrics: dict[str, str]) -> str:
     """The text report: time, cluster counts, then each metric under its name."""
-    head = [f"Total time: {seconds}", f"Total Clusters: {counts['n_clusters']}, Singles: {counts['n_singles']}"]
-    return "\n".join(head + [f"Metric {k}:\n{v}" for k, v in metrics.items()])
+    head = [f"seconds: {seconds}", f"clusters: {counts['n_clusters']}, of a single read: {counts['n_singles']}"]
+    return "\n".join(head + [f"{k}:\n{v}" for k, v in metrics.items()])
 
 
 def accuracy_text(table: DataFrame) -> str:
@@ -128,17 +128,17 @@ def accuracy_text(table: DataFrame) -> str:
 
 def errors_text(table: DataFrame) -> str:
     r = errors(table).first()
-    names = {"n": "Total num. of strands", "fp": "(FP) False Positives", "tn": "(TN) True Negatives", "fn": "(FN) False Negatives", "tp": "(TP) True Positives", "ts": "(TS) Threat Score / (CSI) Critical Success Index"}
+    names = {"n": "reads", "fp": "false positives", "tn": "true negatives", "fn": "false negatives", "tp": "true positives", "ts": "threat score"}
     return "\n".join(f"{v}: {r[k]}" for k, v in names.items())
 
 
 #: The metrics a report can hold, by name.
 REGISTRY = {
-    "Accrcy": accuracy_text,
-    "FalsePos": errors_text,
-    "NMI": lambda t: str(nmi(t).first()[0]),
-    "RandIndex": lambda t: str(ari(t).first()[0]),
-    "Purity": lambda t: str(purity(t).first()[0]),
+    "accuracy": accuracy_text,
+    "errors": errors_text,
+    "nmi": lambda t: str(nmi(t).first()[0]),
+    "ari": lambda t: str(ari(t).first()[0]),
+    "purity": lambda t: str(purity(t).first()[0]),
 }
-DEFAULT_METRICS = ("Accrcy", "FalsePos", "NMI", "RandIndex")
+DEFAULT_METRICS = ("accuracy", "errors", "nmi", "ari")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from readpool.plans.components import connected_components
+from readpool.plans.components import connected_components, written_with
 
 
 def scores(accepted_pairs: DataFrame) -> DataFrame:
@@ -24,7 +24,10 @@ def merged(reads: DataFrame, edges: DataFrame, current: DataFrame | None = None)
         return reads.select("read_id").join(found, F.col("read_id") == F.col("n"), "left").select("read_id", F.coalesce("component", "read_id").alias("cluster"))
     of = current.select(F.col("read_id").alias("r"), "cluster")
     lifted = edges.join(of, F.col("a") == F.col("r")).select(F.col("cluster").alias("ca"), "b").join(of, F.col("b") == F.col("r")).select(F.col("ca").alias("a"), F.col("cluster").alias("b"))
-    found = connected_components(lifted.filter("a <> b").distinct()).select(F.col("node").alias("n"), "component")
+    lifted, seen = written_with(lifted.filter("a <> b").distinct(), n=F.count(F.lit(1)))
+    if not seen["n"]:
+        return current
+    found = connected_components(lifted).select(F.col("node").alias("n"), "component")
     return current.join(found, F.col("cluster") == F.col("n"), "left").select("read_id", F.coalesce("component", "cluster").alias("cluster"))
 
 

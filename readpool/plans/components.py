@@ -10,14 +10,23 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one where that is unset, as in tests on one machine."""
+    """The folder in spark.checkpoint.dir. Where that is unset a temporary one serves if all of Spark is on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="readpool-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Deletes what `written` wrote for tables that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """`df` as a table in the shared folder: it cuts the lineage and survives lost executors."""
     return written_with(df)[0]
@@ -29,7 +38,9 @@ def written_with(df: DataFrame, **figures: Column) -> tuple[DataFrame, dict]:
     seen = Observation()
     out = df.observe(seen, *(c.alias(k) for k, c in figures.items())) if figures else df
     out.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get if figures else {}
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.written_at = path
+    return table, seen.get if figures else {}
 
 
 def star_step(edges: DataFrame) -> DataFrame:
@@ -54,10 +65,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     pairs = pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))  # of one end alone, a loop
     now, seen = written_with(pairs.distinct(), **mark)
     nodes = now.select("u").union(now.select("v")).distinct().withColumnRenamed("u", "node")
-    now = now.filter("u <> v")
+    last, now = None, now.filter("u <> v")
     while seen["n"]:
         before = seen
         now, seen = written_with(star_step(now), **mark)
+        if last:
+            dropped(last)
+        last = now
         if seen == before:
             break
     return nodes.join(now.withColumnsRenamed({"u": "n_", "v": "c_"}), F.col("node") == F.col("n_"), "left").select("node", F.coalesce("c_", "node").alias("component"))

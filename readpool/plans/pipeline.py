@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import logging
 import time
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +17,8 @@ from readpool.config import ClusterConfig, budgets, substring_sizes
 from readpool.functions.sequences import tiebreak
 from readpool.operators import blocking, metrics, verify
 from readpool.operators import representatives as reps_
-from readpool.operators.sketch import sketches, with_grams
-from readpool.plans.components import connected_components, written, written_with
+from readpool.operators.sketch import sketches
+from readpool.plans.components import connected_components, dropped, written, written_with
 
 log = logging.getLogger(__name__)
 
@@ -33,16 +33,16 @@ class State:
 
 @dataclass
 class Prepared:
-    """What all stages read: reads with grams, and sketches."""
+    """What all stages read."""
 
-    reads: DataFrame  # read_id, seq, grams
-    sketched: DataFrame  # read_id, sig
+    reads: DataFrame  # read_id, seq
+    sketched: DataFrame  # read_id, sig, n_bag, bits
     n: int
 
 
 def prepare(reads: DataFrame, config: ClusterConfig) -> Prepared:
-    reads = written(with_grams(reads.select("read_id", "seq"), config))
-    return Prepared(reads, written(sketches(reads.drop("grams"), config)), reads.count())
+    reads, seen = written_with(reads.select("read_id", "seq"), n=F.count(F.lit(1)))
+    return Prepared(reads, written(sketches(reads, config)), seen["n"])
 
 
 def chunk_turns(chunks: DataFrame, reads: DataFrame, anchors: list[tuple[str, ...]], length: int, first: int, config: ClusterConfig) -> DataFrame:
@@ -56,11 +56,11 @@ def chunk_turns(chunks: DataFrame, reads: DataFrame, anchors: list[tuple[str, ..
 def chunk_partition(prepared: Prepared, config: ClusterConfig) -> DataFrame:
     """(read_id, chunk_id): rounds go on until few merges come from them, first with two anchors, then with one longer.
 
-    `chunk_block` rounds are one job and draw from the same chunks; the rate of merges is that of the block, and each of its
-    rounds counts as poor if it is low. Poor rounds count from the last change of phase on, whether or not good ones lie
-    between. With blocks of one round this is the round-by-round rule.
+    Poor rounds count from the last change of phase on, whether or not good ones lie between; as many as a phase allows are only
+    counted, the next one ends it. With `chunk_block` above 1 that many rounds are one job and draw from the same chunks; the
+    rate of merges is that of the block, and each of its rounds counts as poor if it is low.
     """
-    reads, n = prepared.reads.select("read_id", "seq"), prepared.n
+    reads, n = prepared.reads, prepared.n
     chunks = written(reads.select("read_id", F.col("read_id").alias("chunk_id")))
     if not n:
         return chunks
@@ -70,15 +70,17 @@ def chunk_partition(prepared: Prepared, config: ClusterConfig) -> DataFrame:
         count = min(config.chunk_block, config.chunk_rounds - done)
         width, more = substring_sizes(length, n, phase)
         anchors = config.anchors(width, 2 if phase == 1 else 1, done + count, f"chunk:{phase}")[done:]
-        edges = chunk_turns(chunks, reads, anchors, width + more, done, config)
-        joined, seen = written_with(connected_components(edges).filter("node <> component"), n=F.count(F.lit(1)))
+        began = time.time()
+        edges, seen = written_with(chunk_turns(chunks, reads, anchors, width + more, done, config), n=F.count(F.lit(1)))
+        joined = edges
         if seen["n"]:
+            joined, seen = written_with(connected_components(edges).filter("node <> component"), n=F.count(F.lit(1)))
             chunks = written(chunks.join(joined, F.col("chunk_id") == F.col("node"), "left").select("read_id", F.coalesce("component", "chunk_id").alias("chunk_id")))
         done += count
-        log.info("chunks, round %d: %d merges", done, seen["n"])
+        log.info("chunks, round %d: %.1f s, %d merges, rate %.5f, %d anchors", done, time.time() - began, seen["n"], seen["n"] / n, len(anchors[0]))
         if seen["n"] / n / count < config.min_merge_rate:
             bad += count
-            if bad >= (config.bad_rounds_first if phase == 1 else config.bad_rounds_second):
+            if bad > (config.bad_rounds_first if phase == 1 else config.bad_rounds_second):
                 if phase == 2:
                     break
                 phase, bad = 2, 0
@@ -87,8 +89,12 @@ def chunk_partition(prepared: Prepared, config: ClusterConfig) -> DataFrame:
 
 def joined_state(state: State | None, prepared: Prepared, pairs: DataFrame, high: float, low: float, config: ClusterConfig) -> State:
     """The state after verifying candidate pairs (round, a, b) and joining the ends of accepted ones."""
-    checked = verify.verified(verify.counted(pairs), prepared.reads, high, low, config.edit_limit)
-    edges = written(checked.filter("accepted").select("a", "b", "mult"))
+    checked = verify.verified(verify.counted(pairs), prepared.sketched, prepared.reads, high, low, config.edit_limit)
+    return with_edges(state, prepared, written(checked.filter("accepted").select("a", "b", "mult")))
+
+
+def with_edges(state: State | None, prepared: Prepared, edges: DataFrame) -> State:
+    """The state after joining the ends of `edges` (a, b, mult), a table."""
     new = reps_.scores(edges)
     if state is None:
         return State(written(reps_.merged(prepared.reads, edges)), written(new))
@@ -108,40 +114,105 @@ def cluster_in_chunks(prepared: Prepared, chunks: DataFrame, config: ClusterConf
     return joined_state(None, prepared, chunk_candidates(prepared, chunks, config), config.chunk_high, config.chunk_low, config)
 
 
-def final_rounds(prepared: Prepared, state: State, config: ClusterConfig, rank: int, first: int, count: int) -> State:
-    """`count` rounds over single reads and representatives of one rank."""
-    focus = written(reps_.focus(state.clusters, reps_.representatives(state.clusters, state.scores, config.reps_per_cluster), rank))
-    rows = prepared.sketched.join(focus.select("read_id"), "read_id", "left_semi")
-    bands = config.bands(first + count, "final")[first:]
-    keyed = blocking.band_keys(rows, bands, config.code_bits, first)
-    pairs = blocking.adjacent_pairs(keyed, ["round", "key"], config.seed)
-    return joined_state(state, prepared, pairs, config.final_high, config.final_low, config)
+@dataclass
+class Schedule:
+    """Where the last stage stands: the next round, the rank of representatives, and rounds in a row that did little."""
+
+    config: ClusterConfig
+    round: int = 0
+    rank: int = -1
+    idle: int = 0  # rounds of a low rate since the last choice of representatives
+    bad: int = 0  # rounds that joined few single reads
+    rate: float = 0.0  # of the last round
+
+    def begin(self) -> bool:
+        """Whether representatives are chosen anew before the next round."""
+        c = self.config
+        self.idle = self.idle + 1 if self.rate <= c.low_work_rate else 0
+        change = self.round % c.rotation == 0 or self.idle >= c.patience
+        again = self.round % c.refresh == 0 and self.rate >= c.high_work_rate
+        if change:
+            self.rank = (self.rank + 1) % c.reps_per_cluster
+        if change or again:
+            self.idle = 0
+        return change or again
+
+    def end(self, singles: int, handled: int, work: int) -> None:
+        """After a round that found `singles` single reads and joined `handled` of them."""
+        self.rate = handled / singles if singles else 0.0
+        self.bad = self.bad + 1 if handled <= work else 0
+        self.round += 1
+
+
+def idle_ranks(schedule: Schedule, count: int, singles: int, work: int) -> list[int]:
+    """The rank in each of the next `count` rounds if they join nothing."""
+    ahead, ranks = replace(schedule), []
+    for _ in range(count):
+        ahead.begin()
+        ranks.append(ahead.rank)
+        ahead.end(singles, 0, work)
+    return ranks
+
+
+def final_edges(prepared: Prepared, state: State, config: ClusterConfig, ranks: list[int], first: int) -> DataFrame:
+    """(a, b, rounds, single_a, single_b): accepted pairs of the rounds from `first` on, which single reads and the
+    representatives of each round's rank take part in. A table."""
+    reps = reps_.representatives(state.clusters, state.scores, config.reps_per_cluster)
+    rows = None
+    for rank in sorted(set(ranks)):
+        part = reps_.focus(state.clusters, reps, rank).select("read_id", "cluster", F.lit(rank).alias("rank"))
+        rows = part if rows is None else rows.unionByName(part)
+    size = state.clusters.groupBy(F.col("cluster").alias("c_")).agg((F.count(F.lit(1)) == 1).alias("single"))
+    focus = written(rows.join(size, F.col("cluster") == F.col("c_")).groupBy("read_id").agg(F.collect_set("rank").alias("ranks"), F.first("single").alias("single")))
+    bands = config.bands(first + len(ranks), "final")[first:]
+    keyed = blocking.band_keys(prepared.sketched.select("read_id", "sig").join(focus, "read_id"), bands, config.code_bits, first)
+    of_round = F.element_at(F.array(*map(F.lit, ranks)), F.col("round") - first + 1)
+    keyed = keyed.filter(F.col("single") | F.array_contains("ranks", of_round))
+    pairs = blocking.adjacent_pairs(keyed.select("round", "key", "read_id"), ["round", "key"], config.seed)
+    pairs = pairs.groupBy("a", "b").agg(F.array_sort(F.collect_list("round")).alias("rounds"))
+    edges = verify.verified(pairs, prepared.sketched, prepared.reads, config.final_high, config.final_low, config.edit_limit).filter("accepted")
+    single = lambda c: focus.select(F.col("read_id").alias(c), F.col("single").alias(f"single_{c}"))
+    return edges.select("a", "b", "rounds").join(single("a"), "a").join(single("b"), "b")
 
 
 def final_clustering(prepared: Prepared, state: State, config: ClusterConfig) -> State:
-    """Blocks of rounds, each with the next rank of representatives.
+    """Rounds over single reads and one representative of each cluster, with the rules of `Schedule`; from min_final_rounds on
+    they end once no single read is left, or after enough rounds in a row that joined few.
 
-    The fixed schedule runs all rounds in blocks of `rotation`. The adaptive one takes blocks of `block` rounds, rotates after
-    a block with little work, only refreshes after one with much, and stops, from min_final_rounds on, once no single read
-    is left or as many rounds in a row did little.
+    A job runs the rounds that follow if nothing is joined, `ahead` at most. Where something is, the rounds count up to the end of
+    the representatives' turn in which it was, and what comes after is run anew; representatives are chosen anew there too.
     """
-    limits = budgets(prepared.n, config)
-    total, rank, first, bad = limits["rounds"], -1, 0, 0
+    limits, schedule, count = budgets(prepared.n, config), Schedule(config), config.patience
     singles = reps_.cluster_counts(state.clusters).first()["n_singles"]
-    rate = 0.0
-    while first < total:
-        count = min(config.block if config.adaptive else config.rotation, total - first)
-        if not config.adaptive or rate <= config.low_work_rate or first % config.rotation < count:
-            rank = (rank + 1) % config.reps_per_cluster
-        state = final_rounds(prepared, state, config, rank, first, count)
-        first += count
-        if config.adaptive:
-            left = reps_.cluster_counts(state.clusters).first()["n_singles"]
-            rate = (singles - left) / singles / count if singles else 0.0
-            bad = bad + count if singles - left <= limits["work"] * count else 0
-            singles = left
-            if first >= config.min_final_rounds and (not singles or bad >= limits["bad_rounds"]):
+    while schedule.round < limits["rounds"] and prepared.n:
+        began, first = time.time(), schedule.round
+        ranks = idle_ranks(schedule, min(count, limits["rounds"] - first), singles, limits["work"])
+        edges, seen = written_with(final_edges(prepared, state, config, ranks, first), n=F.count(F.lit(1)), first=F.min(F.col("rounds")[0]))
+        handled: dict[int, int] = {}
+        end = first + len(ranks)
+        if seen["n"]:
+            ends = edges.select(F.explode(F.array(F.struct("a", F.col("single_a").alias("single"), F.col("rounds")[0].alias("at")), F.struct(F.col("b").alias("a"), F.col("single_b").alias("single"), F.col("rounds")[0].alias("at")))).alias("e"))
+            joined = ends.select("e.*").filter("single").groupBy("a").agg(F.min("at").alias("at"))
+            handled = {r["at"]: r["n"] for r in joined.groupBy("at").agg(F.count(F.lit(1)).alias("n")).collect()}
+        while schedule.round < end:
+            left = singles - sum(n for at, n in handled.items() if at < schedule.round)
+            trial = replace(schedule)
+            anew = trial.begin()
+            # Rounds after something was joined are only good while the same representatives would have gone on.
+            if seen["n"] and schedule.round > seen["first"] and (anew or trial.rank != ranks[schedule.round - first]):
+                break
+            schedule = trial
+            schedule.end(left, handled.get(schedule.round, 0), limits["work"])
+            if schedule.round >= config.min_final_rounds and (not left or schedule.bad >= limits["bad_rounds"]):
+                limits["rounds"] = schedule.round
                 break
+        if seen["n"]:
+            used = edges.select("a", "b", F.size(F.filter("rounds", lambda r: r < schedule.round)).cast("bigint").alias("mult")).filter("mult > 0")
+            state = with_edges(state, prepared, written(used))
+            singles = reps_.cluster_counts(state.clusters).first()["n_singles"]
+        log.info("last stage, rounds %d to %d: %.1f s, rank %d, %d accepted pairs, %d single reads", first, schedule.round, time.time() - began, schedule.rank, seen["n"], singles)
+        count = config.patience if seen["n"] else min(2 * count, config.ahead)
+        dropped(edges)
     return state
 
 
@@ -151,16 +222,25 @@ class Result:
     scores: DataFrame
     chunks: DataFrame
     seconds: float
+    stages: dict[str, float] = field(default_factory=dict)  # seconds of each stage
 
 
 def run(reads: DataFrame, config: ClusterConfig | None = None) -> Result:
     """Clusters of `reads` (read_id, seq): (read_id, cluster), a cluster's id being its least member."""
-    config, began = config or ClusterConfig(), time.time()
-    prepared = prepare(reads, config)
-    chunks = chunk_partition(prepared, config)
-    state = cluster_in_chunks(prepared, chunks, config)
-    state = final_clustering(prepared, state, config)
-    return Result(state.clusters, state.scores, chunks, time.time() - began)
+    config, began, stages = config or ClusterConfig(), time.time(), {}
+
+    def timed(name: str, made):
+        start = time.time()
+        out = made()
+        stages[name] = time.time() - start
+        log.info("%s: %.1f s", name, stages[name])
+        return out
+
+    prepared = timed("prepare", lambda: prepare(reads, config))
+    chunks = timed("chunks", lambda: chunk_partition(prepared, config))
+    state = timed("clusters in chunks", lambda: cluster_in_chunks(prepared, chunks, config))
+    state = timed("final clusters", lambda: final_clustering(prepared, state, config))
+    return Result(state.clusters, state.scores, chunks, time.time() - began, stages)
 
 
 def report(result: Result, truth: DataFrame, names=metrics.DEFAULT_METRICS) -> str:

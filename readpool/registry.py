@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from readpool.config import ClusterConfig, budgets, substring_sizes
-from readpool.functions.sequences import dice, qgrams, substring_key, tiebreak, within_edits
+from readpool.functions.sequences import qgrams, substring_key, tiebreak, within_edits
 from readpool.operators import blocking, metrics, verify
 from readpool.operators import representatives as reps_
 from readpool.operators.sketch import sketches, with_grams
@@ -24,7 +24,6 @@ from readpool.sources.tables import document_reads, letters_of, table
 CONFIG = ClusterConfig()
 ANCHORS = CONFIG.anchors(4, 2, 4, "query")
 SUBSTRING = 12
-DIALOGUE_LETTERS = 60  # in the SQL only
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,13 +47,13 @@ def values(rows) -> str:
 
 
 def letters_sql(text: str) -> str:
-    return f"regexp_replace(translate(lower({text}), 'abcdefghijklmnopqrstuvwxyz', '{''.join('ACGT'[i % 4] for i in range(26))}'), '[^ACGT]', '', 'g')"
+    return f"translate(regexp_replace(lower({text}), '[^a-z]+', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', '{''.join('ACGT'[i % 4] for i in range(26))}')"
 
 
 CODE = " + ".join(f"(instr('ACGT', substring(seq, pos + {p + 1}, 1)) - 1) * {4**p}" for p in range(CONFIG.q))
 BITS = CONFIG.code_bits
 MASK = (1 << BITS) - 1
-READS = f"reads AS (SELECT * FROM (SELECT doc_id AS read_id, substring({letters_sql('text')}, 1, 120) AS seq FROM documents) WHERE length(seq) >= {CONFIG.q} AND read_id IS NOT NULL)"
+READS = f"reads AS (SELECT * FROM (SELECT doc_id AS read_id, {letters_sql('text')} AS seq FROM documents) WHERE length(seq) >= {CONFIG.q} AND read_id IS NOT NULL)"
 CODES = f"codes AS (SELECT read_id, CAST(pos AS INTEGER) AS pos, CAST({CODE} AS INTEGER) AS code FROM (SELECT read_id, seq, unnest(range(0, length(seq) - {CONFIG.q - 1})) AS pos FROM reads))"
 GRAMS = "grams AS (SELECT r.read_id, any_value(r.seq) AS seq, list(code ORDER BY pos) AS g FROM reads r JOIN codes USING (read_id) GROUP BY r.read_id)"
 SIGS = f"""perms(p, a, b, c) AS (VALUES {values((p, *x) for p, x in enumerate(CONFIG.permutations()))}),
@@ -77,8 +76,10 @@ DICE = "2.0 * len(list_distinct(list_intersect(x.g, y.g))) / (len(x.g) + len(y.g
 
 
 def verified_sql(high: float, low: float, source: str = "counted") -> str:
-    return f"""sims AS (SELECT c.*, {DICE} AS sd, levenshtein(x.seq, y.seq) AS ed FROM {source} c JOIN grams x ON x.read_id = c.a JOIN grams y ON y.read_id = c.b),
-verified AS (SELECT a, b, mult, sd, (sd >= {high} OR (sd >= {low} AND ed <= {CONFIG.edit_limit})) AS accepted FROM sims)"""
+    return f"""sims AS (SELECT c.*, {DICE} AS sd, x.seq AS sx, y.seq AS sy FROM {source} c JOIN grams x ON x.read_id = c.a JOIN grams y ON y.read_id = c.b),
+near AS (SELECT a, b FROM sims WHERE sd >= {low} AND sd < {high} AND abs(length(sx) - length(sy)) <= {CONFIG.edit_limit}),
+edits AS (SELECT n.a, n.b, levenshtein(x.seq, y.seq) AS ed FROM near n JOIN reads x ON x.read_id = n.a JOIN reads y ON y.read_id = n.b),
+verified AS (SELECT s.a, s.b, mult, sd, (sd >= {high} OR coalesce(ed, {CONFIG.edit_limit} + 1) <= {CONFIG.edit_limit}) AS accepted FROM sims s LEFT JOIN edits e ON e.a = s.a AND e.b = s.b)"""
 
 
 # Least node that each node reaches: labels spread until nothing changes.
@@ -99,14 +100,18 @@ def reads_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_reads(spark, sf_dir, q=CONFIG.q)
 
 
-def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keyed = blocking.band_keys(sketches(reads_of(spark, sf_dir), CONFIG), CONFIG.bands(), BITS)
+def paired(sketched: DataFrame) -> DataFrame:
+    keyed = blocking.band_keys(sketched.select("read_id", "sig"), CONFIG.bands(), BITS)
     return blocking.adjacent_pairs(keyed, ["round", "key"], CONFIG.seed)
 
 
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paired(sketches(reads_of(spark, sf_dir), CONFIG))
+
+
 def checked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grams = with_grams(reads_of(spark, sf_dir), CONFIG)
-    return verify.verified(verify.counted(candidates(spark, sf_dir)), grams, CONFIG.chunk_high, CONFIG.chunk_low, CONFIG.edit_limit)
+    p = pipeline.prepare(reads_of(spark, sf_dir), CONFIG)
+    return verify.verified(verify.counted(paired(p.sketched)), p.sketched, p.reads, CONFIG.chunk_high, CONFIG.chunk_low, CONFIG.edit_limit)
 
 
 def edges_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,18 +162,21 @@ def band_candidates(spark, sf_dir):
 
 @query(f"WITH {UPTO_PAIRS} SELECT a, b, round({DICE}, 9) AS sd FROM counted c JOIN grams x ON x.read_id = c.a JOIN grams y ON y.read_id = c.b")
 def dice_pairs(spark, sf_dir):
-    grams = with_grams(reads_of(spark, sf_dir), CONFIG).select("read_id", "grams")
-    pairs = verify.counted(candidates(spark, sf_dir))
-    both = pairs.join(grams.withColumnsRenamed({"read_id": "a", "grams": "ga"}), "a").join(grams.withColumnsRenamed({"read_id": "b", "grams": "gb"}), "b")
-    return both.select("a", "b", F.round(dice("ga", "gb"), 9).alias("sd"))
+    sketched = pipeline.prepare(reads_of(spark, sf_dir), CONFIG).sketched
+    return verify.compared(verify.counted(paired(sketched)), sketched).select("a", "b", F.round("sd", 9).alias("sd"))
 
 
-@query(f"WITH {UPTO_PAIRS} SELECT a, b, levenshtein(x.seq, y.seq) AS edits FROM counted c JOIN reads x ON x.read_id = c.a JOIN reads y ON y.read_id = c.b WHERE levenshtein(x.seq, y.seq) <= {CONFIG.edit_limit}")
+@query(
+    f"""WITH {UPTO_PAIRS}, alike AS (SELECT a, b, x.seq AS sx, y.seq AS sy FROM counted c JOIN reads x ON x.read_id = c.a JOIN reads y ON y.read_id = c.b WHERE abs(length(x.seq) - length(y.seq)) <= {CONFIG.edit_limit})
+SELECT a, b, edits FROM (SELECT a, b, CAST(0 AS BIGINT) AS edits FROM alike WHERE sx = sy UNION ALL SELECT a, b, levenshtein(sx, sy) AS edits FROM alike WHERE sx <> sy) WHERE edits <= {CONFIG.edit_limit}"""
+)
 def edit_distance_pairs(spark, sf_dir):
-    reads = reads_of(spark, sf_dir)
-    pairs = verify.counted(candidates(spark, sf_dir)).select("a", "b")
+    p = pipeline.prepare(reads_of(spark, sf_dir), CONFIG)
+    reads = p.reads
+    alike = F.abs(F.col("n_a") - F.col("n_b")) <= CONFIG.edit_limit
+    pairs = verify.compared(verify.counted(paired(p.sketched)), p.sketched).filter(alike).select("a", "b")
     both = pairs.join(reads.withColumnsRenamed({"read_id": "a", "seq": "sa"}), "a").join(reads.withColumnsRenamed({"read_id": "b", "seq": "sb"}), "b")
-    return both.filter(within_edits("sa", "sb", CONFIG.edit_limit)).select("a", "b", F.levenshtein("sa", "sb").cast("bigint").alias("edits"))
+    return both.filter(within_edits("sa", "sb", CONFIG.edit_limit)).select("a", "b", F.levenshtein("sa", "sb", CONFIG.edit_limit).cast("bigint").alias("edits"))
 
 
 @query(f"WITH {UPTO_VERIFIED} SELECT a, b, mult, round(sd, 9) AS sd, accepted FROM verified")
@@ -269,7 +277,7 @@ def cluster_counts(spark, sf_dir):
 # --- blocks ----------------------------------------------------------------------------------------------
 
 # Conversations as blocks: the first turn is the strand, the others are its copies.
-TURNS = f"""turns AS (SELECT conv_id, turn, substring({letters_sql('text')}, 1, {DIALOGUE_LETTERS}) AS seq, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS k FROM conversations),
+TURNS = f"""turns AS (SELECT conv_id, turn, {letters_sql('text')} AS seq, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS k FROM conversations),
 lines AS (SELECT conv_id, 3 * k AS line_no, seq AS value FROM turns UNION ALL SELECT conv_id, 4, '{blocks.SEPARATOR}' FROM turns WHERE k = 1)"""
 
 
@@ -333,10 +341,18 @@ def export_blocks(spark, sf_dir):
     return blocks.blocks(members, originals)
 
 
-@query(f"WITH {READS}, {LABELS}, wanted AS (SELECT seq FROM reads WHERE read_id % 10 = 0) SELECT w.seq, min(t.label) AS label FROM (SELECT DISTINCT seq FROM wanted) w JOIN reads r USING (seq) JOIN truth t USING (read_id) GROUP BY w.seq")
+@query(f"WITH {READS}, {LABELS} SELECT seq, coalesce(min(t.label), '{blocks.UNKNOWN}') AS strand_id FROM reads LEFT JOIN truth t USING (read_id) GROUP BY seq")
 def read_lookup(spark, sf_dir):
-    """The strand of a read by its text; of equal texts the least label."""
-    return reads_of(spark, sf_dir).join(labelings(spark, sf_dir)[1], "read_id").groupBy("seq").agg(F.min("label").alias("label"))
+    """The strand of every read by its text; of equal texts the least label."""
+    reads = reads_of(spark, sf_dir)
+    pool = reads.join(labelings(spark, sf_dir)[1].withColumnRenamed("label", "strand_id"), "read_id")
+    return blocks.lookup(reads.select("seq").distinct(), pool)
+
+
+@query(f"WITH {READS} SELECT CAST(row_number() OVER (ORDER BY seq, read_id) - 1 AS BIGINT) AS place, read_id FROM reads")
+def reads_by_text(spark, sf_dir):
+    """All reads in the order of their text."""
+    return blocks.in_order(reads_of(spark, sf_dir), ["seq", "read_id"], "place").select("place", "read_id")
 
 
 # --- metrics ---------------------------------------------------------------------------------------------
@@ -475,10 +491,10 @@ def full_run(spark, sf_dir):
 
 @query()
 def run_report(spark, sf_dir):
-    """The metrics that the report prints for a partition of documents, a line each."""
-    table_ = written(cells(spark, sf_dir))
-    lines = [(k, line) for k in metrics.REGISTRY for line in metrics.REGISTRY[k](table_).split("\n")]
-    return spark.createDataFrame(lines, "metric string, line string")
+    """The report of a run over all documents, against their labels, a line each; without the seconds, which differ by run."""
+    result = pipeline.run(reads_of(spark, sf_dir), CONFIG)
+    lines = pipeline.report(result, labelings(spark, sf_dir)[1], metrics.REGISTRY).split("\n")[1:]
+    return spark.createDataFrame(list(enumerate(lines)), "line int, text string")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,9 +12,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from readpool.functions.sequences import VALID
+from readpool.functions.sequences import VALID, tiebreak
+from readpool.plans.components import written
 
 SEPARATOR = "*" * 29
+UNKNOWN = "-1"  # the strand of a read that no pool holds
 
 
 @dataclass(frozen=True)
@@ -34,13 +36,38 @@ def lines_of(spark: SparkSession, path: str) -> DataFrame:
 
 
 def strict_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """(block, line_no, value) of files known to have exactly two blank lines after each block: one record a block, so a
-    large file splits over tasks."""
-    records = spark.read.text(path, lineSep="\n\n\n").select(F.concat(F.col("_metadata.file_path"), F.lit(":"), F.monotonically_increasing_id()).alias("block"), "value")
+    """(file, line_no, value) of files known to have exactly two blank lines after each block: one record a block, so a large
+    file splits over tasks. `file` is a file's path and the place of a block in it, in the order of the file."""
+    place = F.format_string("%020d", F.col("_metadata.file_block_start"))
+    # Records of one split come in order, and splits of a file by where they start.
+    nth = F.format_string("%020d", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    records = spark.read.text(path, lineSep="\n\n\n").select(F.concat_ws(":", F.col("_metadata.file_path"), place, nth).alias("block"), "value")
     lines = records.select("block", F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
     return lines.select(F.col("block").alias("file"), F.col("line_no").cast("bigint").alias("line_no"), F.trim("value").alias("value")).filter(F.length("value") > 0)
 
 
+def in_order(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """`rows` with `name`, their place from 0 on in the order of `by`.
+
+    Rows are sorted by range partitions, and each partition begins where the counts of those before it end; only these counts,
+    one a partition, meet in one task. The sorted rows are a table, so that partitions stay what they were when counted.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = rows.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("task__", F.spark_partition_id()).withColumn("nth__", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    sorted_ = written(sorted_)
+    sizes = sorted_.groupBy(F.col("task__").alias("t__")).agg(F.count(F.lit(1)).alias("n__"))
+    before = F.coalesce(F.sum("n__").over(Window.orderBy("t__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(sizes.select("t__", before.alias("start__")))  # a row for each partition
+    return sorted_.join(starts, F.col("task__") == F.col("t__")).withColumn(name, F.col("start__") + F.col("nth__")).drop("task__", "nth__", "t__", "start__")
+
+
+def lookup(wanted: DataFrame, pool: DataFrame) -> DataFrame:
+    """(seq, strand_id string): the strand of each read of `wanted` (seq) by its text, UNKNOWN for a text that is not in `pool` (seq,
+    strand_id); of several the least."""
+    known = pool.groupBy(F.col("seq").alias("seq_")).agg(F.min("strand_id").cast("string").alias("strand_id"))
+    return wanted.join(known, F.col("seq") == F.col("seq_"), "left").select("seq", F.coalesce("strand_id", F.lit(UNKNOWN)).alias("strand_id"))
+
+
 def parse(lines: DataFrame, q: int = 6) -> Pool:
     """The pool in `lines` (file, line_no, value). Ids are consecutive in the order of file and line."""
     in_file = Window.partitionBy("file").orderBy("line_no")
@@ -51,13 +78,11 @@ def parse(lines: DataFrame, q: int = 6) -> Pool:
     opens = F.col("sep") & F.lag("header", 1, False).over(in_file)
     marked = marked.withColumn("opens", opens).withColumn("block", F.sum(F.col("opens").cast("int")).over(in_file.rowsBetween(Window.unboundedPreceding, 0)))
     headers = marked.filter("header").select("file", F.col("line_no").alias("at"), F.col("value").alias("strand"), (F.col("block") + 1).alias("block"))
-    numbered = headers.withColumn("cluster_id", F.row_number().over(Window.orderBy("file", "at")).cast("bigint") - 1)
+    numbered = in_order(headers, ["file", "at"], "cluster_id")
     body = marked.filter("NOT sep AND NOT header AND block > 0").join(numbered.select("file", "block", "cluster_id"), ["file", "block"])
     reason = read_fault(F.col("value"), q)
     good = body.filter(reason.isNull())
-    reads = good.select(
-        (F.row_number().over(Window.orderBy("file", "line_no")).cast("bigint") - 1).alias("read_id"), "cluster_id", "line_no", F.col("value").alias("seq")
-    )
+    reads = in_order(good, ["file", "line_no"], "read_id").select("read_id", "cluster_id", "line_no", F.col("value").alias("seq"))
     bad = body.filter(reason.isNotNull()).select("file", "line_no", "value", reason.alias("reason"))
     stray = marked.filter("sep AND NOT opens").select("file", "line_no", "value", F.lit("separator without a strand").alias("reason"))
     return Pool(numbered.select("cluster_id", "strand"), reads, bad.unionByName(stray))
@@ -74,10 +99,8 @@ def read_pool(spark: SparkSession, path: str, q: int = 6, strict: bool = False)
 
 def shuffled_ids(reads: DataFrame, seed: int) -> DataFrame:
     """`reads` with read_id replaced by its place in a seeded pseudo-random order, so that ids say nothing of clusters."""
-    from readpool.functions.sequences import tiebreak
-
-    by = Window.orderBy(tiebreak(seed, "read_id"), "read_id")
-    return reads.withColumn("read_id", F.row_number().over(by).cast("bigint") - 1)
+    marked = reads.withColumn("mark__", tiebreak(seed, "read_id"))
+    return in_order(marked, ["mark__", "read_id"], "place__").withColumn("read_id", F.col("place__")).drop("mark__", "place__")
 
 
 def majority_strand(members: DataFrame) -> DataFrame:

@@ -11,9 +11,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def letters_of(text: Column) -> Column:
-    """A text as a sequence: letters map to ACGT by place in the alphabet, all else is dropped."""
+    """A text as a sequence: letters map to ACGT by place in the alphabet, all else is dropped (first, in whole stretches)."""
     alphabet = "abcdefghijklmnopqrstuvwxyz"
-    return F.regexp_replace(F.translate(F.lower(text), alphabet, "".join("ACGT"[i % 4] for i in range(26))), "[^ACGT]", "")
+    return F.translate(F.regexp_replace(F.lower(text), "[^a-z]+", ""), alphabet, "".join("ACGT"[i % 4] for i in range(26)))
 
 
 def document_reads(spark: SparkSession, sf_dir: str, q: int = 6) -> DataFrame:

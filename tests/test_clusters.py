@@ -110,19 +110,45 @@ def test_run_recovers_noisy_strands(spark):
     assert result.clusters.count() == len(reads)
     assert metrics.ari(cells).first()[0] > 0.9
     text = pipeline.report(result, df.select("read_id", "label"))
-    assert text.startswith("Total time: ") and "Metric NMI:" in text
+    assert text.startswith("seconds: ") and "\nnmi:\n" in text and set(result.stages) == {"prepare", "chunks", "clusters in chunks", "final clusters"}
     again = pipeline.run(df.select("read_id", "seq"), config)
     assert sorted(again.clusters.collect()) == sorted(result.clusters.collect())
 
 
-def test_last_stage_runs_all_rounds(spark, tmp_path, monkeypatch):
-    from readpool import registry
-
-    spark.createDataFrame([(i, f"letters of read number {i} " * 3) for i in range(4)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+def test_rounds_without_work_change_the_rank(spark):
+    """Rank by rank: after 20 rounds at the latest, or after 8 that did little."""
+    config = ClusterConfig()
+    ranks = pipeline.idle_ranks(pipeline.Schedule(config), 45, 10, 1)
+    assert ranks == [0] * 8 + [1] * 8 + [2] * 4 + [3] * 8 + [4] * 8 + [0] * 4 + [1] * 5
+    busy = pipeline.Schedule(config)
+    chosen = []
+    for i in range(25):
+        if busy.begin():
+            chosen.append((i, busy.rank))
+        busy.end(100, 4, 1)  # much work: chosen anew each 5 rounds, of the same rank
+    assert chosen == [(0, 0), (5, 0), (10, 0), (15, 0), (20, 1)] and busy.bad == 0
+
+
+def test_last_stage_runs_all_rounds(spark, monkeypatch):
+    reads = spark.createDataFrame([(i, "ACGTTGCA" * (i + 1)) for i in range(4)], "read_id bigint, seq string")
+    config = ClusterConfig()
+    prepared = pipeline.prepare(reads, config)
+    state = pipeline.State(reads.selectExpr("read_id", "read_id AS cluster"), spark.createDataFrame([], "read_id bigint, score bigint"))
     seen = []
-    monkeypatch.setattr(pipeline, "final_rounds", lambda prepared, state, config, rank, first, count: seen.append((first, count, rank)) or state)
-    registry.stage3_clusters(spark, str(tmp_path))
-    assert sum(count for _, count, _ in seen) == 300 and [rank for *_, rank in seen] == [0, 1, 2, 3, 4] * 3
+    none = spark.createDataFrame([], "a bigint, b bigint, rounds array<int>, single_a boolean, single_b boolean")
+    monkeypatch.setattr(pipeline, "final_edges", lambda prepared, state, config, ranks, first: seen.append((first, ranks)) or none)
+    pipeline.final_clustering(prepared, state, config)
+    assert sum(len(ranks) for _, ranks in seen) == 300
+    assert [x for _, ranks in seen for x in ranks] == pipeline.idle_ranks(pipeline.Schedule(config), 300, 4, 1)
+
+
+def test_last_stage_stops_without_single_reads(spark):
+    reads = spark.createDataFrame([(i, "ACGTTGCAGGATTACA" * 3) for i in range(4)], "read_id bigint, seq string")
+    config = ClusterConfig(min_final_rounds=12)
+    prepared = pipeline.prepare(reads, config)
+    alone = pipeline.State(reads.selectExpr("read_id", "read_id AS cluster"), spark.createDataFrame([], "read_id bigint, score bigint"))
+    out = pipeline.final_clustering(prepared, alone, config)
+    assert {r["cluster"] for r in out.clusters.collect()} == {0} and out.scores.count() == 4
 
 
 def test_run_of_nothing(spark):

