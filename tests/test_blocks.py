@@ -52,6 +52,24 @@ def test_equal_strands_and_reads_stay_apart(spark, tmp_path):
     assert pool.originals.count() == 2 and pool.reads.count() == 3
 
 
+def test_strict_files_split_and_keep_their_order(spark, tmp_path):
+    """Blocks with two blank lines after each, in a file of many splits: ids follow the file."""
+    text = "".join(f"{'ACGT'[i % 4] * 8}ACGT\n{blocks.SEPARATOR}\n" + "".join(f"{'ACGT'[i % 4] * 8}{'ACGT'[k] * 4}\n" for k in range(i % 4)) + "\n\n" for i in range(60))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        whole, split = pool_of(spark, tmp_path, text), pool_of(spark, tmp_path, text, strict=True)
+        assert rows(split.originals) == rows(whole.originals) and split.rejects.count() == 0
+        assert rows(split.reads.select("read_id", "cluster_id", "seq")) == rows(whole.reads.select("read_id", "cluster_id", "seq"))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_lookup_of_known_and_unknown_reads(spark):
+    pool = spark.createDataFrame([("ACGTAC", 4), ("ACGTAC", 2), ("GGGTAC", 3)], "seq string, strand_id bigint")
+    wanted = spark.createDataFrame([("ACGTAC",), ("TTTTTT",)], "seq string")
+    assert rows(blocks.lookup(wanted, pool)) == [("ACGTAC", "2"), ("TTTTTT", blocks.UNKNOWN)]
+
+
 def test_round_trip(spark, tmp_path):
     pool = pool_of(spark, tmp_path, SAMPLE)
     members = pool.reads.selectExpr("cluster_id AS cluster", "read_id", "cluster_id AS strand_id", "seq")
