@@ -103,9 +103,11 @@ def mixed(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source"
     quotas = common.stored(sources.groupBy().applyInPandas(apportion, kind))
 
     shards = F.least(F.greatest(F.ceil(F.col("n_docs") / shard_docs), F.lit(1)), F.lit(MAX_SHARDS))
-    key = F.xxhash64(F.lit(seed), F.col("id"))
+    digest = lambda n, *of: F.md5(F.concat_ws(":", F.lit(str(seed + n)), *(F.col(c).cast("string") for c in of)))
+    number = lambda x: F.conv(F.substring(x, 1, 15), 16, 10).cast("long")
+    key = digest(0, "id")
     in_shards = sized.join(quotas.select(F.col("source").alias("s"), "source_size", "target", "blocks", shards.alias("n_shards")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    in_shards = in_shards.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("id")), F.col("n_shards")).cast("int"))
+    in_shards = in_shards.withColumn("shard", (number(digest(1, "id")) % F.col("n_shards")).cast("int"))
 
     def to_shards(pdf: pd.DataFrame) -> pd.DataFrame:
         """Blocks for shards: all rows are shards of one source."""
@@ -122,7 +124,7 @@ def mixed(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source"
     n = F.greatest(F.col("words"), F.lit(1))
     a = F.coalesce(F.sum("size").over(laid), F.lit(0))
     # The run starts at a block of the shard and covers `over` words, going round the end.
-    start = F.pmod(F.xxhash64(F.lit(seed + 2), F.col("source"), F.col("shard")), F.greatest(F.floor(F.col("words") / block), F.lit(1))) * block
+    start = (number(digest(2, "source", "shard")) % F.greatest(F.floor(F.col("words") / block), F.lit(1))) * block
     over = F.col("quota") % n
     lap = lambda x, y: F.greatest(F.lit(0), F.least(F.col("a") + F.col("size"), y) - F.greatest(F.col("a"), x))
     rows = rows.withColumn("a", a).withColumn("start", start).withColumn("over", over)
