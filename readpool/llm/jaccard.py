@@ -507,7 +507,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = jaccard_components(common.table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_shingles", "component_id", "n_links_found")
+    return out.select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

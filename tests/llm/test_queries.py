@@ -17,7 +17,7 @@ COLUMNS = {
     "op6_toxicity": "doc_id held_out score predicted n_clauses n_hits",
     "op7_sentencepiece": "doc_id n_tokens token_ids decoded_sha256 round_trip",
     "op8_mixing": "doc_id size source_size target taken",
-    "op9_jaccard_join": "doc_id n_shingles component_id n_links_found",
+    "op9_jaccard_join": "doc_id n_shingles component_id",
     "op10_topk_search": "query_id rank vec_id score",
 }
 FOLDS = {"op3_language_id": (3, 1), "op6_toxicity": (4, 2)}
