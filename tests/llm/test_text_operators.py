@@ -3,6 +3,7 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -304,6 +305,19 @@ def test_large_groups_are_cut_again():
         assert [x.tolist() for x in suffixdedup.group_windows(pieces, 64, anchor, 500)] == whole
 
 
+def test_a_large_group_takes_little_memory():
+    """Pieces around one common passage, whose number grows with the input."""
+    draw, passage = random.Random(5), bytes(random.Random(4).choices(range(97, 123), k=160))
+    pieces = [bytes(draw.choices(range(97, 123), k=600)) + passage + bytes(draw.choices(range(97, 123), k=600)) for _ in range(4000)]
+    pieces[7] = pieces[3][:900] + pieces[7][900:]
+    tracemalloc.start()
+    found = suffixdedup.group_windows(pieces, suffixdedup.LENGTH, suffixdedup.ANCHOR, 1_000_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(i, int(x.sum())) for i, x in enumerate(found) if x.any()] == [(3, 701), (7, 701)]
+    assert peak < 40 * sum(map(len, pieces))
+
+
 def test_suffix_dedup_of_nothing(spark):
     assert suffixdedup.deduped(cases.frame(spark, [])).count() == 0
     assert suffixdedup.deduped(cases.frame(spark, [(1, None, None, None, None)])).first()["n_bytes"] == 0
