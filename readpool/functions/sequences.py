@@ -85,11 +85,11 @@ def substring_key(seq: Column | str, anchors: list[str], length: int) -> Column:
     return F.array_sort(F.array(*(anchored(seq, F.lit(a), length) for a in anchors)))
 
 
-def band_key(sig: Column | str, positions: tuple[int, ...], bits: int) -> Column:
+def band_key(sig: Column | str, positions: tuple[int | Column, ...], bits: int) -> Column:
     """The sketch values at `positions` as digits of one number, the first lowest."""
     key = F.lit(0).cast("bigint")
     for j, i in enumerate(positions):
-        key = key + F.shiftleft(F.get(col(sig), F.lit(i)).cast("bigint"), bits * j)
+        key = key + F.shiftleft(F.get(col(sig), F.lit(i) if isinstance(i, int) else i).cast("bigint"), bits * j)
     return key
 
 

@@ -15,16 +15,20 @@ def band_keys(sketched: DataFrame, rounds: list[tuple[int, ...]], bits: int, fir
     return sketched.select(*rest, F.explode(keys).alias("b")).select(*rest, "b.round", "b.key")
 
 
-def adjacent_pairs(keyed: DataFrame, within: list[str], seed: int) -> DataFrame:
-    """(round, a, b) with a < b: rows next to each other among those that are equal in `within`.
+def adjacent_pairs(keyed: DataFrame, within: list[str], seed: int, flag: str | None = None) -> DataFrame:
+    """(round, a, b) with a < b: rows next to each other among those that are equal in `within`. With `flag`, a column of
+    the rows, also that of either as (flag)_a and (flag)_b.
 
     This makes at most one pair for each row, however large a bucket is. The order inside a bucket is pseudo-random and
     differs by round.
     """
     mark = tiebreak(seed, F.concat_ws(":", F.col("round"), F.col("read_id")))
-    before = F.lag("read_id").over(Window.partitionBy(*within).orderBy(mark, "read_id"))
-    pairs = keyed.select("round", "read_id", before.alias("other")).filter("other IS NOT NULL AND other <> read_id")
-    return pairs.select("round", F.least("read_id", "other").alias("a"), F.greatest("read_id", "other").alias("b"))
+    order, flags = Window.partitionBy(*within).orderBy(mark, "read_id"), [flag] * bool(flag)
+    pairs = keyed.select("round", "read_id", F.lag("read_id").over(order).alias("other"), *flags, *(F.lag(f).over(order).alias("other_flag") for f in flags))
+    pairs = pairs.filter("other IS NOT NULL AND other <> read_id")
+    lower = F.col("read_id") < F.col("other")
+    both = [x for f in flags for x in (F.when(lower, F.col(f)).otherwise(F.col("other_flag")).alias(f"{f}_a"), F.when(lower, F.col("other_flag")).otherwise(F.col(f)).alias(f"{f}_b"))]
+    return pairs.select("round", F.least("read_id", "other").alias("a"), F.greatest("read_id", "other").alias("b"), *both)
 
 
 def substring_edges(rows: DataFrame, anchors: list[tuple[str, ...]], length: int) -> DataFrame:

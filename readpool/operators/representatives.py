@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from readpool.plans.components import connected_components, written_with
+from readpool.plans.components import connected_components
 
 
 def scores(accepted_pairs: DataFrame) -> DataFrame:
@@ -24,10 +24,7 @@ def merged(reads: DataFrame, edges: DataFrame, current: DataFrame | None = None)
         return reads.select("read_id").join(found, F.col("read_id") == F.col("n"), "left").select("read_id", F.coalesce("component", "read_id").alias("cluster"))
     of = current.select(F.col("read_id").alias("r"), "cluster")
     lifted = edges.join(of, F.col("a") == F.col("r")).select(F.col("cluster").alias("ca"), "b").join(of, F.col("b") == F.col("r")).select(F.col("ca").alias("a"), F.col("cluster").alias("b"))
-    lifted, seen = written_with(lifted.filter("a <> b").distinct(), n=F.count(F.lit(1)))
-    if not seen["n"]:
-        return current
-    found = connected_components(lifted).select(F.col("node").alias("n"), "component")
+    found = connected_components(lifted.filter("a <> b")).select(F.col("node").alias("n"), "component")
     return current.join(found, F.col("cluster") == F.col("n"), "left").select("read_id", F.coalesce("component", "cluster").alias("cluster"))
 
 
@@ -47,6 +44,15 @@ def focus(clusters: DataFrame, reps: DataFrame, rank: int) -> DataFrame:
     return singles.unionByName(larger.select("read_id", "cluster"))
 
 
+def ranked(clusters: DataFrame, scored: DataFrame) -> DataFrame:
+    """(read_id, rank, single): every read with its rank in its cluster from 0 on, as `representatives` have it, and whether it is
+    alone. `focus` of a rank is the reads of this rank and all single ones."""
+    points = scored.select(F.col("read_id").alias("r"), F.coalesce("score", F.lit(0)).alias("score"))
+    rows = clusters.join(points, F.col("read_id") == F.col("r"), "left").select("cluster", "read_id", F.coalesce("score", F.lit(0)).alias("score"))
+    own = Window.partitionBy("cluster")
+    return rows.select("read_id", (F.row_number().over(own.orderBy(F.col("score").desc(), "read_id")) - 1).alias("rank"), (F.count(F.lit(1)).over(own) == 1).alias("single"))
+
+
 def sampled(rows: DataFrame, by: list[str], most: int, mark: Column) -> DataFrame:
     """At most `most` rows for each value of `by`, the first in the order of `mark`: all of them in small groups."""
     rk = F.row_number().over(Window.partitionBy(*by).orderBy(mark, "read_id"))

@@ -20,12 +20,14 @@ def sketches(reads: DataFrame, config: ClusterConfig) -> DataFrame:
     """(read_id, sig array<int>, n_bag int, bits array<bigint>): for each of m permutations the least permuted gram code; the
     number of grams; and the set of their codes, 64 to a number, which is far smaller than the grams themselves.
 
-    Codes are exploded once. All minima and the words of the set are aggregates, in generated code, by read and word first.
+    Codes are exploded once, and each only once a read, as repeats change no minimum and no set; the first one brings the number of
+    all. All minima and the words of the set are aggregates, in generated code, by read and word first.
     """
     # explode() would have the optimiser test the grams before, and so make them several times.
-    codes = with_grams(reads, config).select("read_id", F.explode_outer("grams").alias("code")).filter("code IS NOT NULL")
+    grams = with_grams(reads, config).select("read_id", (F.length("seq") - (config.q - 1)).alias("n"), "grams")
+    codes = grams.select("read_id", "n", F.posexplode_outer(F.array_distinct("grams")).alias("pos", "code")).filter("code IS NOT NULL")
     least = [F.min(permuted(F.col("code"), c, config.code_bits)).alias(f"v{p}") for p, c in enumerate(config.permutations())]
-    word = codes.groupBy("read_id", F.shiftright("code", 6).alias("w")).agg(*least, F.count(F.lit(1)).alias("n"), F.expr("bit_or(shiftleft(1L, code & 63))").alias("word"))
+    word = codes.groupBy("read_id", F.shiftright("code", 6).alias("w")).agg(*least, F.sum(F.when(F.col("pos") == 0, F.col("n")).otherwise(0)).alias("n"), F.expr("bit_or(shiftleft(1L, code & 63))").alias("word"))
     wide = word.groupBy("read_id").agg(*(F.min(f"v{p}").alias(f"v{p}") for p in range(config.m)), F.sum("n").cast("int").alias("n_bag"), F.map_from_entries(F.collect_list(F.struct("w", "word"))).alias("words"))
     last = max(1, 1 << max(0, config.code_bits - 6)) - 1
     bits = F.transform(F.sequence(F.lit(0), F.lit(last)), lambda i: F.coalesce(F.try_element_at("words", i), F.lit(0).cast("bigint")))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from readpool.functions.sequences import dice_of_sets, within_edits
 from readpool.plans.components import written_with
 
+FEW = 50_000  # pairs whose ids are broadcast: 1 MB
+
 
 def counted(pairs: DataFrame) -> DataFrame:
     """(a, b, mult): each distinct pair once, with the number of rounds that met it."""
@@ -29,6 +31,9 @@ def verified(pairs: DataFrame, sketched: DataFrame, reads: DataFrame, high: floa
     sure = both.select("*", (F.col("sd") >= high).alias("accepted"))
     if not seen["n"]:
         return sure.drop("n_a", "n_b", "open")
+    if seen["n"] <= FEW:  # then only their reads move
+        ids = both.filter("open").select(F.explode(F.array("a", "b")).alias("read_id")).distinct()
+        reads = reads.join(F.broadcast(ids), "read_id", "left_semi")
     seqs = lambda c: reads.select(F.col("read_id").alias(c), F.col("seq").alias(f"seq_{c}"))
     near = both.filter("open").join(seqs("a"), "a").join(seqs("b"), "b").withColumn("accepted", within_edits("seq_a", "seq_b", limit)).drop("seq_a", "seq_b")
     return sure.filter("NOT open").unionByName(near.select(*sure.columns)).drop("n_a", "n_b", "open")

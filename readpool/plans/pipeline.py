@@ -10,15 +10,19 @@ import logging
 import time
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from readpool.config import ClusterConfig, budgets, substring_sizes
-from readpool.functions.sequences import tiebreak
+from readpool.functions.sequences import band_key, tiebreak
 from readpool.operators import blocking, metrics, verify
 from readpool.operators import representatives as reps_
 from readpool.operators.sketch import sketches
-from readpool.plans.components import connected_components, dropped, written, written_with
+from readpool.plans.components import HERE, connected_components, dropped, least_reached, whole_numbers, written, written_with
 
 log = logging.getLogger(__name__)
 
@@ -30,6 +34,89 @@ class State:
     clusters: DataFrame
     scores: DataFrame
 
+    def ranked(self, most: int) -> DataFrame:
+        """(read_id, rank, single): single reads, and the first `most` of each cluster, by rank from 0 on."""
+        return reps_.ranked(self.clusters, self.scores).filter(F.col("single") | (F.col("rank") < most))
+
+    def singles(self) -> int:
+        return reps_.cluster_counts(self.clusters).first()["n_singles"]
+
+
+class Held(State):
+    """The same of HERE reads at most, held by the driver (6 MB), as a few thousand rows cost a job only overhead."""
+
+    def __init__(self, spark: SparkSession, ids: np.ndarray, cluster: np.ndarray, score: np.ndarray):
+        self.spark, self.ids, self.cluster, self.score = spark, ids, cluster, score  # by id; score 0: none
+
+    @staticmethod
+    def of(state: State, n: int) -> State:
+        """`state` held, unless there are more reads, or ids that repeat or are no whole numbers."""
+        if n > HERE or not isinstance(state.clusters.schema["read_id"].dataType, LongType):
+            return state
+        rows, points = state.clusters.select("read_id", "cluster").toArrow(), state.scores.select("read_id", "score").toArrow()
+        ids, cluster = rows.column("read_id").to_numpy(), rows.column("cluster").to_numpy()
+        order = np.argsort(ids)
+        ids, cluster = ids[order], cluster[order]
+        if rows.column("read_id").null_count or (ids[1:] == ids[:-1]).any():
+            return state
+        held = Held(state.clusters.sparkSession, ids, cluster, np.zeros(len(ids), np.int64))
+        held.score[np.searchsorted(ids, points.column("read_id").to_numpy())] = points.column("score").to_numpy()
+        return held
+
+    @property
+    def clusters(self) -> DataFrame:
+        return whole_numbers(self.spark, read_id=self.ids, cluster=self.cluster)
+
+    @property
+    def scores(self) -> DataFrame:
+        some = self.score > 0
+        return whole_numbers(self.spark, read_id=self.ids[some], score=self.score[some])
+
+    def ranked(self, most: int) -> DataFrame:
+        order = np.lexsort((self.ids, -self.score, self.cluster))
+        start = np.flatnonzero(np.append(True, np.diff(self.cluster[order]) != 0))
+        size = np.diff(np.append(start, len(order)))
+        rank, single = np.arange(len(order)) - np.repeat(start, size), np.repeat(size == 1, size)
+        on = single | (rank < most)
+        rows = whole_numbers(self.spark, read_id=self.ids[order][on], rank=rank[on], single=single[on].astype(np.int64))
+        return rows.select("read_id", "rank", (F.col("single") == 1).alias("single"))
+
+    def singles(self) -> int:
+        return int((np.unique(self.cluster, return_counts=True)[1] == 1).sum())
+
+    def joined(self, edges: pa.Table, before: int) -> Held:
+        """The state after joining the ends of `edges` (a, b, rounds) that were met before round `before`."""
+        mult = np.bincount(np.repeat(np.arange(edges.num_rows), lengths(edges)), rounds_of(edges) < before, edges.num_rows).astype(np.int64)
+        used, score, cluster = mult > 0, self.score.copy(), self.cluster.copy()
+        ends = [np.searchsorted(self.ids, edges.column(c).to_numpy()[used]) for c in ("a", "b")]
+        for x in ends:
+            np.add.at(score, x, mult[used])
+        nodes, least = least_reached(*(self.cluster[x] for x in ends))
+        if len(nodes):
+            at = np.minimum(np.searchsorted(nodes, cluster), len(nodes) - 1)
+            cluster = np.where(nodes[at] == cluster, least[at], cluster)
+        return Held(self.spark, self.ids, cluster, score)
+
+
+def rounds_of(edges: pa.Table) -> np.ndarray:
+    return edges.column("rounds").combine_chunks().flatten().to_numpy()
+
+
+def lengths(edges: pa.Table) -> np.ndarray:
+    return pc.list_value_length(edges.column("rounds")).to_numpy()
+
+
+def handled_by_round(edges: pa.Table) -> dict[int, int]:
+    """The number of single reads that are first joined in each round."""
+    n = lengths(edges)
+    first = rounds_of(edges)[np.cumsum(n) - n]
+    ends = [(edges.column(c).to_numpy()[on], first[on]) for c in "ab" for on in [edges.column(f"single_{c}").to_numpy()]]
+    ids, at = (np.concatenate(x) for x in zip(*ends, strict=True))
+    order = np.lexsort((at, ids))
+    ids, at = ids[order], at[order]
+    at, n = np.unique(at[np.append(True, ids[1:] != ids[:-1])[: len(ids)]], return_counts=True)
+    return dict(zip(at.tolist(), n.tolist(), strict=True))
+
 
 @dataclass
 class Prepared:
@@ -157,22 +244,18 @@ def idle_ranks(schedule: Schedule, count: int, singles: int, work: int) -> list[
 def final_edges(prepared: Prepared, state: State, config: ClusterConfig, ranks: list[int], first: int) -> DataFrame:
     """(a, b, rounds, single_a, single_b): accepted pairs of the rounds from `first` on, which single reads and the
     representatives of each round's rank take part in. A table."""
-    reps = reps_.representatives(state.clusters, state.scores, config.reps_per_cluster)
-    rows = None
-    for rank in sorted(set(ranks)):
-        part = reps_.focus(state.clusters, reps, rank).select("read_id", "cluster", F.lit(rank).alias("rank"))
-        rows = part if rows is None else rows.unionByName(part)
-    size = state.clusters.groupBy(F.col("cluster").alias("c_")).agg((F.count(F.lit(1)) == 1).alias("single"))
-    focus = written(rows.join(size, F.col("cluster") == F.col("c_")).groupBy("read_id").agg(F.collect_set("rank").alias("ranks"), F.first("single").alias("single")))
+    focus = state.ranked(config.reps_per_cluster)
+    # Rounds are rows, not code, so that Spark compiles the job once and not anew for each stretch of rounds.
     bands = config.bands(first + len(ranks), "final")[first:]
-    keyed = blocking.band_keys(prepared.sketched.select("read_id", "sig").join(focus, "read_id"), bands, config.code_bits, first)
-    of_round = F.element_at(F.array(*map(F.lit, ranks)), F.col("round") - first + 1)
-    keyed = keyed.filter(F.col("single") | F.array_contains("ranks", of_round))
-    pairs = blocking.adjacent_pairs(keyed.select("round", "key", "read_id"), ["round", "key"], config.seed)
-    pairs = pairs.groupBy("a", "b").agg(F.array_sort(F.collect_list("round")).alias("rounds"))
+    rounds = prepared.reads.sparkSession.createDataFrame([(first + i, rank, list(p)) for i, (rank, p) in enumerate(zip(ranks, bands, strict=True))], "round int, of int, places array<int>")
+    focus = focus.join(F.broadcast(rounds), F.col("single") | (F.col("rank") == F.col("of")))
+    key = band_key("sig", tuple(F.col("places")[j] for j in range(config.k)), config.code_bits).alias("key")
+    keyed = prepared.sketched.select("read_id", "sig").join(focus, "read_id").select("round", key, "read_id", "single")
+    pairs = blocking.adjacent_pairs(keyed, ["round", "key"], config.seed, "single")
+    flags = [F.first(c).alias(c) for c in ("single_a", "single_b")]
+    pairs = pairs.groupBy("a", "b").agg(F.array_sort(F.collect_list("round")).alias("rounds"), *flags)
     edges = verify.verified(pairs, prepared.sketched, prepared.reads, config.final_high, config.final_low, config.edit_limit).filter("accepted")
-    single = lambda c: focus.select(F.col("read_id").alias(c), F.col("single").alias(f"single_{c}"))
-    return edges.select("a", "b", "rounds").join(single("a"), "a").join(single("b"), "b")
+    return edges.select("a", "b", "rounds", "single_a", "single_b")
 
 
 def final_clustering(prepared: Prepared, state: State, config: ClusterConfig) -> State:
@@ -183,14 +266,18 @@ def final_clustering(prepared: Prepared, state: State, config: ClusterConfig) ->
     the representatives' turn in which it was, and what comes after is run anew; representatives are chosen anew there too.
     """
     limits, schedule, count = budgets(prepared.n, config), Schedule(config), config.patience
-    singles = reps_.cluster_counts(state.clusters).first()["n_singles"]
+    state = Held.of(state, prepared.n)
+    singles = state.singles()
     while schedule.round < limits["rounds"] and prepared.n:
         began, first = time.time(), schedule.round
         ranks = idle_ranks(schedule, min(count, limits["rounds"] - first), singles, limits["work"])
         edges, seen = written_with(final_edges(prepared, state, config, ranks, first), n=F.count(F.lit(1)), first=F.min(F.col("rounds")[0]))
         handled: dict[int, int] = {}
         end = first + len(ranks)
-        if seen["n"]:
+        held = edges.toArrow() if isinstance(state, Held) and 0 < seen["n"] <= HERE else None
+        if held is not None:
+            handled = handled_by_round(held)
+        elif seen["n"]:
             ends = edges.select(F.explode(F.array(F.struct("a", F.col("single_a").alias("single"), F.col("rounds")[0].alias("at")), F.struct(F.col("b").alias("a"), F.col("single_b").alias("single"), F.col("rounds")[0].alias("at")))).alias("e"))
             joined = ends.select("e.*").filter("single").groupBy("a").agg(F.min("at").alias("at"))
             handled = {r["at"]: r["n"] for r in joined.groupBy("at").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -206,14 +293,16 @@ def final_clustering(prepared: Prepared, state: State, config: ClusterConfig) ->
             if schedule.round >= config.min_final_rounds and (not left or schedule.bad >= limits["bad_rounds"]):
                 limits["rounds"] = schedule.round
                 break
-        if seen["n"]:
+        if held is not None:
+            state = state.joined(held, schedule.round)
+        elif seen["n"]:
             used = edges.select("a", "b", F.size(F.filter("rounds", lambda r: r < schedule.round)).cast("bigint").alias("mult")).filter("mult > 0")
-            state = with_edges(state, prepared, written(used))
-            singles = reps_.cluster_counts(state.clusters).first()["n_singles"]
+            state = Held.of(with_edges(state, prepared, used), prepared.n)
+        singles = state.singles() if seen["n"] else singles
         log.info("last stage, rounds %d to %d: %.1f s, rank %d, %d accepted pairs, %d single reads", first, schedule.round, time.time() - began, schedule.rank, seen["n"], singles)
         count = config.patience if seen["n"] else min(2 * count, config.ahead)
         dropped(edges)
-    return state
+    return State(state.clusters, state.scores)
 
 
 @dataclass
