@@ -22,6 +22,7 @@ from readpool.functions.sequences import band_key, tiebreak
 from readpool.operators import blocking, metrics, verify
 from readpool.operators import representatives as reps_
 from readpool.operators.sketch import sketches
+from readpool.plans import held as held_
 from readpool.plans.components import HERE, connected_components, dropped, least_reached, whole_numbers, written, written_with
 
 log = logging.getLogger(__name__)
@@ -51,7 +52,7 @@ class Held(State):
     @staticmethod
     def of(state: State, n: int) -> State:
         """`state` held, unless there are more reads, or ids that repeat or are no whole numbers."""
-        if n > HERE or not isinstance(state.clusters.schema["read_id"].dataType, LongType):
+        if n > HERE or isinstance(state, Held) or not isinstance(state.clusters.schema["read_id"].dataType, LongType):
             return state
         rows, points = state.clusters.select("read_id", "cluster").toArrow(), state.scores.select("read_id", "score").toArrow()
         ids, cluster = rows.column("read_id").to_numpy(), rows.column("cluster").to_numpy()
@@ -72,13 +73,19 @@ class Held(State):
         some = self.score > 0
         return whole_numbers(self.spark, read_id=self.ids[some], score=self.score[some])
 
-    def ranked(self, most: int) -> DataFrame:
+    def ranks(self) -> tuple[np.ndarray, np.ndarray]:
+        """The rank of every read in its cluster, and whether it is alone, by id."""
         order = np.lexsort((self.ids, -self.score, self.cluster))
         start = np.flatnonzero(np.append(True, np.diff(self.cluster[order]) != 0))
         size = np.diff(np.append(start, len(order)))
-        rank, single = np.arange(len(order)) - np.repeat(start, size), np.repeat(size == 1, size)
+        rank, single = np.empty(len(order), np.int64), np.empty(len(order), bool)
+        rank[order], single[order] = np.arange(len(order)) - np.repeat(start, size), np.repeat(size == 1, size)
+        return rank, single
+
+    def ranked(self, most: int) -> DataFrame:
+        rank, single = self.ranks()
         on = single | (rank < most)
-        rows = whole_numbers(self.spark, read_id=self.ids[order][on], rank=rank[on], single=single[on].astype(np.int64))
+        rows = whole_numbers(self.spark, read_id=self.ids[on], rank=rank[on], single=single[on].astype(np.int64))
         return rows.select("read_id", "rank", (F.col("single") == 1).alias("single"))
 
     def singles(self) -> int:
@@ -125,6 +132,22 @@ class Prepared:
     reads: DataFrame  # read_id, seq
     sketched: DataFrame  # read_id, sig, n_bag, bits
     n: int
+    kept: dict = field(default_factory=dict)  # what the driver holds of few reads
+
+    def few_ids(self) -> np.ndarray | None:
+        """The sorted ids of HERE reads at most that the driver can tell apart."""
+        if not 0 < self.n <= HERE:
+            return None
+        if "ids" not in self.kept:
+            self.kept["ids"] = held_.unique_ids(self.reads)
+        return self.kept["ids"]
+
+    def few(self, config: ClusterConfig) -> held_.HeldSketches | None:
+        """The sketches of so few reads."""
+        ids = self.few_ids()
+        if ids is not None and self.kept.get("config") != config:
+            self.kept |= {"config": config, "sketches": held_.HeldSketches(ids, self.sketched, self.reads, config)}
+        return None if ids is None else self.kept["sketches"]
 
 
 def prepare(reads: DataFrame, config: ClusterConfig) -> Prepared:
@@ -147,22 +170,28 @@ def chunk_partition(prepared: Prepared, config: ClusterConfig) -> DataFrame:
     counted, the next one ends it. With `chunk_block` above 1 that many rounds are one job and draw from the same chunks; the
     rate of merges is that of the block, and each of its rounds counts as poor if it is low.
     """
-    reads, n = prepared.reads, prepared.n
+    reads, n, ids = prepared.reads, prepared.n, prepared.few_ids()
     chunks = written(reads.select("read_id", F.col("read_id").alias("chunk_id")))
     if not n:
         return chunks
+    few = None if ids is None else held_.HeldChunks(ids, reads, config)
     length = reads.agg(F.min(F.struct("read_id", F.length("seq").alias("l")))["l"]).first()[0]
     phase, bad, done = 1, 0, 0
     while done < config.chunk_rounds:
         count = min(config.chunk_block, config.chunk_rounds - done)
         width, more = substring_sizes(length, n, phase)
-        anchors = config.anchors(width, 2 if phase == 1 else 1, done + count, f"chunk:{phase}")[done:]
+        want = count if few is None else min(max(count, few.ahead()), config.chunk_rounds - done)
+        anchors = config.anchors(width, 2 if phase == 1 else 1, done + want, f"chunk:{phase}")[done:]
         began = time.time()
-        edges, seen = written_with(chunk_turns(chunks, reads, anchors, width + more, done, config), n=F.count(F.lit(1)))
-        joined = edges
-        if seen["n"]:
-            joined, seen = written_with(connected_components(edges).filter("node <> component"), n=F.count(F.lit(1)))
-            chunks = written(chunks.join(joined, F.col("chunk_id") == F.col("node"), "left").select("read_id", F.coalesce("component", "chunk_id").alias("chunk_id")))
+        if few is not None:
+            if any((phase, done + i) not in few.keys for i in range(count)):
+                few.fetch(phase, done, anchors, width + more)
+            seen = {"n": few.joined(phase, range(done, done + count))}
+        else:
+            edges, seen = written_with(chunk_turns(chunks, reads, anchors, width + more, done, config), n=F.count(F.lit(1)))
+            if seen["n"]:
+                joined, seen = written_with(connected_components(edges).filter("node <> component"), n=F.count(F.lit(1)))
+                chunks = written(chunks.join(joined, F.col("chunk_id") == F.col("node"), "left").select("read_id", F.coalesce("component", "chunk_id").alias("chunk_id")))
         done += count
         log.info("chunks, round %d: %.1f s, %d merges, rate %.5f, %d anchors", done, time.time() - began, seen["n"], seen["n"] / n, len(anchors[0]))
         if seen["n"] / n / count < config.min_merge_rate:
@@ -171,7 +200,7 @@ def chunk_partition(prepared: Prepared, config: ClusterConfig) -> DataFrame:
                 if phase == 2:
                     break
                 phase, bad = 2, 0
-    return chunks
+    return chunks if few is None else whole_numbers(reads.sparkSession, read_id=few.ids, chunk_id=few.chunk)
 
 
 def joined_state(state: State | None, prepared: Prepared, pairs: DataFrame, high: float, low: float, config: ClusterConfig) -> State:
@@ -198,6 +227,16 @@ def chunk_candidates(prepared: Prepared, chunks: DataFrame, config: ClusterConfi
 
 
 def cluster_in_chunks(prepared: Prepared, chunks: DataFrame, config: ClusterConfig) -> State:
+    few = prepared.few(config)
+    rows = None if few is None else chunks.select("read_id", "chunk_id").toArrow().sort_by("read_id")
+    if rows is not None and np.array_equal(few.ids, rows.column("read_id").to_numpy()):
+        chunk = rows.column("chunk_id").to_numpy()
+        _, own, size = np.unique(chunk, return_inverse=True, return_counts=True)
+        on = (size >= config.reasonable_chunk * (len(chunk) / len(size)))[own] & (size > 1)[own]
+        pairs = [(r, *few.adjacent(r, p, np.flatnonzero(on), chunk[on])) for r, p in enumerate(config.bands())]
+        edges = few.table(*few.edges(pairs, config.chunk_high, config.chunk_low), np.ones(prepared.n, bool))
+        alone = Held(prepared.reads.sparkSession, few.ids, few.ids, np.zeros(prepared.n, np.int64))
+        return alone.joined(edges, config.rounds) if edges.num_rows else alone
     return joined_state(None, prepared, chunk_candidates(prepared, chunks, config), config.chunk_high, config.chunk_low, config)
 
 
@@ -241,12 +280,18 @@ def idle_ranks(schedule: Schedule, count: int, singles: int, work: int) -> list[
     return ranks
 
 
-def final_edges(prepared: Prepared, state: State, config: ClusterConfig, ranks: list[int], first: int) -> DataFrame:
+def final_edges(prepared: Prepared, state: State, config: ClusterConfig, ranks: list[int], first: int) -> DataFrame | pa.Table:
     """(a, b, rounds, single_a, single_b): accepted pairs of the rounds from `first` on, which single reads and the
-    representatives of each round's rank take part in. A table."""
+    representatives of each round's rank take part in. An Arrow table if the driver holds the reads."""
+    bands = config.bands(first + len(ranks), "final")[first:]
+    few = prepared.few(config) if isinstance(state, Held) else None
+    if few is not None and np.array_equal(state.ids, few.ids):
+        rank, single = state.ranks()
+        at = {of: np.flatnonzero(single | (rank == of)) for of in set(ranks)}
+        pairs = ((first + i, *few.adjacent(first + i, p, at[of])) for i, (of, p) in enumerate(zip(ranks, bands, strict=True)))
+        return few.table(*few.edges(pairs, config.final_high, config.final_low), single)
     focus = state.ranked(config.reps_per_cluster)
     # Rounds are rows, not code, so that Spark compiles the job once and not anew for each stretch of rounds.
-    bands = config.bands(first + len(ranks), "final")[first:]
     rounds = prepared.reads.sparkSession.createDataFrame([(first + i, rank, list(p)) for i, (rank, p) in enumerate(zip(ranks, bands, strict=True))], "round int, of int, places array<int>")
     focus = focus.join(F.broadcast(rounds), F.col("single") | (F.col("rank") == F.col("of")))
     key = band_key("sig", tuple(F.col("places")[j] for j in range(config.k)), config.code_bits).alias("key")
@@ -271,10 +316,15 @@ def final_clustering(prepared: Prepared, state: State, config: ClusterConfig) ->
     while schedule.round < limits["rounds"] and prepared.n:
         began, first = time.time(), schedule.round
         ranks = idle_ranks(schedule, min(count, limits["rounds"] - first), singles, limits["work"])
-        edges, seen = written_with(final_edges(prepared, state, config, ranks, first), n=F.count(F.lit(1)), first=F.min(F.col("rounds")[0]))
+        edges, held = final_edges(prepared, state, config, ranks, first), None
+        if isinstance(edges, pa.Table):
+            held = edges if edges.num_rows else None
+            seen = {"n": edges.num_rows, "first": int(rounds_of(edges).min()) if edges.num_rows else None}
+        else:
+            edges, seen = written_with(edges, n=F.count(F.lit(1)), first=F.min(F.col("rounds")[0]))
+            held = edges.toArrow() if isinstance(state, Held) and 0 < seen["n"] <= HERE else None
         handled: dict[int, int] = {}
         end = first + len(ranks)
-        held = edges.toArrow() if isinstance(state, Held) and 0 < seen["n"] <= HERE else None
         if held is not None:
             handled = handled_by_round(held)
         elif seen["n"]:
@@ -301,7 +351,8 @@ def final_clustering(prepared: Prepared, state: State, config: ClusterConfig) ->
         singles = state.singles() if seen["n"] else singles
         log.info("last stage, rounds %d to %d: %.1f s, rank %d, %d accepted pairs, %d single reads", first, schedule.round, time.time() - began, schedule.rank, seen["n"], singles)
         count = config.patience if seen["n"] else min(2 * count, config.ahead)
-        dropped(edges)
+        if isinstance(edges, DataFrame):
+            dropped(edges)
     return State(state.clusters, state.scores)
 
 

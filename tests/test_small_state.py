@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from readpool.config import ClusterConfig
 from readpool.operators import representatives as R
 from readpool.operators import sketch
-from readpool.plans import components, pipeline
+from readpool.functions.sequences import within_edits
+from readpool.plans import components, held, pipeline
 
 
 def test_one_window_ranks_as_representatives_do(spark):
@@ -68,3 +69,40 @@ def test_sketches_count_repeated_grams(spark, text):
     got = {x["read_id"]: x["n_bag"] for x in sketch.sketches(reads, ClusterConfig()).collect()}
     n = len(text) - 5
     assert got == ({1: n, 3: 2 * n} if n > 0 else {})
+
+
+def test_few_reads_are_clustered_as_tables_are(spark, monkeypatch):
+    """Chunks, clusters in chunks and last rounds are the same whether the driver runs the rounds or tables do."""
+    config = ClusterConfig(min_final_rounds=12, chunk_rounds=20, chunk_high=0.6, chunk_low=0.2, final_high=0.6, final_low=0.2)
+    reads = reads_of(spark, 60)
+    few = pipeline.run(reads, config)
+    monkeypatch.setattr(pipeline, "HERE", 0)
+    tables = pipeline.run(reads, config)
+    for name in ("chunks", "clusters", "scores"):
+        assert sorted(getattr(few, name).collect()) == sorted(getattr(tables, name).collect()) and getattr(few, name).count()
+    assert 1 < few.chunks.select("chunk_id").distinct().count() < 60
+
+
+def test_rounds_of_few_reads_start_few_jobs(spark):
+    """Every round of chunks and every turn of the last stage was several Spark jobs, so a run of few reads took hundreds."""
+    spark.sparkContext.setJobGroup("few reads", "")
+    pipeline.run(reads_of(spark), ClusterConfig(min_final_rounds=40)).clusters.collect()
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("few reads")
+    spark.sparkContext.setJobGroup("", "")
+    assert len(jobs) <= 40
+
+
+def test_edits_by_diagonals_are_those_of_levenshtein(spark):
+    r = random.Random(8)
+    some = lambda n: "".join(r.choice("ACGT") for _ in range(n))
+    rows = [("", ""), ("", "AC"), ("A", "C"), ("ACGT" * 50, "CGTA" * 50)]
+    for _ in range(300):
+        a = list(some(r.choice([1, 4, 13, 60, 200])))
+        for _ in range(r.randrange(16)):
+            at = r.randrange(len(a) + 1)
+            a[at : at + r.randrange(2)] = some(r.randrange(2))
+        rows.append((some(3) * 9 if r.random() < 0.1 else "".join(a), "".join(a[r.randrange(3) :])))
+    for limit in (0, 3, 12):
+        want = spark.createDataFrame(rows, "a string, b string").select("a", "b", within_edits("a", "b", limit).alias("near")).collect()
+        assert all(held.near(x["a"], x["b"], limit) == x["near"] for x in want)
+        assert {x["near"] for x in want} == {True, False}
