@@ -106,3 +106,13 @@ def test_edits_by_diagonals_are_those_of_levenshtein(spark):
         want = spark.createDataFrame(rows, "a string, b string").select("a", "b", within_edits("a", "b", limit).alias("near")).collect()
         assert all(held.near(x["a"], x["b"], limit) == x["near"] for x in want)
         assert {x["near"] for x in want} == {True, False}
+
+
+def test_a_report_of_few_reads_starts_few_jobs(spark):
+    from readpool import registry
+
+    spark.sparkContext.setJobGroup("report", "")
+    lines = registry.queries()["run_report"](spark, "/root/testdata/sf0.001").collect()
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("report")
+    spark.sparkContext.setJobGroup("", "")
+    assert len(lines) > 10 and len(jobs) <= 120
