@@ -28,3 +28,17 @@ def test_rows_that_stay_are_not_shuffled(spark, tmp_path):
     assert jaccard.without(rows, "k", none).count() == 2000
     texts = [line for line in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "LeftAnti" in line or "Union" in line]
     assert "Union" in texts[0] and any("LeftAnti" in x for x in texts[1:])
+
+
+def test_small_lists_are_dealt_by_list_once(spark, monkeypatch):
+    """The sets of all lists were shuffled once to find pivots and once to join them."""
+    rows = [(k, s << 1 | s % 2, 12 if k == 3 else 4) for k, sets in {1: (5, 6, 7, 8), 2: (6, 7, 9, 10), 3: range(4, 16), 4: (30, 31, 32, 33)}.items() for s in sets]
+    entries = spark.createDataFrame(rows, "k long, e long, c int")
+    nodes = spark.createDataFrame([(s << 17, 1 if s == 30 else 0, 0) for s in range(40)], "s long, leave0 int, leave1 int")
+    whole = sorted(jaccard.pivots_of(entries, nodes).collect())
+    monkeypatch.setattr(jaccard, "SPLIT", 5)
+    out = jaccard.pivots_of(entries, nodes)
+    assert sorted(out.collect()) == whole
+    assert {(r["k"], r["p"], r["m"]) for r in whole} == {(1, 7, 4), (2, 7, 4), (3, 7, 12), (4, 33, 3)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan.split("\n")[0] and "c#" in plan and "<= 5" in plan and "> 5" in plan
