@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from readpool.llm import common
+from readpool.llm.common import give_back_memory
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -161,6 +162,8 @@ def take(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
                 which += [i] * (whole + bool(rest))
             index = pa.array(which, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if j == at else b.column(j).take(index) for j in range(len(columns))], columns)
+        b = texts = out = index = None
+        give_back_memory()
 
     return rows.mapInArrow(run, docs.select("*").schema)
 

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from readpool.llm import common
+from readpool.llm.common import give_back_memory
 
 MODEL = os.environ.get("READPOOL_PIECES", "/opt/tokenizers/piece_bpe_32k.model")  # the default of the parameter `model`
 SPACE = "▁"
@@ -387,6 +388,8 @@ def encoded(docs: DataFrame, text_col: str = "text", keep: list[str] | None = No
             for a, texts in text_chunks(b.column(len(kept))):
                 tokens, counts = encoder.encode(texts)
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, len(texts)) for c in b.columns[: len(kept)]), lists(tokens, counts), pa.array(counts, pa.int32())], [*kept, *new])
+        encoder = b = texts = tokens = counts = None
+        give_back_memory()
 
     return rows.mapInArrow(run, schema)
 
@@ -423,6 +426,8 @@ def round_trips(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 digests = [hashlib.sha256(x.encode()).hexdigest() for x in back]
                 same = [x == (t or "").replace(SPACE, " ") for x, t in zip(back, texts, strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(a, len(texts)), pa.array(counts, pa.int32()), lists(tokens, counts), pa.array(digests), pa.array(same)], names)
+        encoder = b = texts = tokens = counts = back = None
+        give_back_memory()
 
     return rows.mapInArrow(run, schema)
 
