@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,3 +117,40 @@ def test_a_report_of_few_reads_starts_few_jobs(spark):
     jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("report")
     spark.sparkContext.setJobGroup("", "")
     assert len(lines) > 10 and len(jobs) <= 120
+
+
+def test_edits_move_only_the_reads_of_their_pairs(spark):
+    """For pairs whose texts the driver lacks, the texts of all reads were shuffled twice, each time."""
+    reads, limit = reads_of(spark, 60), 6
+    ids = np.array([(a, b) for a in range(0, 20, 2) for b in range(a + 1, 20, 3)])
+    out = held.near_pairs(reads, ids, limit)
+    both = spark.createDataFrame(ids.tolist(), "a bigint, b bigint").join(reads.toDF("a", "x"), "a").join(reads.toDF("b", "y"), "b")
+    want = {(r["a"], r["b"]) for r in both.filter(within_edits("x", "y", limit)).select("a", "b").collect()}
+    assert {(r["a"], r["b"]) for r in out.collect()} == want and 0 < len(want) < len(ids)
+    moved = out._jdf.queryExecution().executedPlan().toString()
+    assert moved.count("BroadcastHashJoin [read_id") >= 2 and "LeftSemi" in moved
+    lacks = held.HeldSketches(np.arange(60), sketch.sketches(reads, ClusterConfig()), reads, ClusterConfig(edit_limit=limit))
+    lacks.texts = {}
+    lacks.decide([tuple(p) for p in ids.tolist()])
+    assert {p for p, near in lacks.decided.items() if near} == want and len(lacks.decided) == len(ids)
+
+
+def test_the_driver_returns_what_held_rounds_leave(spark, monkeypatch):
+    """Its heap stood at its limit beside the sketches of 256,410 reads."""
+    seen, tidied = [], held.tidied
+    monkeypatch.setattr(held, "tidied", lambda s: seen.append(tidied(s)))
+    reads, config = reads_of(spark, 60), ClusterConfig()
+    few = held.HeldSketches(np.arange(60), sketch.sketches(reads, config), reads, config)
+    assert len(seen) == 1 and few.sig.nbytes == 2 * few.sig.size
+    few.fetch_texts()
+    assert len(seen) == 2
+    few.texts = {}
+    few.decide([(0, 1), (2, 3)])
+    assert len(seen) == 3
+    held.HeldChunks(np.arange(60), reads, config).fetch(1, 0, config.anchors(4, 2, 4, "test"), 8)
+    assert len(seen) == 4
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    old = lambda: sum(b.getCollectionCount() for b in beans() if "Young" not in b.getName())
+    before = old()
+    tidied(spark)
+    assert old() > before
