@@ -154,3 +154,20 @@ def test_the_driver_returns_what_held_rounds_leave(spark, monkeypatch):
     before = old()
     tidied(spark)
     assert old() > before
+
+
+def test_lots_of_pairs_look_through_open_reads_only(spark, monkeypatch):
+    """Each lot of pairs whose texts the driver lacks read the texts of all reads."""
+    r = random.Random(6)
+    long = [(100 + i, "".join(r.choice("ACGT") for _ in range(900))) for i in range(20)]  # too many codes for such a pair
+    reads, config = reads_of(spark, 30).union(spark.createDataFrame(long, "read_id bigint, seq string")), ClusterConfig()
+    ids, seen, near = held.unique_ids(reads), [], held.near_pairs
+    monkeypatch.setattr(held, "near_pairs", lambda reads, *x: seen.append(reads.count()) or near(reads, *x))
+    monkeypatch.setattr(held, "LETTERS", 500)
+    few = held.HeldSketches(ids, sketch.sketches(reads, config), reads, config)
+    pairs = [(a, a + 1) for a in range(0, 29)]
+    few.decide(pairs)
+    few.decide([(3, 40)])  # one that is not among them
+    texts = dict(reads.collect())
+    assert 0 < len(few.texts) < 30 and seen == [30, 50]
+    assert few.decided == {p: held.near(texts[ids[p[0]]], texts[ids[p[1]]], config.edit_limit) for p in [*pairs, (3, 40)]}
