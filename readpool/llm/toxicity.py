@@ -44,6 +44,7 @@ THRESHOLD = 0.3
 MAX_TOXIC = 1500
 MAX_CLEAN = 4000
 MAX_CHARS = 40_000_000  # of both: a row that does not fit is left out
+RANGES = 8  # of the rows to learn from, which come to the driver one after another
 SCOPE = 3
 BIAS = -2.0
 LONE = 1.0  # weight at most of a match that nothing else bears out: BIAS + LONE is below the logit of THRESHOLD
@@ -421,13 +422,17 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
     known = known.groupBy(F.col(id_col).alias("k_")).agg(F.max(F.col(label_col).cast("int")).alias("y_"))
     kept = [common.lowest_hash_rows(known.filter(F.col("y_") == y), "k_", most) for y, most in ((1, max_toxic), (0, max_clean))]
     chosen = kept[0].unionByName(kept[1])  # at most max_toxic + max_clean ids
-    rows = docs.select(id_col, F.col(text_col).alias("t_")).join(F.broadcast(chosen), F.col(id_col) == F.col("k_")).orderBy(F.xxhash64(id_col), "t_").select("t_", "y_")
+    rows = docs.select(id_col, F.col(text_col).alias("t_")).join(F.broadcast(chosen), F.col(id_col) == F.col("k_"))
+    order = [F.xxhash64(id_col), F.col("t_")]
+    # In a number of ranges that the input does not move: each is a job of its own.
+    rows = rows.repartitionByRange(RANGES, *order).sortWithinPartitions(*order).select("t_", "y_")
     sample, chars = [], 0
     for text, label in rows.toLocalIterator():
         if chars + len(text or "") > max_chars:
             continue
         chars += len(text or "")
         sample.append((text, label))
+    common.jvm_gives_back(docs.sparkSession)  # the rows' heap would else stand beside what learning takes
     lexicon = fit(sample)
     del sample
     give_back_memory()
