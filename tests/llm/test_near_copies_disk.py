@@ -42,3 +42,27 @@ def test_small_lists_are_dealt_by_list_once(spark, monkeypatch):
     assert {(r["k"], r["p"], r["m"]) for r in whole} == {(1, 7, 4), (2, 7, 4), (3, 7, 12), (4, 33, 3)}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" in plan.split("\n")[0] and "c#" in plan and "<= 5" in plan and "> 5" in plan
+
+
+def test_differences_of_a_pivot_in_one_task_are_not_shuffled(spark, monkeypatch):
+    """All differences were dealt by shingle, counted, joined and dealt by set again, also where one task had all sets of a pivot."""
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words)]
+    for i in range(1, 15):
+        changed = words[: 50 - i % 3] + [f"x{i % 4}{j}" for j in range(9 + i % 3)]
+        texts.append(" ".join(changed + [f"y{i}"] * (i % 2)))
+    docs = spark.createDataFrame([(v, 100 + v, t) for v, t in enumerate(texts)], "v long, s long, text string")
+    packed = [(v, len(t), bytearray(pa.compress(t.encode(), "zstd", asbytes=True))) for v, _, t in docs.collect()]
+    known = spark.createDataFrame(packed, "v long, size int, z binary")
+    pairs = spark.createDataFrame([(0, b) for b in range(1, 15)], "a long, b long")
+    rows = jaccard.compared(pairs, known, 3, 2, diffs=True)
+    for r in rows.collect():
+        assert r["ordered"] and len(set(r["diff"])) == len(r["diff"]) <= r["d"]
+    members = rows.withColumn("cb", F.col("b"))
+    whole = {p: sorted(map(tuple, jaccard.across(members, p).collect())) for p in (60, 80)}
+    plain = members.drop("ordered")
+    assert whole == {p: sorted(map(tuple, jaccard.across(plain, p).collect())) for p in (60, 80)} and whole[80]
+    monkeypatch.setattr(jaccard, "SPLIT", 4)  # the sets of the pivot meet in no one task
+    split = jaccard.compared(pairs, known, 3, 2, diffs=True)
+    assert not any(r["ordered"] for r in split.collect())
+    assert whole == {p: sorted(map(tuple, jaccard.across(split.withColumn("cb", F.col("b")), p).collect())) for p in (60, 80)}
