@@ -23,10 +23,12 @@ from readpool.operators import blocking, metrics, verify
 from readpool.operators import representatives as reps_
 from readpool.operators.sketch import sketches
 from readpool.plans import held as held_
-from readpool.plans.components import HERE, connected_components, dropped, least_reached, whole_numbers, written, written_with
+from readpool.plans.components import connected_components, dropped, least_reached, whole_numbers, written, written_with
 
 log = logging.getLogger(__name__)
 
+HERE = 1 << 20  # reads that the driver holds
+
 
 @dataclass
 class State:
@@ -44,7 +46,7 @@ class State:
 
 
 class Held(State):
-    """The same of HERE reads at most, held by the driver (6 MB), as a few thousand rows cost a job only overhead."""
+    """The same of HERE reads at most, held by the driver (24 MB), as rows that one process sorts in a second cost a job only overhead."""
 
     def __init__(self, spark: SparkSession, ids: np.ndarray, cluster: np.ndarray, score: np.ndarray):
         self.spark, self.ids, self.cluster, self.score = spark, ids, cluster, score  # by id; score 0: none
@@ -233,7 +235,8 @@ def cluster_in_chunks(prepared: Prepared, chunks: DataFrame, config: ClusterConf
         chunk = rows.column("chunk_id").to_numpy()
         _, own, size = np.unique(chunk, return_inverse=True, return_counts=True)
         on = (size >= config.reasonable_chunk * (len(chunk) / len(size)))[own] & (size > 1)[own]
-        pairs = [(r, *few.adjacent(r, p, np.flatnonzero(on), chunk[on])) for r, p in enumerate(config.bands())]
+        at, within = np.flatnonzero(on), chunk[on]
+        pairs = [(r, p, at, within) for r, p in enumerate(config.bands())]
         edges = few.table(*few.edges(pairs, config.chunk_high, config.chunk_low), np.ones(prepared.n, bool))
         alone = Held(prepared.reads.sparkSession, few.ids, few.ids, np.zeros(prepared.n, np.int64))
         return alone.joined(edges, config.rounds) if edges.num_rows else alone
@@ -288,7 +291,7 @@ def final_edges(prepared: Prepared, state: State, config: ClusterConfig, ranks:
     if few is not None and np.array_equal(state.ids, few.ids):
         rank, single = state.ranks()
         at = {of: np.flatnonzero(single | (rank == of)) for of in set(ranks)}
-        pairs = ((first + i, *few.adjacent(first + i, p, at[of])) for i, (of, p) in enumerate(zip(ranks, bands, strict=True)))
+        pairs = [(first + i, p, at[of]) for i, (of, p) in enumerate(zip(ranks, bands, strict=True))]
         return few.table(*few.edges(pairs, config.final_high, config.final_low), single)
     focus = state.ranked(config.reps_per_cluster)
     # Rounds are rows, not code, so that Spark compiles the job once and not anew for each stretch of rounds.

@@ -171,3 +171,18 @@ def test_lots_of_pairs_look_through_open_reads_only(spark, monkeypatch):
     texts = dict(reads.collect())
     assert 0 < len(few.texts) < 30 and seen == [30, 50]
     assert few.decided == {p: held.near(texts[ids[p[0]]], texts[ids[p[1]]], config.edit_limit) for p in [*pairs, (3, 40)]}
+
+
+def test_the_driver_holds_a_gigabyte_of_reads(spark, monkeypatch):
+    """Over 262,144 reads every round was some Spark jobs again, and sets of grams stood in memory; rounds ran one after another."""
+    monkeypatch.setattr(held, "unique_ids", lambda reads: reads)
+    assert pipeline.Prepared("ids", None, 512_820).few_ids() == "ids"
+    reads, config = reads_of(spark, 60), ClusterConfig()
+    few = held.HeldSketches(np.arange(60), sketch.sketches(reads, config), reads, config)
+    assert isinstance(few.bits, np.memmap) and few.bits.any(axis=1).all()
+    rounds = [(r, p, np.arange(60)) for r, p in enumerate(config.bands())]
+    want = [few.adjacent(*turn) for turn in rounds]
+    a, b, rnd = few.edges(rounds, 0.0, 0.0)
+    for r, (x, y) in enumerate(want):
+        on = rnd == r
+        assert a[on].tolist() == x.tolist() and b[on].tolist() == y.tolist()
